@@ -35,52 +35,58 @@ def _grams(array: Column, n: int) -> Column:
     return F.when(F.size(array) >= n, F.transform(at, lambda i: F.xxhash64(*[F.get(array, i + (j - 1)) for j in range(n)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprints(words_col: str, window: int = WINDOW, gram: int = GRAM) -> list[tuple[str, Column]]:
-    """Columns to add one after another; the last, `prints`, holds the winnowed fingerprints."""
+def held(df: DataFrame, name: str, column: Column, *keep: str) -> DataFrame:
+    """df's columns `keep` and the column, computed once a row: later expressions cannot be merged into it."""
+    return df.select(*keep, F.explode(F.array(column)).alias(name))
+
+
+def hashed(df: DataFrame, *keep: str) -> DataFrame:
+    """hashes: one for each of the words."""
+    return held(df, "hashes", F.transform("words", lambda w: F.xxhash64(w)), *keep)
+
+
+def fingerprints(df: DataFrame, *keep: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """From the column hashes, rows (keep, hash) of each text's winnowed fingerprints."""
     span = window - gram + 1
-    least = F.transform(F.sequence(F.lit(0), F.size("_grams") - span), lambda i: F.least(*[F.get("_grams", i + j) for j in range(span)]))
-    return [
-        ("_hashes", F.transform(words_col, lambda w: F.xxhash64(w))),
-        ("_grams", _grams(F.col("_hashes"), gram)),
-        ("prints", F.when(F.size("_grams") >= span, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))),
-    ]
+    df = held(df, "grams", _grams(F.col("hashes"), gram), *keep).where(F.size("grams") >= span)
+    least = F.transform(F.sequence(F.lit(0), F.size("grams") - span), lambda i: F.least(*[F.get("grams", i + j) for j in range(span)]))
+    return df.select(*keep, F.explode(F.array_distinct(least)).alias("hash"))
+
+
+def short_grams(df: DataFrame, size: int, *keep: str) -> DataFrame:
+    """Rows (keep, hash) of every `size` consecutive words."""
+    return df.select(*keep, F.explode(F.array_distinct(_grams(F.col("hashes"), size))).alias("hash"))
 
 
 def _windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
     """Rows (keep, at, window) of all `size` consecutive words of the column words."""
     at = F.sequence(F.lit(0), F.size("words") - size)
-    rows = df.where(F.size("words") >= size).select(*keep, "words", F.explode(at).alias("at"))
-    return rows.select(*keep, "at", F.concat_ws(" ", F.slice("words", F.col("at") + 1, size)).alias("window"))
+    spans = F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("words", i + 1, size), " ").alias("window")))
+    return df.where(F.size("words") >= size).select(*keep, F.explode(spans).alias("w")).select(*keep, "w.at", "w.window")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, scratch: Scratch | None = None) -> DataFrame:
     """Per document: doc_id, id (text name), n_words, n_hit, n_items, items (sorted strings), items_sha256."""
     scratch = scratch or Scratch(docs.sparkSession, "decontam")
-    items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("words")).where("size(words) > 0")
+    items = held(benchmark.where("item_id is not null"), "words", words(F.col("text")), "item_id").where("size(words) > 0")
     items = scratch.write(items, "items")
-    short = [r[0] for r in items.where(F.size("words") < window).select(F.size("words").alias("n")).distinct().collect()]  # under `window` values
-
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    split = rows.select("doc_id", "id", words(F.col("text")).alias("words"))
-
-    def prints(df: DataFrame, *keep: str) -> DataFrame:
-        for name, column in fingerprints("words", window, gram):
-            df = df.withColumn(name, column)
-        parts = [df.select(*keep, F.col("prints").alias("hashes"))] if not short else [df.select(*keep, F.concat("prints", *[F.array_distinct(_grams(F.col("_hashes"), n)) for n in sorted(short)]).alias("hashes"))]
-        return parts[0].select(*keep, F.explode("hashes").alias("hash"))
-
-    # an item's own short grams stand for whole items only; long items give winnowed prints
-    long_items = items.where(F.size("words") >= window)
-    for name, column in fingerprints("words", window, gram):
-        long_items = long_items.withColumn(name, column)
-    known = long_items.select(F.explode("prints").alias("hash"))
-    for n in sorted(short):
-        known = known.unionByName(items.where(F.size("words") == n).select(F.explode(_grams(F.transform("words", lambda w: F.xxhash64(w)), n)).alias("hash")))
-    known = scratch.write(known.distinct(), "known")
-
-    hits = scratch.write(prints(split, "id").join(known, "hash", "left_semi").select("id").distinct(), "hits")
-    found = split.select("id", "words").join(hits, "id", "left_semi").dropDuplicates(["id"])
-    found = scratch.write(found, "found")
+    short = sorted(r[0] for r in items.where(F.size("words") < window).select(F.size("words").alias("n")).distinct().collect())  # under `window` values
+
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("id"), "text")
+    split = held(rows, "words", words(F.col("text")), "doc_id", "id")
+
+    itemised = hashed(items, "item_id", "words")
+    known = fingerprints(itemised.where(F.size("words") >= window), "item_id", window=window, gram=gram)
+    for n in short:
+        known = known.unionByName(short_grams(itemised.where(F.size("words") == n), n, "item_id"))
+    known = scratch.write(known.select("hash").distinct(), "known")
+
+    marked = hashed(split, "id")
+    prints = fingerprints(marked, "id", window=window, gram=gram)
+    for n in short:
+        prints = prints.unionByName(short_grams(marked, n, "id"))
+    hits = scratch.write(prints.join(known, "hash", "left_semi").select("id").distinct(), "hits")
+    found = scratch.write(split.select("id", "words").join(hits, "id", "left_semi").dropDuplicates(["id"]), "found")
 
     sizes = [window, *sorted(short)]
     table = None
