@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import decontam, line_dedup, order_minhash, sharding
+from tilewright.llm import chat, decontam, langid, licenses, line_dedup, media, order_minhash, packing, sharding, warc
 from tilewright.llm.common import table
 
 
@@ -17,22 +17,71 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(media.encode_texts(table(spark, sf_dir, "documents")))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.format_turns(chat.with_probe(table(spark, sf_dir, "conversations")))
+    return chat.digests(turns).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_on(docs))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_ESCAPED = r"replace(replace(replace(coalesce(text, ''), '\', '\\'), '###', '\###'), '</turn>', '\</turn>')"
+
 ORACLES = {
+    "op6_chat": f"""
+WITH probe AS (SELECT -7 AS conv_id, t AS turn, r AS role, '\\### Assistant: </turn> ok' AS text FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+rows AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, role, text FROM probe),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, {_ESCAPED} AS escaped,
+  coalesce(lag(coalesce(role, '')) OVER w, '') AS before, lead(turn) OVER w IS NULL AS last
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || role || ':' || chr(10) || escaped || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars,
+  bool_and(((before IN ('', 'assistant') AND role = 'user') OR (before = '' AND role = 'system') OR (before = 'system' AND role = 'user') OR (before = 'user' AND role = 'assistant')) AND (NOT last OR role = 'assistant')) AS valid
+FROM turns GROUP BY conv_id
+""",
+    "op10_warc": """
+WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+heads AS (SELECT payload_digest, max(page_id) AS head, count(*) AS n FROM payloads WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+  CASE WHEN h.head IS NOT NULL AND p.page_id <> h.head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id <> h.head THEN h.head END AS refers_to
+FROM payloads p LEFT JOIN heads h ON p.payload_digest = h.payload_digest AND p.payload_bytes >= 1000 AND h.n > 1
+""",
     "op8_decontamination": f"""
 WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 items AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 8) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),

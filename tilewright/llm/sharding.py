@@ -32,17 +32,18 @@ def rendezvous(key: Column, weights: Mapping[int, float]) -> Column:
 
 
 def shard_records(df: DataFrame, key: str, weights: Mapping[int, float], *order: str) -> DataFrame:
-    """df with shard int and slot long, gapless from 0 in each shard.
+    """key, order, shard int and slot long, gapless from 0 in each shard, of every row of df.
 
-    order: columns that tell records of one key apart; rows alike in all of them share places in any order.
+    order: columns that tell records of one key apart. Rows alike in key and order are counted before any
+    shuffle, and get consecutive slots, so that no record repeated however often lands in one task.
     """
-    placed = df.withColumn("shard", rendezvous(F.col(key), weights)).withColumn("_block", F.pmod(F.xxhash64(key, *order), F.lit(BLOCKS)).cast("int"))
-    # a block that one repeated record fills is dealt again by row, so that no task has to count it alone
-    counts = placed.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
+    alike = df.groupBy(key, *order).agg(F.count("*").alias("_n"))
+    placed = alike.withColumn("shard", rendezvous(F.col(key), weights)).withColumn("_block", F.pmod(F.xxhash64(key, *order), F.lit(BLOCKS)).cast("int"))
+    counts = placed.groupBy("shard", "_block").agg(F.sum("_n").alias("_n"))
     offsets = counts.select("shard", "_block", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_block")) - F.col("_n")).alias("_offset"))
-    inner = F.row_number().over(Window.partitionBy("shard", "_block").orderBy(key, *order)) - 1
-    numbered = placed.withColumn("_inner", inner)
-    return numbered.join(F.broadcast(offsets), ["shard", "_block"]).withColumn("slot", (F.col("_offset") + F.col("_inner")).cast("long")).drop("_block", "_inner", "_offset")
+    inner = F.sum("_n").over(Window.partitionBy("shard", "_block").orderBy(key, *order)) - F.col("_n")
+    starts = placed.withColumn("_inner", inner).join(F.broadcast(offsets), ["shard", "_block"]).withColumn("_start", F.col("_offset") + F.col("_inner"))
+    return starts.select(key, *order, "shard", F.explode(F.sequence("_start", F.col("_start") + F.col("_n") - 1)).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, weights: Mapping[int, float] | None = None) -> DataFrame:
