@@ -14,11 +14,9 @@ long they are.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tilewright.llm.common import Scratch, mix64
 from tilewright.llm.graph import components
@@ -84,23 +82,23 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "line_no", "k1", "k2")), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "th", "line_no", "k1", "k2", "bands"])
 
 
-def line_jaccard(a: str, b: str, k: int = SHINGLE) -> float:
-    if a == b:
+def line_set(line: str, k: int = SHINGLE) -> tuple[str, set[str]]:
+    return line, {line[i : i + k] for i in range(len(line) - k + 1)}
+
+
+def line_jaccard(a: tuple[str, set[str]], b: tuple[str, set[str]]) -> float:
+    """Exact Jaccard similarity of two lines' shingle sets; below SIMILAR it may be 0."""
+    if a[0] == b[0]:
         return 1.0
-    if min(len(a), len(b)) < k:
-        return 0.0
-    if a > b:
-        a, b = b, a
-    x, y = {a[i : i + k] for i in range(len(a) - k + 1)}, {b[i : i + k] for i in range(len(b) - k + 1)}
-    if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+    x, y = a[1], b[1]
+    if not x or not y or min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
         return 0.0
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
 
-@F.pandas_udf(T.DoubleType())
-def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([line_jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
+def similar_lines(a: tuple[str, set[str]], b: tuple[str, set[str]]) -> bool:
+    return line_jaccard(a, b) >= SIMILAR
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -114,15 +112,12 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     lines = _lines(docs)
     signed = scratch.write(lines.mapInArrow(_sign, "doc_id long, th long, line_no int, k1 long, k2 int, bands array<long>"), "signed")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "ids")
+    def texts(ids: DataFrame) -> DataFrame:
+        ids = scratch.write(ids.withColumnRenamed("id", "k1"), "ids")
         few = ids.count() <= BROADCAST_IDS
-        texts = lines.select("k1", "line").join(F.broadcast(ids) if few else ids, "k1", "left_semi").groupBy("k1").agg(F.max("line").alias("line"))
-        texts = scratch.write(texts, "texts")
-        joined = pairs.join(texts.select(F.col("k1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("k1").alias("b"), F.col("line").alias("y")), "b")
-        return joined.where(_jaccard("x", "y") >= SIMILAR).select("a", "b")
+        return lines.select("k1", "line").join(F.broadcast(ids) if few else ids, "k1", "left_semi").groupBy(F.col("k1").alias("id")).agg(F.max("line").alias("text"))
 
-    links = verified_links(signed.where("bands is not null").select(F.col("k1").alias("id"), "bands"), verify, scratch)
+    links = verified_links(signed.where("bands is not null").select(F.col("k1").alias("id"), "bands"), texts, line_set, similar_lines, scratch)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = classes.join(roots, classes.k1 == roots.node, "left").where("n > 1 or root is not null")
@@ -132,7 +127,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     owned = scratch.write(classes.join(owners, ["c1", "c2", "fuzzy"]).select("k1", "k2", "owner"), "owned")
     gone = signed.select("doc_id", "th", "line_no", "k1", "k2").join(owned, ["k1", "k2"]).where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("owner")))
     gone = scratch.write(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "gone")
-    scratch.drop("signed", "classes", "owned", "ids", "texts")
+    scratch.drop("signed", "classes", "owned", "ids", "links")
     return gone
 
 

@@ -1,75 +1,105 @@
 """From banded signatures to verified links, without pairing every two members of a bucket.
 
-A bucket is a band value that at least two items share. Small buckets give all their pairs. In a
-larger one every member is held against the bucket's leader (its least id): that is one pair a member
-however large the bucket is, and a join that Spark can split. Members that do not match their leader
-go on to a finer bucket (the same band value together with one more band), and in the end, where
-finer keys no longer tell them apart, are peeled off leader by leader until none is left. Thus no
-bucket is capped, dropped or gathered in one task.
+A bucket is a band value that at least two items share. A bucket of up to SMALL items gives all its pairs,
+each verified once however many bands propose it. A bucket of up to GROUP items is worked off in one task
+that holds an item against the members of components it is not linked with yet, so it finds the bucket's
+exact components. In a larger one every member is held against the bucket's leader (its least id): one pair
+a member, in a join that Spark can split. Members unlike their leader go on to finer buckets (the same band
+value with one more band), then to the same buckets without the leaders, until all are small. No bucket is
+capped or dropped, and none of more than GROUP items is gathered in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.llm.common import Scratch
 
-SMALL = 8
+SMALL, GROUP = 8, 128
+FINER = 2  # rounds that refine buckets by one more band
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """(bucket, id) -> (bucket, id, lead, n) of the buckets that two different items share."""
-    heads = rows.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("n")).where("last > lead").drop("last")
-    return rows.join(heads, "bucket").select("bucket", "id", "lead", "n").distinct()
+def group_links(items: list, similar: Callable) -> list[tuple[int, int]]:
+    """Links (positions, the lesser first) that make up the exact components of a few items."""
+    parts: list[list[int]] = []
+    links = []
+    for i, item in enumerate(items):
+        met, rest = [i], []
+        for part in parts:
+            other = next((j for j in part if similar(items[j], item)), None)
+            if other is None:
+                rest.append(part)
+            else:
+                links.append((other, i))
+                met = part + met
+        parts = [*rest, met]
+    return links
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    star = members.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    few = members.where((F.col("n") > 2) & (F.col("n") <= SMALL)).select("bucket", "id", "lead").where("id > lead")
-    inner = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
-    return star.unionByName(inner).distinct()
+def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable, scratch: Scratch, rounds: int = 60) -> DataFrame:
+    """(a, b) links between similar items, written to the shared folder; (a, b) with a < b.
 
+    signed: (id, bands array<long>); rows of the same id are alike. texts: ids -> (id, text), one row an id.
+    similar(prepare(text), prepare(text)) tells whether two items are alike.
+    """
+    spark, kind = signed.sparkSession, signed.schema["id"].dataType
+    links = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
-def verified_links(signed: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 40) -> DataFrame:
-    """signed: (id, bands array<long>); rows of the same id are alike. verify: (a, b) -> (a, b) of the similar ones.
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        last, held, out = None, None, []
+        for p, q in zip(x, y):
+            if p is not last:
+                last, held = p, prepare(p)
+            out.append(similar(held, prepare(q)))
+        return pd.Series(out, dtype="bool")
+
+    def in_group(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        found = group_links([prepare(t) for t in rows["text"]], similar)
+        ids = rows["id"].tolist()
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
+
+    same = F.pandas_udf(alike, T.BooleanType())
+
+    def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        x, y = held.select(F.col("id").alias("a"), F.col("text").alias("x")), held.select(F.col("id").alias("b"), F.col("text").alias("y"))
+        return pairs.join(x, "a").join(y, "b").where(same("x", "y")).select("a", "b")
 
-    Returns all links found as (a, b), written to the shared folder.
-    """
-    spark = signed.sparkSession
-    rows = signed.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id")
     found: list[DataFrame] = []
+    rows = signed.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id")
+    held = None
     for i in range(rounds):
-        members = scratch.write(_members(rows), f"members{i}")
-        pairs = scratch.write(_candidates(members), f"pairs{i}")
-        if pairs.isEmpty():
-            break
-        good = scratch.write(verify(pairs), f"links{i}")
-        found.append(good)
+        heads = rows.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("n")).where("last > lead").drop("last")
+        members = scratch.write(rows.join(heads, "bucket").select("bucket", "id", "lead", "n").distinct(), f"members{i}")
+        if held is None:
+            held = scratch.write(texts(members.select("id").distinct()), "texts")
+        few = members.where(F.col("n") <= SMALL)
+        near = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
+        star = members.where((F.col("n") > GROUP) & (F.col("id") > F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+        good = scratch.write(verified(near.unionByName(star).distinct(), held), f"links{i}")
+        grouped = members.where((F.col("n") > SMALL) & (F.col("n") <= GROUP)).join(held, "id").select("bucket", "id", "text")
+        found += [good, scratch.write(grouped.groupBy("bucket").applyInPandas(in_group, links), f"group{i}")]
         # members of large buckets that are not like their leader; the leader itself has met everyone
-        matched = good.select(F.col("a").alias("lead"), F.col("b").alias("id"))
-        rest = members.where((F.col("n") > SMALL) & (F.col("id") != F.col("lead"))).join(matched, ["lead", "id"], "left_anti").select("bucket", "id")
-        rest = scratch.write(rest, f"rest{i}")
-        scratch.drop(f"members{i}", f"pairs{i}", *([f"rest{i - 1}"] if i else []))
+        met = good.select(F.col("a").alias("lead"), F.col("b").alias("id"))
+        rest = scratch.write(members.where((F.col("n") > GROUP) & (F.col("id") > F.col("lead"))).join(met, ["lead", "id"], "left_anti").select("bucket", "id"), f"rest{i}")
+        scratch.drop(f"members{i}", *([f"rest{i - 1}"] if i else []))
         if rest.isEmpty():
             break
-        if i < 2:  # finer buckets: the band together with each other band
+        if i < FINER:
             bands = signed.select("id", F.posexplode("bands").alias("band", "value"))
             rows = rest.join(bands, "id").select(F.xxhash64("bucket", "band", "value").alias("bucket"), "id").distinct()
         else:
             rows = rest
     else:
-        found.append(scratch.write(verify(_exhaust(rows)), "links-rest"))
-    if not found:
-        return spark.createDataFrame([], f"a {dict(signed.dtypes)['id']}, b {dict(signed.dtypes)['id']}")
+        raise RuntimeError(f"buckets of more than {GROUP} items that are unlike each other are left after {rounds} rounds")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.distinct()
-
-
-def _exhaust(rows: DataFrame) -> DataFrame:
-    """The exact way for what is left after all rounds: every two members of what buckets remain."""
-    return rows.select("bucket", F.col("id").alias("a")).join(rows.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
+    out = scratch.write(out.distinct(), "links")
+    scratch.drop("texts", *(f"{x}{j}" for x in ("links", "group") for j in range(i + 1)), f"rest{i}")
+    return out

@@ -17,12 +17,12 @@ all are), and the row with that doc_id is the one kept; rows alike in doc_id and
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tilewright.llm.columns import shingles, text_bytes, word_hashes
 from tilewright.llm.common import Scratch, chunks, mix64, text_key, words_of
@@ -131,14 +131,20 @@ def aligned(a: list, b: list, similar: float = SIMILAR) -> float:
     return value if value >= similar else 0.0
 
 
-@F.pandas_udf(T.BooleanType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    last, held, out = None, [], []
-    for x, y in zip(a, b):
-        if x is not last:
-            last, held = x, kmer_list(x)
-        out.append(aligned(held, kmer_list(y)) >= SIMILAR)
-    return pd.Series(out, dtype="bool")
+def kmer_counts(text: str | None) -> tuple[list, Counter]:
+    kmers = kmer_list(text)
+    return kmers, Counter(kmers)
+
+
+def similar_documents(a: tuple[list, Counter], b: tuple[list, Counter]) -> bool:
+    """What the two share in any order bounds what can be aligned; only pairs above that bound are aligned."""
+    need = SIMILAR / (1 + SIMILAR) * (len(a[0]) + len(b[0]))
+    if min(len(a[0]), len(b[0])) < need:
+        return False
+    few, many = (a[1], b[1]) if len(a[1]) < len(b[1]) else (b[1], a[1])
+    if sum(min(n, many.get(x, 0)) for x, n in few.items()) < need - 1e-9:
+        return False
+    return aligned(a[0], b[0]) >= SIMILAR
 
 
 def document_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -146,16 +152,14 @@ def document_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = docs.select(text_key(F.col("text")).alias("id"), "text")
     signed = scratch.write(texts.mapInArrow(_sign, "id string, bands array<long>"), "signed")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    def held(ids: DataFrame) -> DataFrame:
+        ids = scratch.write(ids, "ids")
         few = ids.count() <= BROADCAST_KEYS
-        held = scratch.write(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
-        joined = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return joined.where(_alike("x", "y")).select("a", "b")
+        return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
 
-    links = verified_links(signed, verify, scratch)
+    links = verified_links(signed, held, kmer_counts, similar_documents, scratch)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-    scratch.drop("signed", "ids", "texts")
+    scratch.drop("signed", "ids", "links")
     return roots.select(F.col("node").alias("id"), "root")
 
 
