@@ -1,0 +1,466 @@
+"""The rt_* and st_* functions on columns, and their registration under their SQL names.
+
+Each is one Arrow function; cubes of the same shape are handled as one matrix. A null argument gives null,
+except that rt_cube_null_or_empty of null is true. For longer algebra use tilewright.plans.expr.cube, which
+runs a whole expression at one go.
+"""
+
+from __future__ import annotations
+
+from decimal import Decimal
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tilewright.cube import DTYPES, TYPE_CODES, TYPES, Batch, Cube, RasterError, convert, format_code, is_nodata, retype
+from tilewright.geo import crs as crs_module
+from tilewright.geo import geometry as geo
+from tilewright.operators import algebra, stats
+from tilewright.plans.expr import evaluate, from_spark, to_column
+from tilewright.sources.grid import Georef
+
+#: SQL name -> (function on Arrow columns, result type).
+REGISTRY: dict[str, tuple] = {}
+
+
+def _col(x) -> Column:
+    return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
+
+
+def _define(sql_name: str, run, kind: T.DataType):
+    """Registers run(*Arrow columns) and returns the function on Spark columns."""
+    REGISTRY[sql_name] = (run, kind)
+
+    def call(*columns) -> Column:
+        return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)(*[_col(c) for c in columns])
+
+    call.__name__ = sql_name
+    return call
+
+
+def _rows(run, kind: T.DataType, nulls: bool = False):
+    """Arrow columns row by row: run(*values) -> value; any null gives null unless nulls."""
+    arrow = from_spark(kind)
+
+    def whole(*columns: pa.Array) -> pa.Array:
+        lists = [c.to_pylist() for c in columns]
+        return pa.array([run(*row) if nulls or not any(v is None for v in row) else None for row in zip(*lists)], arrow)
+
+    return whole
+
+
+@lru_cache(maxsize=512)
+def georef(metadata: str) -> Georef:
+    return Georef.parse(metadata)
+
+
+def _leaf(column: pa.Array):
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return Batch(column), "leaf"
+    return (column.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)), "scalar"
+
+
+# ---- arrays and types ----
+
+_ELEMENTS = {"int8": "INT8", "int16": "INT16", "int32": "INT32", "int64": "INT64", "float": "FLOAT", "double": "DOUBLE", "uint8": "UINT8", "uint16": "UINT16", "uint32": "UINT32", "uint64": "UINT64"}
+_SPARK = {"short": T.ShortType(), "byte": T.ByteType(), "int": T.IntegerType(), "long": T.LongType(), "decimal(20,0)": T.DecimalType(20, 0), "float": T.FloatType(), "double": T.DoubleType()}
+_TITLES = {"UINT8": "UInt8", "INT8": "Int8", "UINT16": "UInt16", "INT16": "Int16", "UINT32": "UInt32", "INT32": "Int32", "UINT64": "UInt64", "INT64": "Int64", "FLOAT": "Float", "DOUBLE": "Double"}
+
+
+def _array2cube(values: pa.Array, data_format: pa.Array, bands: pa.Array, cols: pa.Array, rows: pa.Array, no_data: pa.Array, *data_type: pa.Array) -> pa.Array:
+    element = values.type.value_type
+    name = "UINT64" if pa.types.is_decimal(element) and element.scale == 0 and element.precision >= 19 else "DOUBLE" if pa.types.is_decimal(element) else _ELEMENTS.get(str(element))
+    if name is None:
+        raise RasterError(f"Unsupported element type: {element}")
+
+    def one(v, fmt, b, c, r, nd, *kind):
+        if any(x is None for x in (v, fmt, b, c, r, nd)):
+            return None
+        if any(x is None for x in v):
+            raise RasterError("An array with NULL can't become a datacube")
+        code = TYPE_CODES[name] if not kind or kind[0] is None else _code(kind[0])
+        cells = np.array([int(x) for x in v], DTYPES[code]) if DTYPES[code].kind != "f" and not pa.types.is_floating(element) else convert(np.asarray(v, np.float64), code)
+        return Cube.of(cells, b, c, r, float(nd), code).dump(format_code(fmt))
+
+    columns = (values, data_format, bands, cols, rows, no_data, *data_type)
+    return pa.array([one(*row) for row in zip(*(c.to_pylist() for c in columns))], pa.binary())
+
+
+def _code(kind: str) -> int:
+    from tilewright.cube import type_code
+
+    return type_code(kind)
+
+
+#: (values, data_format, bands, cols, rows, no_data[, type name]) -> cube; the type follows the array's if not named.
+rt_array2cube = _define("RT_Array2Cube", _array2cube, T.BinaryType())
+
+
+def array_type(code: int) -> T.StructType:
+    return T.StructType([T.StructField(n, T.IntegerType()) for n in ("data_type", "bands", "cols", "rows")] + [T.StructField("no_data", T.DoubleType()), T.StructField("values", T.ArrayType(_SPARK[TYPES[code][3]]))])
+
+
+def _elements(values: np.ndarray, code: int) -> list:
+    """Cells as elements of an array type: whole types round half to even and raise beyond their range."""
+    to = DTYPES[code]
+    if to.kind == "f":
+        return values.astype(to).tolist()
+    if values.dtype.kind == "f":
+        values = np.rint(values)
+        if not np.isfinite(values).all():
+            raise RasterError(f"Value out of range for {TYPES[code][0]}")
+    info = np.iinfo(to)
+    if values.size and (int(values.min()) < info.min or int(values.max()) > info.max):
+        raise RasterError(f"Value out of range for {TYPES[code][0]}")
+    out = values.astype(to).tolist()
+    return [Decimal(x) for x in out] if TYPES[code][0] == "UINT64" else out
+
+
+def _cube2array(code: int):
+    def one(blob, keep_valid):
+        cube = Cube.load(blob)
+        values = cube.values
+        if keep_valid:
+            values = values[~is_nodata(values.astype(np.float64), cube.head.no_data)]
+        h = cube.head
+        return {"data_type": h.data_type, "bands": h.bands, "cols": h.cols, "rows": h.rows, "no_data": h.no_data, "values": _elements(values, code)}
+
+    return _rows(one, array_type(code))
+
+
+rt_cube2array = {name: _define(f"RT_Cube2Array{_TITLES[name]}", _cube2array(code), array_type(code)) for name, code in TYPE_CODES.items()}
+
+
+def _cube2type(code: int):
+    return _rows(lambda blob: retype(Cube.load(blob), code).dump(), T.BinaryType())
+
+
+rt_cube2type = {name: _define(f"RT_Cube2Type{_TITLES[name]}", _cube2type(code), T.BinaryType()) for name, code in TYPE_CODES.items()}
+
+
+def cube_to_list(cube, kind: str = "DOUBLE") -> Column:
+    """The cast of a cube to a list: all cells, nodata included."""
+    return rt_cube2array[kind.upper()](cube, F.lit(False))["values"]
+
+
+# ---- algebra ----
+
+
+def _unary(name: str):
+    return lambda a: to_column(evaluate(("unary", name, ("leaf", 0)), [Batch(a)]), len(a))
+
+
+def _binary(name: str):
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        leaf, kind = _leaf(b)
+        return to_column(evaluate(("binary", name, ("leaf", 0), (kind, 1)), [Batch(a), leaf]), len(a))
+
+    return run
+
+
+def _title(name: str) -> str:
+    return "".join(w.capitalize() for w in name.split("_")).replace("Nodata", "NoData")
+
+
+_algebra = {name: _define(f"RT_Cube{_title(name)}", _unary(name), T.BinaryType()) for name in algebra.UNARY}
+_algebra |= {name: _define(f"RT_Cube{_title(name)}", _binary(name), T.BinaryType()) for name in algebra.BINARY_NAMES}
+rt_cube_neg, rt_cube_abs, rt_cube_sqrt, rt_cube_log, rt_cube_exp = (_algebra[n] for n in ("neg", "abs", "sqrt", "log", "exp"))
+rt_cube_add, rt_cube_subtract, rt_cube_multiply, rt_cube_divide, rt_cube_pow, rt_cube_mod = (_algebra[n] for n in ("add", "subtract", "multiply", "divide", "pow", "mod"))
+rt_cube_equal, rt_cube_not_equal, rt_cube_less, rt_cube_less_equal, rt_cube_greater, rt_cube_greater_equal = (_algebra[n] for n in ("equal", "not_equal", "less", "less_equal", "greater", "greater_equal"))
+rt_cube_set, rt_cube_set_nodata, rt_cube_fill, rt_cube_min, rt_cube_max = (_algebra[n] for n in ("set", "set_nodata", "fill", "min", "max"))
+
+
+def _null_or_empty(a: pa.Array) -> pa.Array:
+    out = np.ones(len(a), bool)
+    for head, rows, cells in Batch(a).groups:
+        out[rows] = is_nodata(cells, head.no_data).all(axis=1) if head.cells else True
+    return pa.array(out)
+
+
+rt_cube_null_or_empty = _define("RT_CubeNullOrEmpty", _null_or_empty, T.BooleanType())
+
+# ---- statistics ----
+
+
+def _zone_cells(blob, band, tile_x, tile_y, metadata, shape) -> tuple[np.ndarray, float]:
+    cube, ref = Cube.load(blob), georef(metadata)
+    cells = cube.band(band)
+    mask = _mask(bytes(shape), ref, tile_x, tile_y, cube.head.cols, cube.head.rows)
+    return cells[mask], cube.head.no_data
+
+
+@lru_cache(maxsize=4096)
+def _mask(shape: bytes, ref: Georef, tile_x: int, tile_y: int, cols: int, rows: int) -> np.ndarray:
+    return geo.cell_mask(geo.parsed(shape), ref.transform, tile_x * ref.block_x, tile_y * ref.block_y, cols, rows)
+
+
+def _state(blob, band, *zone) -> dict:
+    if zone:
+        return stats.partial(*_zone_cells(blob, band, *zone))
+    cube = Cube.load(blob)
+    return stats.partial(cube.band(band).ravel(), cube.head.no_data)
+
+
+_partial_state = _define("RT_CubeState", _rows(_state, stats.STATE), stats.STATE)
+
+
+def cube_state(cube, band=0, *zone) -> Column:
+    """The partial state that cube_stats_agg merges."""
+    return _partial_state(cube, F.lit(band) if isinstance(band, int) else band, *zone)
+
+
+#: (cube, band[, tile_x, tile_y, metadata, geometry]) -> minimum, maximum, sum, mean, stddev, valid_count, nodata_count
+rt_cube_stats = _define("RT_CubeStats", _rows(lambda *a: stats.finished(_state(*a)), stats.STATS), stats.STATS)
+
+# ---- sampling ----
+
+
+def _sample(cube: Cube, band: int, col: int, row: int, default):
+    grid = cube.band(band)
+    return float(grid[row, col]) if 0 <= col < cube.head.cols and 0 <= row < cube.head.rows else default
+
+
+def _raster_value(blob, band, col, row, default):
+    return _sample(Cube.load(blob), band, col, row, float(default))
+
+
+def _many(values: list, band: int, cube: Cube, default) -> list:
+    grid = cube.band(band)
+    return [float(grid[r, c]) if 0 <= c < cube.head.cols and 0 <= r < cube.head.rows else float(default) for c, r in values]
+
+
+def _raster_values(blob, band, cols, rows, default):
+    if len(cols) != len(rows):
+        raise RasterError("The lists of columns and rows must have the same length")
+    return _many(list(zip(cols, rows)), band, Cube.load(blob), default)
+
+
+def _local(ref: Georef, x: float, y: float, tile: tuple) -> tuple[int, int]:
+    c, r = ref.pixel(float(x), float(y))
+    return (c - tile[0] * ref.block_x, r - tile[1] * ref.block_y) if tile else (c, r)
+
+
+def _coord_value(blob, band, x, y, metadata, default, *tile):
+    return _sample(Cube.load(blob), band, *_local(georef(metadata), x, y, tile), float(default))
+
+
+def _coord_values(blob, band, xs, ys, metadata, default, *tile):
+    if len(xs) != len(ys):
+        raise RasterError("The lists of x and y must have the same length")
+    ref = georef(metadata)
+    return _many([_local(ref, x, y, tile) for x, y in zip(xs, ys)], band, Cube.load(blob), default)
+
+
+#: (cube, band, col, row, default): a pixel of the tile
+rt_raster_value = _define("RT_RasterValue", _rows(_raster_value, T.DoubleType()), T.DoubleType())
+rt_raster_values = _define("RT_RasterValues", _rows(_raster_values, T.ArrayType(T.DoubleType())), T.ArrayType(T.DoubleType()))
+#: (cube, band, x, y, metadata, default[, tile_x, tile_y]): without a tile the cube must be that of tile (0, 0)
+rt_coord_value = _define("RT_CoordValue", _rows(_coord_value, T.DoubleType()), T.DoubleType())
+rt_coord_values = _define("RT_CoordValues", _rows(_coord_values, T.ArrayType(T.DoubleType())), T.ArrayType(T.DoubleType()))
+
+_TRANSFORM = "struct<transform:array<double>,blocksize_x:int,blocksize_y:int>"
+
+
+def _value_agg(cube, band, col: Column, row: Column, tile_x, tile_y, ref: Column, default) -> Column:
+    tile_x, tile_y = _col(tile_x), _col(tile_y)
+    here = (F.floor(col / ref["blocksize_x"]) == tile_x) & (F.floor(row / ref["blocksize_y"]) == tile_y)
+    mine = F.when(here, _col(cube))  # other tiles' pixels stay in the JVM
+    value = rt_raster_value(mine, F.lit(band) if isinstance(band, int) else band, (col - tile_x * ref["blocksize_x"]).cast("int"), (row - tile_y * ref["blocksize_y"]).cast("int"), F.lit(float("nan")))
+    found = F.max(F.when(here, F.struct(value.alias("v"))))["v"]
+    return F.when(F.count(F.lit(1)) > 0, F.coalesce(F.when(~F.isnan(found), found), F.lit(float(default))))
+
+
+def rt_raster_value_agg(cube, band, col, row, tile_x, tile_y, metadata, default: float) -> Column:
+    """Aggregate: the value of a pixel of the whole raster, from the group's tile that holds it, else default."""
+    return _value_agg(cube, band, _col(col), _col(row), tile_x, tile_y, F.from_json(_col(metadata), _TRANSFORM), default)
+
+
+def rt_coord_value_agg(cube, band, x, y, tile_x, tile_y, metadata, default: float) -> Column:
+    """Aggregate: the value at a place in the world, from the group's tile that holds it, else default."""
+    ref = F.from_json(_col(metadata), _TRANSFORM)
+    g, dx, dy = ref["transform"], _col(x) - ref["transform"][0], _col(y) - ref["transform"][3]
+    det = g[1] * g[5] - g[2] * g[4]
+    return _value_agg(cube, band, F.floor((g[5] * dx - g[2] * dy) / det), F.floor((g[1] * dy - g[4] * dx) / det), tile_x, tile_y, ref, default)
+
+
+# ---- spatial ----
+
+
+def _positive(band: int, tile_x: int, tile_y: int) -> None:
+    if min(band, tile_x, tile_y) < 0:
+        raise RasterError("Band and tile indices must not be negative")
+
+
+def _holes(blob, band) -> tuple[Cube, np.ndarray]:
+    cube = Cube.load(blob)
+    return cube, ~is_nodata(cube.band(band), cube.head.no_data)
+
+
+def _envelope(blob, band, tile_x, tile_y, metadata):
+    _positive(band, tile_x, tile_y)
+    _, keep = _holes(blob, band)
+    if not keep.any():
+        return None
+    ref = georef(metadata)
+    r, c = np.flatnonzero(keep.any(axis=1)), np.flatnonzero(keep.any(axis=0))
+    g, x0, y0 = ref.transform, tile_x * ref.block_x, tile_y * ref.block_y
+    points = [(g[0] + g[1] * a + g[2] * b, g[3] + g[4] * a + g[5] * b) for a in (x0 + c[0], x0 + c[-1] + 1) for b in (y0 + r[0], y0 + r[-1] + 1)]
+    xs, ys = [float(p[0]) for p in points], [float(p[1]) for p in points]
+    ring = [(min(xs), min(ys)), (max(xs), min(ys)), (max(xs), max(ys)), (min(xs), max(ys)), (min(xs), min(ys))]
+    return geo.to_wkb(("Polygon", [ring]))
+
+
+def _polygon(blob, band, tile_x, tile_y, metadata):
+    _positive(band, tile_x, tile_y)
+    _, keep = _holes(blob, band)
+    ref = georef(metadata)
+    shape = geo.mask_geometry(keep, ref.transform, tile_x * ref.block_x, tile_y * ref.block_y)
+    return geo.to_wkb(shape) if shape else None
+
+
+def _masked(inside: bool):
+    def run(blob, tile_x, tile_y, metadata, shape, value):
+        cube = Cube.load(blob)
+        h = cube.head
+        mask = _mask(bytes(shape), georef(metadata), tile_x, tile_y, h.cols, h.rows) if h.cells else np.zeros((0, 0), bool)
+        cells = cube.doubles().reshape(h.bands, h.rows, h.cols)
+        changed = mask if inside else ~mask
+        return Cube(h, convert(np.where(changed, float(value), cells), h.data_type).ravel()).dump()
+
+    return _rows(run, T.BinaryType())
+
+
+#: (cube, band, tile_x, tile_y, metadata) -> WKB
+rt_envelope = _define("RT_Envelope", _rows(_envelope, T.BinaryType()), T.BinaryType())
+rt_polygon = _define("RT_Polygon", _rows(_polygon, T.BinaryType()), T.BinaryType())
+#: (cube, tile_x, tile_y, metadata, geometry, value) -> cube
+rt_cube_clip = _define("RT_CubeClip", _masked(False), T.BinaryType())
+rt_cube_burn = _define("RT_CubeBurn", _masked(True), T.BinaryType())
+
+st_area = _define("ST_Area", _rows(lambda g: geo.area(geo.parsed(bytes(g))), T.DoubleType()), T.DoubleType())
+st_perimeter = _define("ST_Perimeter", _rows(lambda g: geo.perimeter(geo.parsed(bytes(g))), T.DoubleType()), T.DoubleType())
+st_intersects = _define("ST_Intersects", _rows(lambda a, b: geo.intersects(geo.parsed(bytes(a)), geo.parsed(bytes(b))), T.BooleanType()), T.BooleanType())
+st_geom_from_text = _define("ST_GeomFromText", _rows(lambda t: geo.to_wkb(geo.from_wkt(t)), T.BinaryType()), T.BinaryType())
+st_as_text = _define("ST_AsText", _rows(lambda g: geo.to_wkt(geo.parsed(bytes(g))), T.StringType()), T.StringType())
+st_geom_from_geojson = _define("ST_GeomFromGeoJSON", _rows(lambda t: geo.to_wkb(geo.from_geojson(t)), T.BinaryType()), T.BinaryType())
+st_as_geojson = _define("ST_AsGeoJSON", _rows(lambda g: geo.to_geojson(geo.parsed(bytes(g))), T.StringType()), T.StringType())
+st_transform = _define("ST_Transform", _rows(lambda g, a, b: geo.to_wkb(crs_module.transform_geometry(geo.parsed(bytes(g)), a, b)), T.BinaryType()), T.BinaryType())
+st_envelope = _define("ST_Envelope", _rows(lambda g: geo.to_wkb(geo.rectangle(*geo.envelope(geo.parsed(bytes(g))))), T.BinaryType()), T.BinaryType())
+
+
+def _make_envelope(*columns: pa.Array) -> pa.Array:
+    """Rectangles of many rows at once: the WKB of a polygon with five points has a fixed layout."""
+    x0, y0, x1, y1 = (c.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in columns)
+    out = np.zeros(len(x0), np.dtype([("order", "u1"), ("kind", "<u4"), ("rings", "<u4"), ("points", "<u4"), ("ring", "<f8", (10,))]))
+    out["order"], out["kind"], out["rings"], out["points"] = 1, 3, 1, 5
+    out["ring"] = np.stack([x0, y1, x1, y1, x1, y0, x0, y0, x0, y1], axis=1)
+    null = np.isnan(out["ring"]).any(axis=1)
+    raw = out.tobytes()
+    size = out.dtype.itemsize
+    return pa.array([None if n else raw[i * size : (i + 1) * size] for i, n in enumerate(null)], pa.binary())
+
+
+st_make_envelope = _define("ST_MakeEnvelope", _make_envelope, T.BinaryType())
+
+
+def bbox_meets(bbox: Column | str, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
+    """A native test of a tile's bbox against a rectangle; as conjuncts, so that the source can prune by it."""
+    b = _col(bbox)
+    return (b["xmin"] <= xmax) & (b["xmax"] >= xmin) & (b["ymin"] <= ymax) & (b["ymax"] >= ymin)
+
+
+# ---- aggregates for SQL text; on tables of any size use cube_stats_agg and the aggregates above ----
+
+
+def _sql_stats(*columns: pa.Array):
+    state = dict(stats._ZERO)
+    for row in zip(*(c.to_pylist() for c in columns)):
+        if not any(v is None for v in row):
+            state = stats.merged(state, _state(*row))
+    return stats.finished(state)
+
+
+def _sql_value(blob, band, place, tile_x, tile_y, metadata, default):
+    value = None
+    for b, n, (px, py), tx, ty, m, d in zip(blob, band, place, tile_x, tile_y, metadata, default):
+        value = d if value is None else value
+        if b is None or m is None:
+            continue
+        ref = georef(m)
+        c, r = (px, py) if isinstance(px, int) else ref.pixel(px, py)
+        if (c // ref.block_x, r // ref.block_y) == (tx, ty):
+            found = _sample(Cube.load(b), n, c - tx * ref.block_x, r - ty * ref.block_y, None)
+            if found is not None:
+                return found
+    return None if value is None else float(value)
+
+
+def _sql_raster_value(cube, band, col, row, tile_x, tile_y, metadata, default):
+    lists = [c.to_pylist() for c in (cube, band, col, row, tile_x, tile_y, metadata, default)]
+    return _sql_value(lists[0], lists[1], [(int(c), int(r)) for c, r in zip(lists[2], lists[3])], *lists[4:])
+
+
+def _sql_coord_value(cube, band, x, y, tile_x, tile_y, metadata, default):
+    lists = [c.to_pylist() for c in (cube, band, x, y, tile_x, tile_y, metadata, default)]
+    return _sql_value(lists[0], lists[1], [(float(a), float(b)) for a, b in zip(lists[2], lists[3])], *lists[4:])
+
+
+def _sql_union(shapes: pa.Array):
+    found = [geo.parsed(bytes(s)) for s in shapes.to_pylist() if s is not None]
+    return geo.to_wkb(union(found)) if found else None
+
+
+def union(shapes: list) -> tuple:
+    """The union of axis-parallel rectangles, exactly; of disjoint other polygons, their collection."""
+    rings = [p for s in shapes for p in geo.polygons(s)]
+    square = all(len(p) == 1 and len(p[0]) == 5 and all(a[0] == b[0] or a[1] == b[1] for a, b in zip(p[0], p[0][1:])) for p in rings)
+    if not square:
+        whole = [("Polygon", p) for p in rings]
+        if any(geo.intersects(a, b) for i, a in enumerate(whole) for b in whole[i + 1 :]):
+            raise RasterError("The union of polygons that meet is supported for axis-parallel rectangles only")
+        return "MultiPolygon", rings
+    boxes = [geo.envelope(("Polygon", p)) for p in rings]
+    xs, ys = sorted({v for b in boxes for v in (b[0], b[2])}), sorted({v for b in boxes for v in (b[1], b[3])}, reverse=True)
+    mask = np.zeros((max(len(ys) - 1, 1), max(len(xs) - 1, 1)), bool)
+    for b in boxes:
+        mask[ys.index(b[3]) : ys.index(b[1]), xs.index(b[0]) : xs.index(b[2])] = True
+    found = [[[(xs[c], ys[r]) for c, r in ring] for ring in rings_] for rings_ in geo.outline(mask)]
+    return ("Polygon", found[0]) if len(found) == 1 else ("MultiPolygon", found)
+
+
+AGGREGATES = {
+    "RT_CubeStats_Agg": (_sql_stats, stats.STATS),
+    "RT_RasterValue_Agg": (_sql_raster_value, T.DoubleType()),
+    "RT_CoordValue_Agg": (_sql_coord_value, T.DoubleType()),
+    "ST_Union_Agg": (_sql_union, T.BinaryType()),
+}
+
+
+def st_union_agg(shape) -> Column:
+    return F.arrow_udf(_sql_union, T.BinaryType(), F.ArrowUDFType.GROUPED_AGG)(_col(shape))
+
+
+def rt_gdal_config(spark: SparkSession, key: str, value: str | None) -> bool:
+    """Keeps a raster option in the session (or removes it if the value is null); always true."""
+    if value is None:
+        spark.conf.unset(f"spark.tilewright.{key}")
+    else:
+        spark.conf.set(f"spark.tilewright.{key}", value)
+    return True
+
+
+def register_all(spark: SparkSession) -> None:
+    """Formats, functions, aggregates and table functions under their SQL names."""
+    from tilewright import sql
+    from tilewright.sources.reader import register
+
+    register(spark)
+    for name, (run, kind) in REGISTRY.items():
+        spark.udf.register(name, F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR))
+    for name, (run, kind) in AGGREGATES.items():
+        spark.udf.register(name, F.arrow_udf(run, kind, F.ArrowUDFType.GROUPED_AGG))
+    sql.register(spark)

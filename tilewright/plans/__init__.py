@@ -1,0 +1 @@
+"""Cube expressions as trees that run as one Arrow function each."""

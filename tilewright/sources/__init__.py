@@ -1,0 +1 @@
+"""Raster files as data sources and sinks."""
