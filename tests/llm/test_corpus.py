@@ -80,7 +80,7 @@ def test_links_of_large_buckets(spark, monkeypatch):
     alike = lambda x, y: abs(x - y) <= 10
     signed = spark.createDataFrame([(i, [1, v // 100, v % 2]) for i, v in items], "id long, bands array<long>")
     held = spark.createDataFrame([(i, str(v)) for i, v in items], "id long, text string")
-    found = links.verified_links(signed, lambda ids: held.join(ids, "id"), int, alike, Scratch(spark, "t")).collect()
+    found = links.verified_links(signed, lambda ids: held.join(ids, "id"), int, alike, Scratch(spark, "t"), ((0,), (1, 2))).collect()
     want = [(i, j) for (i, v), (j, w) in itertools.combinations(items, 2) if alike(v, w)]
     names = [i for i, _ in items]
     assert classes([tuple(r) for r in found], names) == classes(want, names)
@@ -117,8 +117,8 @@ def test_line_dedup_against_all_pairs(spark):
 def test_near_duplicates_against_all_pairs(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     texts = sorted({r["text"] or "" for r in rows})
-    held = {t: order_minhash.kmer_counts(t) for t in texts}
-    pairs = [(a, b) for a, b in itertools.combinations(texts, 2) if held[a][0] and held[b][0] and order_minhash.similar_documents(held[a], held[b])]
+    held = {t: order_minhash.kmer_list(t) for t in texts}
+    pairs = [(a, b) for a, b in itertools.combinations(texts, 2) if held[a] and held[b] and order_minhash.aligned(held[a], held[b]) >= 0.8]
     root = classes(pairs, texts)
     out = order_minhash.near_duplicates(docs).collect()
     assert len(out) == len(rows)

@@ -23,6 +23,7 @@ from tilewright.llm.graph import components
 from tilewright.llm.links import verified_links
 
 SHINGLE, ROWS, BANDS, SIMILAR = 8, 3, 8, 0.8
+PHASES = ((0, 1, 2), (3, 4, 5, 6, 7))
 #: Candidate ids up to this number (24 bytes each in memory) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _SEEDS = mix64(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64)).astype(np.uint32)
@@ -117,7 +118,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         few = ids.count() <= BROADCAST_IDS
         return lines.select("k1", "line").join(F.broadcast(ids) if few else ids, "k1", "left_semi").groupBy(F.col("k1").alias("id")).agg(F.max("line").alias("text"))
 
-    links = verified_links(signed.where("bands is not null").select(F.col("k1").alias("id"), "bands"), texts, line_set, similar_lines, scratch)
+    links = verified_links(signed.where("bands is not null").select(F.col("k1").alias("id"), "bands"), texts, line_set, similar_lines, scratch, PHASES)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = classes.join(roots, classes.k1 == roots.node, "left").where("n > 1 or root is not null")

@@ -7,11 +7,14 @@ exact components. In a larger one every member is held against the bucket's lead
 a member, in a join that Spark can split. Members unlike their leader go on to finer buckets (the same band
 value with one more band), then to the same buckets without the leaders, until all are small. No bucket is
 capped or dropped, and none of more than GROUP items is gathered in one task.
+
+Bands are taken in phases. After a phase the components of what is linked so far are known, and in the next one
+only items of different components are held against each other: buckets inside one component need no work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,36 +22,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.llm.common import Scratch
+from tilewright.llm.graph import components
 
 SMALL, GROUP = 8, 128
 FINER = 2  # rounds that refine buckets by one more band
 
 
-def group_links(items: list, similar: Callable) -> list[tuple[int, int]]:
-    """Links (positions, the lesser first) that make up the exact components of a few items."""
+def group_links(items: list, known: list, similar: Callable) -> list[tuple[int, int]]:
+    """Links (positions, the lesser first) that complete the components of a few items; items of equal `known` are linked."""
+    whole: dict = {}
+    for i, name in enumerate(known):
+        whole.setdefault(name, []).append(i)
     parts: list[list[int]] = []
     links = []
-    for i, item in enumerate(items):
-        met, rest = [i], []
+    for new in whole.values():
+        met, rest = list(new), []
         for part in parts:
-            other = next((j for j in part if similar(items[j], item)), None)
-            if other is None:
+            pair = next(((j, i) for j in part for i in new if similar(items[j], items[i])), None)
+            if pair is None:
                 rest.append(part)
             else:
-                links.append((other, i))
+                links.append((min(pair), max(pair)))
                 met = part + met
         parts = [*rest, met]
     return links
 
 
-def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """(a, b) links between similar items, written to the shared folder; (a, b) with a < b.
+def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable, scratch: Scratch, phases: Sequence[Sequence[int]], rounds: int = 60) -> DataFrame:
+    """(a, b) links between similar items, written to the shared folder; a < b.
 
-    signed: (id, bands array<long>); rows of the same id are alike. texts: ids -> (id, text), one row an id.
-    similar(prepare(text), prepare(text)) tells whether two items are alike.
+    signed: (id, bands array<long>); rows of the same id are alike. texts: ids -> (id, text), one row an id;
+    text may be anything that prepare takes. similar(prepare(text), prepare(text)) tells whether two items are
+    alike. phases: the numbers of the bands of each phase.
     """
     spark, kind = signed.sparkSession, signed.schema["id"].dataType
-    links = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         last, held, out = None, None, []
@@ -60,8 +68,8 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
 
     def in_group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
-        found = group_links([prepare(t) for t in rows["text"]], similar)
         ids = rows["id"].tolist()
+        found = group_links([prepare(t) for t in rows["text"]], rows["comp"].tolist(), similar)
         return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
 
     same = F.pandas_udf(alike, T.BooleanType())
@@ -70,36 +78,43 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         x, y = held.select(F.col("id").alias("a"), F.col("text").alias("x")), held.select(F.col("id").alias("b"), F.col("text").alias("y"))
         return pairs.join(x, "a").join(y, "b").where(same("x", "y")).select("a", "b")
 
+    exploded = signed.select("id", F.posexplode("bands").alias("band", "value"))
     found: list[DataFrame] = []
-    rows = signed.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id")
-    held = None
-    for i in range(rounds):
-        heads = rows.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("n")).where("last > lead").drop("last")
-        members = scratch.write(rows.join(heads, "bucket").select("bucket", "id", "lead", "n").distinct(), f"members{i}")
-        if held is None:
-            held = scratch.write(texts(members.select("id").distinct()), "texts")
-        few = members.where(F.col("n") <= SMALL)
-        near = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
-        star = members.where((F.col("n") > GROUP) & (F.col("id") > F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b"))
-        good = scratch.write(verified(near.unionByName(star).distinct(), held), f"links{i}")
-        grouped = members.where((F.col("n") > SMALL) & (F.col("n") <= GROUP)).join(held, "id").select("bucket", "id", "text")
-        found += [good, scratch.write(grouped.groupBy("bucket").applyInPandas(in_group, links), f"group{i}")]
-        # members of large buckets that are not like their leader; the leader itself has met everyone
-        met = good.select(F.col("a").alias("lead"), F.col("b").alias("id"))
-        rest = scratch.write(members.where((F.col("n") > GROUP) & (F.col("id") > F.col("lead"))).join(met, ["lead", "id"], "left_anti").select("bucket", "id"), f"rest{i}")
-        scratch.drop(f"members{i}", *([f"rest{i - 1}"] if i else []))
-        if rest.isEmpty():
-            break
-        if i < FINER:
-            bands = signed.select("id", F.posexplode("bands").alias("band", "value"))
-            rows = rest.join(bands, "id").select(F.xxhash64("bucket", "band", "value").alias("bucket"), "id").distinct()
+    roots, step = None, 0
+
+    def linked() -> DataFrame:
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out
+
+    for phase in phases:
+        rows = exploded.where(F.col("band").isin(list(phase))).select(F.xxhash64("band", "value").alias("bucket"), "id")
+        held = None
+        for i in range(rounds):
+            named = rows.withColumn("comp", F.col("id")) if roots is None else rows.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
+            heads = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("id", "comp")).alias("lead"), F.count("*").alias("n")).where("c1 > c0")
+            members = scratch.write(named.join(heads.select("bucket", "lead", "n"), "bucket").select("bucket", "id", "comp", "lead", "n").distinct(), f"members{step}")
+            if held is None:
+                held = scratch.write(texts(members.select("id").distinct()), "texts")
+            few = members.where(F.col("n") <= SMALL)
+            near = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")).join(few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb")), "bucket").where("a < b and ca != cb").select("a", "b")
+            large = members.where((F.col("n") > GROUP) & (F.col("comp") != F.col("lead.comp"))).select("bucket", F.col("lead.id").alias("a"), F.col("id").alias("b"))
+            good = scratch.write(verified(near.unionByName(large.select("a", "b")).distinct(), held), f"links{step}")
+            grouped = members.where((F.col("n") > SMALL) & (F.col("n") <= GROUP)).join(held, "id").select("bucket", "id", "comp", "text")
+            found += [good, scratch.write(grouped.groupBy("bucket").applyInPandas(in_group, schema), f"group{step}")]
+            # members of large buckets that are not like their leader; the leader itself has met everyone
+            rest = scratch.write(large.join(good, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("id")), f"rest{step}")
+            scratch.drop(f"members{step}", *([f"rest{step - 1}"] if i else []))
+            step += 1
+            if rest.isEmpty():
+                break
+            rows = rest.join(exploded, "id").select(F.xxhash64("bucket", "band", "value").alias("bucket"), "id").distinct() if i < FINER else rest
         else:
-            rows = rest
-    else:
-        raise RuntimeError(f"buckets of more than {GROUP} items that are unlike each other are left after {rounds} rounds")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    out = scratch.write(out.distinct(), "links")
-    scratch.drop("texts", *(f"{x}{j}" for x in ("links", "group") for j in range(i + 1)), f"rest{i}")
+            raise RuntimeError(f"buckets of more than {GROUP} items that are unlike each other are left after {rounds} rounds")
+        scratch.drop("texts", f"rest{step - 1}")
+        if phase is not phases[-1]:
+            roots = scratch.write(components(linked().select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).select(F.col("node").alias("id"), "root").distinct(), f"roots{step}")
+    out = scratch.write(linked().distinct(), "links")
+    scratch.drop(*(f"{x}{j}" for x in ("links", "group", "roots") for j in range(step + 1)))
     return out

@@ -17,8 +17,6 @@ all are), and the row with that doc_id is the one kept; rows alike in doc_id and
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +28,7 @@ from tilewright.llm.graph import components
 from tilewright.llm.links import verified_links
 
 WORDS, LEAST, SKETCHES, SIMILAR = 5, 3, 16, 0.8
+PHASES = (range(4), range(4, SKETCHES))
 BROADCAST_KEYS = 500_000
 
 
@@ -131,20 +130,36 @@ def aligned(a: list, b: list, similar: float = SIMILAR) -> float:
     return value if value >= similar else 0.0
 
 
-def kmer_counts(text: str | None) -> tuple[list, Counter]:
-    kmers = kmer_list(text)
-    return kmers, Counter(kmers)
+def kmer_codes(batches):
+    """(id, text) -> (id, text): each document's k-mers as 64-bit hashes, 8 bytes a k-mer."""
+    for batch in batches:
+        ids, column = batch.column("id"), batch.column("text")
+        for a, b in chunks([len(x) if x else 0 for x in column.to_pylist()], 4_000_000):
+            kmers, bounds = shingles(*word_hashes(*text_bytes(column.slice(a, b - a))), WORDS)
+            flat, ends = kmers.tobytes(), (8 * bounds).tolist()
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([flat[x:y] for x, y in zip(ends, ends[1:])], pa.binary())], ["id", "text"])
+
+
+def prepared(codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A document's k-mers in order, and its labelled k-mers sorted."""
+    kmers = np.frombuffer(codes, np.uint64)
+    ranked = np.sort(kmers)
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
+    run = np.flatnonzero(new)
+    label = np.arange(len(ranked)) - np.repeat(run, np.diff(np.concatenate([run, [len(ranked)]])))
+    return kmers, np.sort(mix64(ranked + label.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
 
 
-def similar_documents(a: tuple[list, Counter], b: tuple[list, Counter]) -> bool:
+def similar_documents(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
     """What the two share in any order bounds what can be aligned; only pairs above that bound are aligned."""
-    need = SIMILAR / (1 + SIMILAR) * (len(a[0]) + len(b[0]))
+    need = SIMILAR / (1 + SIMILAR) * (len(a[0]) + len(b[0])) - 1e-9
     if min(len(a[0]), len(b[0])) < need:
         return False
-    few, many = (a[1], b[1]) if len(a[1]) < len(b[1]) else (b[1], a[1])
-    if sum(min(n, many.get(x, 0)) for x, n in few.items()) < need - 1e-9:
+    both = np.concatenate([a[1], b[1]])
+    both.sort(kind="stable")
+    if np.count_nonzero(both[1:] == both[:-1]) < need:
         return False
-    return aligned(a[0], b[0]) >= SIMILAR
+    return aligned(a[0].tolist(), b[0].tolist()) >= SIMILAR
 
 
 def document_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -155,9 +170,9 @@ def document_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def held(ids: DataFrame) -> DataFrame:
         ids = scratch.write(ids, "ids")
         few = ids.count() <= BROADCAST_KEYS
-        return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+        return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")).mapInArrow(kmer_codes, "id string, text binary")
 
-    links = verified_links(signed, held, kmer_counts, similar_documents, scratch)
+    links = verified_links(signed, held, prepared, similar_documents, scratch, PHASES)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     scratch.drop("signed", "ids", "links")
     return roots.select(F.col("node").alias("id"), "root")
