@@ -17,13 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from tilewright.llm.common import Scratch, mix64
+from tilewright.llm.common import Scratch, chunks, mix64
 from tilewright.llm.graph import components
 from tilewright.llm.links import verified_links
 
 SHINGLE, ROWS, BANDS, SIMILAR = 8, 3, 8, 0.8
 PHASES = ((0, 1, 2), (3, 4, 5, 6, 7))
+#: What a line of white space alone is made of.
+BLANK = " \t\r\x0b\x0c"
 #: Candidate ids up to this number (24 bytes each in memory) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _SEEDS = mix64(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64)).astype(np.uint32)
@@ -61,26 +64,31 @@ def line_bands(lines: list[str], rows: int = ROWS, bands: int = BANDS, k: int =
 
 
 def _sign(batches):
-    """(doc_id, th, line_no, k1, k2, line) -> the same without line, with bands at a line's first place in the task."""
+    """(doc_id, th, text) -> a row a line: doc_id, th, line_no, k1, k2, and bands at the line's first place in the task."""
     seen: set[int] = set()
     for batch in batches:
-        keys = batch.column("k1").to_numpy()
-        lines = batch.column("line").to_pylist()
-        size = np.fromiter(map(len, lines), np.int64, len(lines))
-        ids = keys.tolist()
-        fresh = [i for i, key in enumerate(ids) if size[i] >= SHINGLE and not (key in seen or seen.add(key))]
-        values: list = [None] * len(lines)
-        start = 0
-        while start < len(fresh):
-            stop, total = start, 0
-            while stop < len(fresh) and (total < 4_000_000 or stop == start):
-                total += size[fresh[stop]]
-                stop += 1
-            signed = line_bands([lines[i] for i in fresh[start:stop]]).view(np.int64)
-            for i, row in zip(fresh[start:stop], signed):
-                values[i] = row
-            start = stop
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "line_no", "k1", "k2")), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "th", "line_no", "k1", "k2", "bands"])
+        docs, hashes, texts = (batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))
+        for a, b in chunks([len(t) for t in texts], 4_000_000):
+            lines, owner, number, k1, k2, fresh, new = [], [], [], [], [], [], []
+            for i in range(a, b):
+                for n, line in enumerate(texts[i].split("\n")):
+                    if not line.strip(BLANK):
+                        continue
+                    data = line.encode("utf-8", "surrogatepass")
+                    key = xxh64_intdigest(data, 42)
+                    if key not in seen and len(line) >= SHINGLE:
+                        seen.add(key)
+                        fresh.append(len(owner))
+                        new.append(line)
+                    owner.append(i)
+                    number.append(n)
+                    k1.append(key)
+                    k2.append(xxh64_intdigest(data, 43))
+            count = np.zeros(len(owner), np.int32)
+            count[fresh] = BANDS
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(line_bands(new).view(np.int64).ravel(), pa.int64()))
+            whole = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in owner], pa.int64()), pa.array([hashes[i] for i in owner], pa.int64()), pa.array(number, pa.int32()), whole(k1), whole(k2), bands], ["doc_id", "th", "line_no", "k1", "k2", "bands"])
 
 
 def line_set(line: str, k: int = SHINGLE) -> tuple[str, set[str]]:
@@ -102,27 +110,23 @@ def similar_lines(a: tuple[str, set[str]], b: tuple[str, set[str]]) -> bool:
     return line_jaccard(a, b) >= SIMILAR
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.where(F.length(F.trim(F.translate("line", "\t\r\x0b\x0c", "    "))) > 0).withColumns({"k1": F.xxhash64("line"), "k2": F.hash("line")})
-
-
 def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, th, removed array<int>) of the documents that lose lines; th is xxhash64 of the text."""
     docs = docs.select("doc_id", "text")
-    lines = _lines(docs)
-    signed = scratch.write(lines.mapInArrow(_sign, "doc_id long, th long, line_no int, k1 long, k2 int, bands array<long>"), "signed")
+    lines = docs.where("text is not null").select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.xxhash64("line").alias("k1"), "line")
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    signed = scratch.write(rows.mapInArrow(_sign, "doc_id long, th long, line_no int, k1 long, k2 long, bands array<long>"), "signed")
 
     def texts(ids: DataFrame) -> DataFrame:
         ids = scratch.write(ids.withColumnRenamed("id", "k1"), "ids")
         few = ids.count() <= BROADCAST_IDS
-        return lines.select("k1", "line").join(F.broadcast(ids) if few else ids, "k1", "left_semi").groupBy(F.col("k1").alias("id")).agg(F.max("line").alias("text"))
+        return lines.join(F.broadcast(ids) if few else ids, "k1", "left_semi").groupBy(F.col("k1").alias("id")).agg(F.max("line").alias("text"))
 
-    links = verified_links(signed.where("bands is not null").select(F.col("k1").alias("id"), "bands"), texts, line_set, similar_lines, scratch, PHASES)
+    links = verified_links(signed.where("size(bands) > 0").select(F.col("k1").alias("id"), "bands"), texts, line_set, similar_lines, scratch, PHASES)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = classes.join(roots, classes.k1 == roots.node, "left").where("n > 1 or root is not null")
-    classes = classes.select("k1", "k2", "first", F.coalesce("root", "k1").alias("c1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("c2"), F.col("root").isNotNull().alias("fuzzy"))
+    classes = classes.select("k1", "k2", "first", F.coalesce("root", "k1").alias("c1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(F.lit(0).cast("long")).alias("c2"), F.col("root").isNotNull().alias("fuzzy"))
     classes = scratch.write(classes, "classes")
     owners = classes.groupBy("c1", "c2", "fuzzy").agg(F.min("first").alias("owner"))
     owned = scratch.write(classes.join(owners, ["c1", "c2", "fuzzy"]).select("k1", "k2", "owner"), "owned")
@@ -137,6 +141,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     clash = {"n_lines", "n_kept", "removed", "th", "_doc", "_th"} & set(docs.columns)
     docs = docs.drop(*clash)
     gone = removed_lines(docs, Scratch(docs.sparkSession, "lines")).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "removed")
+    size = gone.agg(F.count("*").alias("n"), F.sum(F.size("removed")).alias("lines")).first()
+    if size["n"] <= BROADCAST_IDS // 4 and (size["lines"] or 0) <= 2 * BROADCAST_IDS:  # else the texts are shuffled
+        gone = F.broadcast(gone)
     rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left").drop("_doc", "_th")
     parts = F.split("text", "\n", -1)
     kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("removed", i)), "\n"))

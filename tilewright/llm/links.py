@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tilewright.llm.common import Scratch
 from tilewright.llm.graph import components
 
-SMALL, GROUP = 8, 128
+SMALL, GROUP = 8, 512
 FINER = 2  # rounds that refine buckets by one more band
 
 
@@ -79,6 +79,10 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         return pairs.join(x, "a").join(y, "b").where(same("x", "y")).select("a", "b")
 
     exploded = signed.select("id", F.posexplode("bands").alias("band", "value"))
+    rows = exploded.select("band", F.xxhash64("band", "value").alias("bucket"), "id")
+    two = rows.groupBy("bucket").agg(F.min("id").alias("c0"), F.max("id").alias("c1")).where("c1 > c0").select("bucket")
+    shared = scratch.write(rows.join(two, "bucket", "left_semi").distinct(), "shared")
+    held = scratch.write(texts(shared.select("id").distinct()), "texts")
     found: list[DataFrame] = []
     roots, step = None, 0
 
@@ -89,14 +93,11 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         return out
 
     for phase in phases:
-        rows = exploded.where(F.col("band").isin(list(phase))).select(F.xxhash64("band", "value").alias("bucket"), "id")
-        held = None
+        rows = shared.where(F.col("band").isin(list(phase))).select("bucket", "id")
         for i in range(rounds):
             named = rows.withColumn("comp", F.col("id")) if roots is None else rows.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
             heads = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("id", "comp")).alias("lead"), F.count("*").alias("n")).where("c1 > c0")
             members = scratch.write(named.join(heads.select("bucket", "lead", "n"), "bucket").select("bucket", "id", "comp", "lead", "n").distinct(), f"members{step}")
-            if held is None:
-                held = scratch.write(texts(members.select("id").distinct()), "texts")
             few = members.where(F.col("n") <= SMALL)
             near = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")).join(few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb")), "bucket").where("a < b and ca != cb").select("a", "b")
             large = members.where((F.col("n") > GROUP) & (F.col("comp") != F.col("lead.comp"))).select("bucket", F.col("lead.id").alias("a"), F.col("id").alias("b"))
@@ -112,9 +113,9 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
             rows = rest.join(exploded, "id").select(F.xxhash64("bucket", "band", "value").alias("bucket"), "id").distinct() if i < FINER else rest
         else:
             raise RuntimeError(f"buckets of more than {GROUP} items that are unlike each other are left after {rounds} rounds")
-        scratch.drop("texts", f"rest{step - 1}")
+        scratch.drop(f"rest{step - 1}")
         if phase is not phases[-1]:
             roots = scratch.write(components(linked().select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).select(F.col("node").alias("id"), "root").distinct(), f"roots{step}")
     out = scratch.write(linked().distinct(), "links")
-    scratch.drop(*(f"{x}{j}" for x in ("links", "group", "roots") for j in range(step + 1)))
+    scratch.drop("texts", "shared", *(f"{x}{j}" for x in ("links", "group", "roots") for j in range(step + 1)))
     return out
