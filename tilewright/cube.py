@@ -143,9 +143,9 @@ class Cube:
     def load(blob: bytes) -> Cube:
         head = read_header(blob)
         payload = decompress(memoryview(blob)[HEADER.size :], head.data_format, head.cells * head.dtype.itemsize)
-        values = np.frombuffer(payload, head.dtype)
-        if values.size != head.cells:
+        if len(payload) != head.cells * head.dtype.itemsize:
             raise RasterError("Invalid datacube: payload of another size than its header tells")
+        values = np.frombuffer(payload, head.dtype)
         return Cube(replace(head, data_format=0), values)
 
     def dump(self, data_format: int = 0) -> bytes:

@@ -187,7 +187,7 @@ def clip_and_burn(spark, d):
     return _cells(t, clipped=rt.rt_cube_clip("a", *_place(), _zone(), F.lit(7.0)), burnt=rt.rt_cube_burn("a", *_place(), _zone(), F.lit(7.0)))
 
 
-@query(CELLS + 'SELECT vec_id, 1000.0 + (any_value(tile_x) * 8 + min(col)) * 2 AS xmin, 50000.0 - (any_value(tile_y) * 8 + max("row") + 1) * 2 AS ymin, 1000.0 + (any_value(tile_x) * 8 + max(col) + 1) * 2 AS xmax, 50000.0 - (any_value(tile_y) * 8 + min("row")) * 2 AS ymax FROM cells WHERE a > 0.1 GROUP BY vec_id')
+@query(CELLS + 'SELECT vec_id, CAST(1000 + (any_value(tile_x) * 8 + min(col)) * 2 AS DOUBLE) AS xmin, CAST(50000 - (any_value(tile_y) * 8 + max("row") + 1) * 2 AS DOUBLE) AS ymin, CAST(1000 + (any_value(tile_x) * 8 + max(col) + 1) * 2 AS DOUBLE) AS xmax, CAST(50000 - (any_value(tile_y) * 8 + min("row")) * 2 AS DOUBLE) AS ymax FROM cells WHERE a > 0.1 GROUP BY vec_id')
 def envelope_of_cells(spark, d):
     """Only values above 0.1 are kept: the others become nodata through a comparison and a burn of the mask."""
     t = tiles(spark, d)
@@ -201,7 +201,7 @@ def envelope_of_cells(spark, d):
     return e.select("vec_id", F.col("r")[0][0].alias("xmin"), F.col("r")[0][1].alias("ymin"), F.col("r")[2][0].alias("xmax"), F.col("r")[2][1].alias("ymax"))
 
 
-@query(CELLS + "SELECT vec_id, 4.0 * count(*) AS area FROM cells WHERE a <> -9999 GROUP BY vec_id")
+@query(CELLS + "SELECT vec_id, CAST(4 * count(*) AS DOUBLE) AS area FROM cells WHERE a <> -9999 GROUP BY vec_id")
 def polygon_area(spark, d):
     return tiles(spark, d).select("vec_id", rt.st_area(rt.rt_polygon("a", F.lit(0), *_place())).alias("area")).where("area is not null")
 
@@ -212,7 +212,7 @@ def null_or_empty(spark, d):
     return tiles(spark, d).select("vec_id", rt.rt_cube_null_or_empty("a").alias("empty"), rt.rt_cube_null_or_empty(high.column()).alias("empty_high"))
 
 
-@query(CELLS + 'SELECT vec_id, round(max(a) FILTER (WHERE col = 3 AND "row" = 5), 6) AS one, -1.0 AS beyond, round(max(a) FILTER (WHERE col = 0 AND "row" = 0), 6) AS first, round(max(a) FILTER (WHERE col = 7 AND "row" = 7), 6) AS last, round(max(a) FILTER (WHERE col = 2 AND "row" = 4), 6) AS placed FROM cells GROUP BY vec_id')
+@query(CELLS + 'SELECT vec_id, round(max(a) FILTER (WHERE col = 3 AND "row" = 5), 6) AS one, CAST(-1 AS DOUBLE) AS beyond, round(max(a) FILTER (WHERE col = 0 AND "row" = 0), 6) AS first, round(max(a) FILTER (WHERE col = 7 AND "row" = 7), 6) AS last, round(max(a) FILTER (WHERE col = 2 AND "row" = 4), 6) AS placed FROM cells GROUP BY vec_id')
 def pixel_values(spark, d):
     n = F.lit
     t = tiles(spark, d)
@@ -230,7 +230,7 @@ def value_aggregates(spark, d):
     return tiles(spark, d).groupBy("label").agg(F.round(a, 6).alias("by_pixel"), F.round(b, 6).alias("by_place"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS id, CAST(i % 16 AS INT) AS tile_x, CAST(i // 16 AS INT) AS tile_y, 499980.0 + ((i % 16) * 128 + 64) * 5 AS x, 4800000.0 - ((i // 16) * 128 + 64) * 5 AS y, 128 AS cols, 128 AS \"rows\", 409600.0 AS area, 16384 AS holes FROM range(256) AS t(i)")
+@query("SELECT CAST(i AS BIGINT) AS id, CAST(i % 16 AS INT) AS tile_x, CAST(i // 16 AS INT) AS tile_y, CAST(499980 + ((i % 16) * 128 + 64) * 5 AS DOUBLE) AS x, CAST(4800000 - ((i // 16) * 128 + 64) * 5 AS DOUBLE) AS y, 128 AS cols, 128 AS \"rows\", CAST(409600 AS DOUBLE) AS area, 16384 AS holes FROM range(256) AS t(i)")
 def create_raster(spark, d):
     t = create(spark, "sample", "EPSG:25830", 499980.0, 4789760.0, 510220.0, 4800000.0, 2048, 2048, 1, 3, -9999.0, blocksize_x=128, blocksize_y=128)
     s = rt.rt_cube_stats("databand_1", F.lit(0))
@@ -315,13 +315,13 @@ def tile_join(spark, d):
     return both.select("vec_id", s.alias("s")).where("s.valid_count > 0").select("vec_id", F.round("s.mean", 6).alias("mean"))
 
 
-@query("SELECT vec_id, 16.0 * 16 AS area, 64.0 AS perimeter, 'POLYGON ((' || x || ' ' || y || ', ' || (x + 16) || ' ' || y || ', ' || (x + 16) || ' ' || (y - 16) || ', ' || x || ' ' || (y - 16) || ', ' || x || ' ' || y || '))' AS shape FROM (SELECT vec_id, 1000 + (vec_id % 25) * 16 AS x, 50000 - (vec_id // 25) * 16 AS y FROM embeddings)")
+@query("SELECT vec_id, CAST(256 AS DOUBLE) AS area, CAST(64 AS DOUBLE) AS perimeter, 'POLYGON ((' || x || ' ' || y || ', ' || (x + 16) || ' ' || y || ', ' || (x + 16) || ' ' || (y - 16) || ', ' || x || ' ' || (y - 16) || ', ' || x || ' ' || y || '))' AS shape FROM (SELECT vec_id, 1000 + (vec_id % 25) * 16 AS x, 50000 - (vec_id // 25) * 16 AS y FROM embeddings)")
 def geometry_measures(spark, d):
     shape = rt.st_geom_from_text(rt.st_as_text("geometry"))
     return tiles(spark, d).select("vec_id", rt.st_area(shape).alias("area"), rt.st_perimeter("geometry").alias("perimeter"), rt.st_as_text(shape).alias("shape"))
 
 
-@query("SELECT tile_x, 256.0 * count(*) AS area FROM (SELECT vec_id % 25 AS tile_x FROM embeddings) GROUP BY tile_x")
+@query("SELECT tile_x, CAST(256 * count(*) AS DOUBLE) AS area FROM (SELECT vec_id % 25 AS tile_x FROM embeddings) GROUP BY tile_x")
 def geometry_union(spark, d):
     return tiles(spark, d).groupBy(F.col("tile_x").cast("long").alias("tile_x")).agg(rt.st_union_agg("geometry").alias("g")).select("tile_x", rt.st_area("g").alias("area"))
 
@@ -353,7 +353,7 @@ def set_operations(spark, d):
     return both.subtract(spark.range(7, 8).select(F.col("id").alias("t"))).unionAll(spark.range(100, 101).select(F.col("id").alias("t")))
 
 
-@query("SELECT vec_id, 'EPSG:25830' AS crs, 200 AS width, 8 AS block, 2.0 AS cell FROM embeddings")
+@query("SELECT vec_id, 'EPSG:25830' AS crs, 200 AS width, 8 AS block, CAST(2 AS DOUBLE) AS cell FROM embeddings")
 def metadata_fields(spark, d):
     m = F.from_json("metadata", "struct<crs:string,width:int,blocksize_x:int,transform:array<double>>")
     return tiles(spark, d).select("vec_id", m.alias("m")).select("vec_id", "m.crs", "m.width", F.col("m.blocksize_x").alias("block"), F.col("m.transform")[1].alias("cell"))
