@@ -26,7 +26,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two benchmark items or more go."""
+    """Documents that hold a window of any benchmark item go."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
