@@ -120,13 +120,10 @@ class TileReader(DataSourceReader):
         kept = self.kept(o.grid, o.bbox, o.where)
         cells = o.grid.block_x * o.grid.block_y * max(1, len(o.bands))
         most = o.per_partition or max(1, 4_000_000 // max(1, cells))
-        out, start = [], 0
-        while start < len(kept):  # runs of consecutive tiles
-            stop = start + 1
-            while stop < len(kept) and stop - start < most and kept[stop] == kept[stop - 1] + 1:
-                stop += 1
-            out.append(Tiles(int(kept[start]), int(kept[stop - 1])))
-            start = stop
+        # runs of consecutive tiles, cut to `most` each
+        heads = np.flatnonzero(np.diff(kept, prepend=kept[:1] - 2) != 1)
+        ends = np.append(heads[1:], len(kept))
+        out = [Tiles(int(kept[i]), int(kept[min(i + most, e) - 1])) for h, e in zip(heads.tolist(), ends.tolist()) for i in range(h, e, most)]
         return out or [Tiles(0, -1)]
 
     def read(self, partition: Tiles) -> Iterator[pa.RecordBatch]:
