@@ -192,3 +192,14 @@ def test_value_aggregates(spark):
 
 def test_undefined_nodata():
     assert NODATA_UNDEFINED == -np.finfo(float).max
+
+
+def test_band_algebra_as_text(spark):
+    from tilewright.plans.expr import parse
+
+    df = spark.createDataFrame([(bytearray(made([4, 9, ND])), bytearray(made([1, 2, 3])))], "a binary, b binary")
+    for text, want in (("(a - b) / (a + b)", [0.6, 7 / 11, ND]), ("max(sqrt(a), 2.5) ^ 2", [6.25, 9, ND]), ("-a % 3", [-1, 0, ND]), ("a > 4", [0, 1, ND]), ("type(a * 100, uint8)", [255, 255, 0])):
+        assert cells(df.select(parse(text).column().alias("v")).first().v) == pytest.approx(want)
+    for wrong in ("1 + a", "a +", "foo(a)", "a.b", "a < b < a"):
+        with pytest.raises(RasterError):
+            parse(wrong)

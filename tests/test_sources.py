@@ -359,3 +359,32 @@ def test_streaming(spark, tmp_path):
         assert [(r.tile_x, r.n, r.total) for r in rows] == [(0, 400, 1600.0), (1, 400, 1600.0)]
     finally:
         q.stop()
+
+
+def test_statements(spark, overlay, tmp_path):
+    from tilewright.sql import run
+
+    path, cells = overlay
+    assert run(spark, f"SELECT count(*) AS n FROM '{path}' AS t").first().n == read_tiles(spark, path).count()
+    n = run(spark, f"SELECT count(*) AS n FROM RT_Read(['{path}', '{path}'], separate_bands := true, blocksize_x := 64, blocksize_y := 64) WHERE tile_x IN (1, 2) /* two */ -- columns").first().n
+    assert n == 6
+    assert run(spark, f"SELECT count(*) AS n, max(c.band_1) AS top FROM RT_ReadCells('{path}', warp_options := [], ignore_nodata := 0) c;").first().top == cells[0].max()
+    out = tmp_path / "o.tif"
+    copied = run(
+        spark,
+        f"""COPY (
+            SELECT * FROM RT_Read('{path}', blocksize_x := 320, blocksize_y := 8)
+        )
+        TO '{out}'
+        WITH (
+            FORMAT RASTER, DRIVER 'COG', CREATION_OPTIONS ('COMPRESS=LZW'), RESAMPLING 'nearest', ENVELOPE [545539.750, 4724420.250, 545699.750, 4724510.250],
+            SRS 'EPSG:25830', GEOMETRY_COLUMN 'geometry', DATABAND_COLUMNS ['databand_3', 'databand_2', 'databand_1']
+        );""",
+    )
+    assert copied.first()[0] == 23 and run(spark, f"SELECT COUNT(id) FROM RT_Read('{out}')").first()[0] == 1
+    assert (open_file(str(out)).read(0, 0, 0, 320, 180) == cells[2]).all()
+    made = run(spark, "SELECT * FROM RT_Create('/vsimem/raster-sample.tiff', 'EPSG:25830', 499980.0, 4789760.0, 510220.0, 4800000.0, 2048, 2048, 1, 3 /*GDT_Int16*/, -9999.0, driver_name := 'Memory', blocksize_x := 512, blocksize_y := 512)")
+    assert made.count() == 16 and Cube.load(bytes(made.first().databand_1)).values[0] == -9999
+    with pytest.raises(ValueError):
+        run(spark, "COPY (SELECT 1) TO 'x' WITH (FORMAT CSV)")
+    assert run(spark, "SELECT [1, 2, 3][1] AS x, size(['a[', 'b']) AS n").first() == (2, 2)

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import ast
 from dataclasses import replace
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.cube import DOUBLE, DTYPES, HEADER, Batch, Header, compress, convert, format_code, type_code
+from tilewright.cube import DOUBLE, DTYPES, HEADER, Batch, Header, RasterError, compress, convert, format_code, type_code
 from tilewright.operators import algebra
 
 Groups = list  # of (Header, row numbers, cells)
@@ -178,4 +179,45 @@ def cube(column: Column | str) -> CubeExpr:
     return CubeExpr(("leaf", 0), [F.col(column) if isinstance(column, str) else column])
 
 
-__all__ = ["HEADER", "CubeExpr", "Header", "cube", "evaluate", "to_column"]
+_SYMBOLS = {ast.Add: "add", ast.Sub: "subtract", ast.Mult: "multiply", ast.Div: "divide", ast.Pow: "pow", ast.BitXor: "pow", ast.Mod: "mod"}
+_TESTS = {ast.Eq: "equal", ast.NotEq: "not_equal", ast.Lt: "less", ast.LtE: "less_equal", ast.Gt: "greater", ast.GtE: "greater_equal"}
+
+
+def parse(text: str) -> CubeExpr:
+    """Band algebra as text: `(nir - red) / (nir + red)`, `max(abs(a), 2) ^ 2`, `type(a * 100, int16)`; names are cube columns."""
+
+    def build(node):
+        if isinstance(node, ast.Name):
+            return cube(node.id)
+        if isinstance(node, ast.Constant):
+            return float(node.value)
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+            inner = build(node.operand)
+            return -inner
+        if isinstance(node, ast.BinOp) and type(node.op) in _SYMBOLS:
+            return _left(build(node.left)).binary(_SYMBOLS[type(node.op)], build(node.right))
+        if isinstance(node, ast.Compare) and len(node.ops) == 1 and type(node.ops[0]) in _TESTS:
+            return _left(build(node.left)).binary(_TESTS[type(node.ops[0])], build(node.comparators[0]))
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
+            name = node.func.id.lower()
+            if name == "type" and len(node.args) == 2 and isinstance(node.args[1], ast.Name):
+                return _left(build(node.args[0])).to_type(node.args[1].id)
+            if name in algebra.UNARY and len(node.args) == 1:
+                return _left(build(node.args[0])).unary(name)
+            if name in algebra.BINARY_NAMES and len(node.args) == 2:
+                return _left(build(node.args[0])).binary(name, build(node.args[1]))
+        raise RasterError(f"Not band algebra: {ast.unparse(node)}")
+
+    def _left(x) -> CubeExpr:
+        if not isinstance(x, CubeExpr):
+            raise RasterError("A cube must stand on the left of an operator")
+        return x
+
+    try:
+        # ^ binds like a power, not like the loose operator it is in Python
+        return _left(build(ast.parse(text.replace("^", "**"), mode="eval").body))
+    except SyntaxError as e:
+        raise RasterError(f"Not band algebra: {text}") from e
+
+
+__all__ = ["HEADER", "CubeExpr", "Header", "cube", "evaluate", "parse", "to_column"]

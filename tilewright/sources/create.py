@@ -32,9 +32,8 @@ def tile_rows(spark: SparkSession, grid: Grid) -> DataFrame:
     return df.select("id", "x", "y", "bbox", shape.alias("geometry"), "level", "tile_x", "tile_y", "cols", "rows", "metadata")
 
 
-def create(spark: SparkSession, path: str, crs: str, xmin: float, ymin: float, xmax: float, ymax: float, width: int, height: int, num_bands: int, data_type: int | str, nodata: float,
-           driver_name: str = "Memory", data_format: str = "RAW", blocksize_x: int | None = None, blocksize_y: int | None = None, datacube: bool = False) -> DataFrame:
-    """The tiles of a new raster filled with nodata. data_type: a file type code 1 to 7, or a name. `Memory` writes no file."""
+def _checked(path, crs, xmin, ymin, xmax, ymax, width, height, num_bands, data_type, nodata, driver_name, data_format, blocksize_x, blocksize_y, datacube) -> Grid:
+    """The grid of a new raster, and its file if the driver has any."""
     if not crs:
         raise RasterError("The coordinate system must not be empty")
     if num_bands <= 0 or width <= 0 or height <= 0:
@@ -53,6 +52,14 @@ def create(spark: SparkSession, path: str, crs: str, xmin: float, ymin: float, x
     if driver == "GTiff":
         with open_output(path) as f:  # sparse: all blocks are nodata
             TiffWriter(f, width, height, num_bands, DTYPES[code], nodata, grid.crs, transform, "NONE", max(16, -(-max(grid.block_x, grid.block_y) // 16) * 16)).close()
+    return grid
+
+
+def create(spark: SparkSession, path: str, crs: str, xmin: float, ymin: float, xmax: float, ymax: float, width: int, height: int, num_bands: int, data_type: int | str, nodata: float,
+           driver_name: str = "Memory", data_format: str = "RAW", blocksize_x: int | None = None, blocksize_y: int | None = None, datacube: bool = False) -> DataFrame:
+    """The tiles of a new raster filled with nodata. data_type: a file type code 1 to 7, or a name. `Memory` writes no file."""
+    grid = _checked(path, crs, xmin, ymin, xmax, ymax, width, height, num_bands, data_type, nodata, driver_name, data_format, blocksize_x, blocksize_y, datacube)
+    code = grid.data_type
     rows = tile_rows(spark, grid)
     bands = num_bands if datacube else 1
     fill = convert(np.array([nodata], np.float64), code)
@@ -71,6 +78,18 @@ def create(spark: SparkSession, path: str, crs: str, xmin: float, ymin: float, x
     return rows.withColumns({"datacube": cube} if datacube else {f"databand_{i + 1}": cube for i in range(num_bands)})
 
 
+def created_tiles(path: str, crs: str, xmin, ymin, xmax, ymax, width, height, num_bands, data_type, nodata, driver_name="Memory", data_format="RAW", blocksize_x=None, blocksize_y=None, datacube=False):
+    """The rows of create, one after another, for SQL text."""
+    grid = _checked(path, crs, xmin, ymin, xmax, ymax, width, height, num_bands, data_type, nodata, driver_name, data_format, blocksize_x, blocksize_y, datacube)
+    fill, fmt, bands = convert(np.array([nodata], np.float64), grid.data_type), format_code(data_format), num_bands if datacube else 1
+    for i in range(grid.tiles_x * grid.tiles_y):
+        t = grid.tile(i)
+        n = bands * t["cols"] * t["rows"]
+        cube = Header(fmt, grid.data_type, bands, t["cols"], t["rows"], nodata).pack() + compress(np.repeat(fill, n).tobytes(), fmt)
+        box = t["bbox"]
+        yield (t["id"], t["x"], t["y"], (box["xmin"], box["ymin"], box["xmax"], box["ymax"]), t["geometry"], 0, t["tile_x"], t["tile_y"], t["cols"], t["rows"], grid.metadata(), *[cube] * (1 if datacube else num_bands))
+
+
 def drivers(spark: SparkSession) -> DataFrame:
     """The formats this library reads or writes."""
     rows = [(name, long, can_create, can_copy, opener is not None, None) for name, (_, opener, long, can_create, can_copy) in DRIVERS.items()]

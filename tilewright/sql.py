@@ -1,15 +1,23 @@
-"""Table functions for SQL text: RT_Read, RT_ReadCells, RT_Create, RT_Drivers, RT_GdalConfig.
+"""SQL text: the table functions RT_Read, RT_ReadCells, RT_Create, RT_Drivers, RT_GdalConfig, and statements in a wider dialect.
 
-    SELECT id, databand_1 FROM RT_Read('/data/a.tif', blocksize_x => 256, blocksize_y => 256)
+    spark.sql("SELECT id, databand_1 FROM RT_Read('/data/a.tif', blocksize_x => 256, blocksize_y => 256)")
+    run(spark, "SELECT count(*) FROM 'a.tif'")
+    run(spark, "COPY (SELECT * FROM RT_Read(['a.tif', 'b.tif'], blocksize_x := 256, blocksize_y := 256)) TO 'c.tif' WITH (FORMAT RASTER, DRIVER 'COG')")
 
-A table function runs in one task; spark.read.format("raster") spreads the same tiles over the cluster.
+run() takes raster files as tables, named arguments with :=, lists in square brackets and COPY … (FORMAT RASTER).
+A table function runs in one task; run() therefore reads files with literal arguments through the data source,
+which spreads the same tiles over the cluster. Algebra on cubes has functions in SQL text, not operator symbols;
+tilewright.plans.expr.parse takes the symbols.
 """
 
 from __future__ import annotations
 
+import ast
 import json
+import re
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +65,24 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("RT_Read", F.udtf(_scan(RasterSource)))
     spark.udtf.register("RT_ReadCells", F.udtf(_scan(CellSource)))
 
+    class Create:
+        @staticmethod
+        def analyze(path, crs, xmin, ymin, xmax, ymax, width, height, num_bands, data_type, nodata, **named):
+            from pyspark.sql.udtf import AnalyzeResult
+
+            from tilewright.sources.reader import TILE_FIELDS
+
+            cube = named["datacube"].value if "datacube" in named else False
+            bands = ["datacube"] if cube else [f"databand_{i + 1}" for i in range(num_bands.value)]
+            return AnalyzeResult(schema=T.StructType([T.StructField(n, t) for n, t in TILE_FIELDS] + [T.StructField(b, T.BinaryType()) for b in bands]))
+
+        def eval(self, path, crs, xmin, ymin, xmax, ymax, width, height, num_bands, data_type, nodata, **named):
+            from tilewright.sources.create import created_tiles
+
+            yield from created_tiles(path, crs, float(xmin), float(ymin), float(xmax), float(ymax), width, height, num_bands, data_type, float(nodata), **named)
+
+    spark.udtf.register("RT_Create", F.udtf(Create))
+
     class Drivers:
         def eval(self):
             from tilewright.sources.dataset import DRIVERS
@@ -66,3 +92,141 @@ def register(spark: SparkSession) -> None:
 
     spark.udtf.register("RT_Drivers", F.udtf(Drivers, returnType="short_name string, long_name string, can_create boolean, can_copy boolean, can_open boolean, help_url string"))
     spark.udf.register("RT_GdalConfig", F.udf(lambda key, value: True, T.BooleanType()))
+
+
+# ---- statements ----
+
+_STRING = r"'(?:[^']|'')*'"
+
+
+def _outside(text: str, change) -> str:
+    """Applies change to the parts of a text that are not string literals."""
+    return "".join(part if part.startswith("'") else change(part) for part in re.split(f"({_STRING})", text))
+
+
+def _lists(text: str) -> str:
+    """Lists in square brackets as array(…); subscripts stay."""
+    out, stack = [], []
+    parts = re.split(f"({_STRING})", text)
+    for part in parts:
+        if part.startswith("'"):
+            out.append(part)
+            continue
+        for ch in part:
+            if ch == "[":
+                before = "".join(out).rstrip()
+                subscript = bool(re.search(r"[\w\])\"`]$", before)) and not re.search(r"\b(ENVELOPE|DATABAND_COLUMNS|SELECT|IN|AND|OR)$", before, re.IGNORECASE)
+                stack.append("]" if subscript else ")")
+                out.append("[" if subscript else "array(")
+            elif ch == "]":
+                out.append(stack.pop() if stack else "]")
+            else:
+                out.append(ch)
+    return "".join(out)
+
+
+def _arguments(text: str) -> tuple | None:
+    """(path, named arguments) of a table function's literal arguments; None if any is not a literal."""
+    words = {"true": "True", "false": "False", "null": "None"}
+    change = lambda t: re.sub(r"(\w+)\s*=>", r"\1=", re.sub(r"\b(true|false|null)\b", lambda m: words[m[0].lower()], t, flags=re.IGNORECASE)).replace("array(", "list((")
+    plain = _outside(text, change)
+    try:
+        call = ast.parse("f(" + text_to_python(plain) + ")", mode="eval").body
+        value = lambda node: [value(x) for x in (node.args[0].elts if isinstance(node.args[0], ast.Tuple) else node.args)] if isinstance(node, ast.Call) and getattr(node.func, "id", "") == "list" else ast.literal_eval(node)
+        return [value(a) for a in call.args], {k.arg.lower(): value(k.value) for k in call.keywords}
+    except (SyntaxError, ValueError, AttributeError, IndexError):
+        return None
+
+
+def text_to_python(text: str) -> str:
+    """list(( … ) of a rewritten array gets its missing bracket; '' inside a string becomes an escape."""
+    out, depth = [], []
+    for part in re.split(f"({_STRING})", text):
+        if part.startswith("'"):
+            out.append(repr(part[1:-1].replace("''", "'")))
+            continue
+        i = 0
+        while i < len(part):
+            if part.startswith("list((", i):
+                out.append("list((")
+                depth.append(",))")
+                i += 6
+            elif part[i] == "(":
+                out.append("(")
+                depth.append(")")
+                i += 1
+            elif part[i] == ")":
+                out.append(depth.pop() if depth else ")")
+                i += 1
+            else:
+                out.append(part[i])
+                i += 1
+    return "".join(out).replace("(,)", "()")
+
+
+def _close(text: str, start: int) -> int:
+    """Where the bracket that opens at start closes."""
+    depth, quoted = 0, False
+    for i in range(start, len(text)):
+        if text[i] == "'":
+            quoted = not quoted
+        elif not quoted:
+            depth += (text[i] == "(") - (text[i] == ")")
+            if not depth:
+                return i
+    raise ValueError("a bracket that does not close")
+
+
+def _scans(spark: SparkSession, text: str) -> str:
+    """RT_Read and RT_ReadCells of literal arguments as views on the data source."""
+    from tilewright.sources.reader import read_tiles
+
+    at = 0
+    while found := re.compile(r"\bRT_Read(Cells)?\s*\(", re.IGNORECASE).search(text, at):
+        end = _close(text, found.end() - 1)
+        given = _arguments(text[found.end() : end])
+        if given is None or len(given[0]) != 1:
+            at = found.end()
+            continue
+        view = f"raster_{uuid.uuid4().hex}"
+        named = {k: v for k, v in given[1].items() if v is not None and k not in ("open_options", "sibling_files")}
+        read_tiles(spark, given[0][0], cells=bool(found[1]), **named).createOrReplaceTempView(view)
+        text = text[: found.start()] + view + text[end + 1 :]
+        at = found.start() + len(view)
+    return text
+
+
+def run(spark: SparkSession, text: str) -> DataFrame:
+    """Runs a statement; COPY gives one row with the number of rows that it wrote."""
+    from tilewright.functions import register_all
+    from tilewright.sources.writer import write_raster
+
+    register_all(spark)
+    text = re.sub(r"/\*.*?\*/|--[^\n]*", " ", text, flags=re.DOTALL).strip().rstrip(";").strip()
+    text = _lists(_outside(text, lambda t: t.replace(":=", "=>")))
+    if re.match(r"COPY\b", text, re.IGNORECASE):
+        start = text.index("(")
+        end = _close(text, start)
+        target = re.match(rf"\s*TO\s*({_STRING})\s*(?:WITH\s*)?\(", text[end + 1 :], re.IGNORECASE)
+        if not target:
+            raise ValueError("COPY needs TO 'path' and options")
+        body = text[end + 1 + target.end() : _close(text, end + target.end())]
+        named = dict(re.findall(rf"\b([A-Za-z_]+)\s+((?:array)?\((?:[^()']|{_STRING})*\)|{_STRING}|[\w.+-]+)", body))
+        named = {k.lower(): v for k, v in named.items()}
+        if named.pop("format", "").strip("'").upper() != "RASTER":
+            raise ValueError("COPY is for FORMAT RASTER; other formats have df.write")
+        options = {}
+        for k, v in named.items():
+            if v.startswith(("array(", "(")):
+                options[k] = [x[1:-1] if x.startswith("'") else float(x) for x in re.findall(rf"{_STRING}|[-+\d.eE]+", v[v.index("(") :])]
+            else:
+                options[k] = v[1:-1] if v.startswith("'") else v.lower() == "true" if v.lower() in ("true", "false") else v
+        n = write_raster(run(spark, text[start + 1 : end]), target[1][1:-1].replace("''", "'"), **options)
+        return spark.createDataFrame([(n,)], "count long")
+    text = _files(text)
+    return spark.sql(_scans(spark, text))
+
+
+def _files(text: str) -> str:
+    """Raster files that stand where a table does become scans."""
+    return re.sub(rf"\b(FROM|JOIN)(\s+)({_STRING})", lambda m: f"{m[1]}{m[2]}RT_Read({m[3]})" if re.search(r"\.(img|tiff?|vrt)'$", m[3], re.IGNORECASE) else m[0], text, flags=re.IGNORECASE)
