@@ -11,17 +11,11 @@ import duckdb
 import numpy as np
 import pytest
 
+from tests_llm_tools import classes, sentence, window_truth
 from tilewright.llm import chat, decontam, graph, langid, licenses, line_dedup, links, media, order_minhash, packing, queries, sharding, warc
 from tilewright.llm.common import Scratch, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, n_words int"
-VOCABULARY = [a + b + c for a in ("ka", "to", "mi", "re", "su") for b in ("n", "l", "st", "") for c in ("a", "or", "ish", "um")]
-
-
-def sentence(rng, n):
-    return " ".join(rng.choices(VOCABULARY, k=n))
-
-
 def corpus(rng):
     texts = [None, "", " \n\t", "one", "###", "é Ünïcode ß", "x" * 40_000, "ab " * 9_000]
     base = [sentence(rng, rng.randint(40, 120)) for _ in range(12)]
@@ -49,19 +43,6 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def classes(pairs, nodes):
-    root = {n: n for n in nodes}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        root[max(find(a), find(b))] = min(find(a), find(b))
-    return {n: find(n) for n in nodes}
-
-
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
@@ -71,14 +52,16 @@ def test_components_of_paths_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
 
 
-def test_links_of_large_buckets(spark, monkeypatch):
-    """Buckets beyond GROUP: leaders, finer buckets and peeling find the components that all pairs give."""
+@pytest.mark.parametrize("finer", [0, 1, 2])
+def test_links_of_large_buckets(spark, monkeypatch, finer):
+    """Buckets beyond GROUP: leaders, finer buckets and blocks find the components that all pairs give."""
     monkeypatch.setattr(links, "GROUP", 10)
     monkeypatch.setattr(links, "SMALL", 3)
+    monkeypatch.setattr(links, "FINER", finer)
     rng = random.Random(5)
     items = [(i, 100 * rng.randrange(12) + rng.randrange(9)) for i in range(150)]
     alike = lambda x, y: abs(x - y) <= 10
-    signed = spark.createDataFrame([(i, [1, v // 100, v % 2]) for i, v in items], "id long, bands array<long>")
+    signed = spark.createDataFrame([(i, [1, v // 100, v // 400]) for i, v in items], "id long, bands array<long>")
     held = spark.createDataFrame([(i, str(v)) for i, v in items], "id long, text string")
     found = links.verified_links(signed, lambda ids: held.join(ids, "id"), int, alike, Scratch(spark, "t"), ((0,), (1, 2))).collect()
     want = [(i, j) for (i, v), (j, w) in itertools.combinations(items, 2) if alike(v, w)]
@@ -99,7 +82,7 @@ def test_line_dedup_against_all_pairs(spark):
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, removed string")).collect()
     places = sorted({(i is not None, i or 0, hash(t), n, line) for i, t, _ in rows if t is not None for n, line in enumerate(t.split("\n")) if line.strip()})
     distinct = sorted({p[4] for p in places})
-    sets = {x: line_dedup.line_set(x) for x in distinct}
+    sets = {x: line_dedup.line_codes(x) for x in distinct}
     root = classes([(a, b) for a, b in itertools.combinations(distinct, 2) if line_dedup.similar_lines(sets[a], sets[b])], distinct)
     kept = defaultdict(set)
     for r in out:
@@ -114,6 +97,26 @@ def test_line_dedup_against_all_pairs(spark):
     assert all(len(r["text"].split("\n")) == r["n_kept"] for r in out if r["text"] is not None and r["n_kept"])
 
 
+def test_line_codes_are_the_shingles():
+    rng = random.Random(4)
+    for _ in range(100):
+        a = sentence(rng, rng.randint(3, 30))
+        b = a[: rng.randint(0, len(a))] + sentence(rng, rng.randint(0, 2))
+        x, y = ({t[i : i + 8] for i in range(len(t) - 7)} for t in (a, b))
+        want = len(x & y) / len(x | y) if a != b and x and y else float(a == b)
+        got = line_dedup.line_jaccard(line_dedup.line_codes(a), line_dedup.line_codes(b))
+        assert got == pytest.approx(want) if want >= 0.8 else got < 0.8
+
+
+def test_stages_keep_clashing_columns(spark, docs):
+    extra = docs.withColumns({c: sharding.F.lit(c) for c in ("n_lines", "removed", "th", "_id", "root", "hash", "words", "items", "bucket", "a")})
+    bench = spark.createDataFrame([(1, "x y")], "item_id long, text string")
+    for out in (line_dedup.dedup_lines(extra, report=False), order_minhash.drop_near_duplicates(extra), decontam.drop_contaminated(extra, bench), langid.keep_identified(extra)):
+        assert out.columns == extra.columns
+        row = out.where("doc_id = 4").first()
+        assert row is None or (row["n_lines"], row["removed"], row["id"], row["n_words"]) == ("n_lines", "removed", "clash", 7)
+
+
 def test_near_duplicates_against_all_pairs(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     texts = sorted({r["text"] or "" for r in rows})
@@ -260,22 +263,6 @@ def test_licenses(spark, empty):
     assert licenses.scan_documents(empty).count() == 0
 
 
-def window_truth(texts, items):
-    out = {}
-    for name, text in texts:
-        words, hit, found = words_of(text), set(), set()
-        for item, said in items:
-            w = words_of(said)
-            n = min(8, len(w))
-            windows = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
-            for i in range(len(words) - n + 1 if n else 0):
-                if tuple(words[i : i + n]) in windows:
-                    hit.update(range(i, i + n))
-                    found.add(str(item))
-        out[name] = (len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(found) >= 2)
-    return out
-
-
 def test_decontamination_against_brute_force(spark, empty):
     rng = random.Random(9)
     items = [(i, sentence(rng, rng.randint(8, 30))) for i in range(20)] + [(20, "lone"), (21, "two words"), (22, ""), (23, None), (10, "again the tenth item is here with more words"), (3, "Ünï WORD")]
@@ -334,9 +321,12 @@ def test_arc_versions():
         list(warc.arc_records(one.replace(b"\n1 0", b"\n9 0", 1)))
 
 
-def test_archive_round_trip(spark):
+@pytest.mark.parametrize("archive_mb", [8, 0.001])
+def test_archive_round_trip(spark, monkeypatch, archive_mb):
+    monkeypatch.setattr(warc, "ARCHIVE_MB", archive_mb)
     big = "WARC/1.1\r\n\r\n" + "é\n" * 700
     rows = [(1, "http://a/", "<p>x"), (2, "http://b/", big), (5, None, big), (3, "u", big), (4, "http://c d/\n", None), (6, "v", "<p>x"), (-9, "w", ""), (None, "n", big), (7, "z", "q" * 200_000)]
+    rows += [(100 + i, "http://x/", f"page {i}") for i in range(30)]
     out = {r["page_id"]: r for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for page, _, html in rows:
         data = (html or "").encode()

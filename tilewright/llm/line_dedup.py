@@ -91,22 +91,32 @@ def _sign(batches):
             yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in owner], pa.int64()), pa.array([hashes[i] for i in owner], pa.int64()), pa.array(number, pa.int32()), whole(k1), whole(k2), bands], ["doc_id", "th", "line_no", "k1", "k2", "bands"])
 
 
-def line_set(line: str, k: int = SHINGLE) -> tuple[str, set[str]]:
-    return line, {line[i : i + k] for i in range(len(line) - k + 1)}
+def line_codes(line: str, k: int = SHINGLE) -> tuple[str, np.ndarray]:
+    """A line and the sorted distinct 64-bit codes of its shingles."""
+    h, step = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), 1
+    if len(h) < k:
+        return line, np.zeros(0, np.uint64)
+    while step < k:
+        h = mix64(h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+        step *= 2
+    h.sort()
+    return line, h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-def line_jaccard(a: tuple[str, set[str]], b: tuple[str, set[str]]) -> float:
-    """Exact Jaccard similarity of two lines' shingle sets; below SIMILAR it may be 0."""
+def line_jaccard(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:
+    """Exact Jaccard similarity of two lines' shingle codes; below SIMILAR it may be 0."""
     if a[0] == b[0]:
         return 1.0
     x, y = a[1], b[1]
-    if not x or not y or min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+    if not len(x) or not len(y) or min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
         return 0.0
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+    whole = np.concatenate([x, y])
+    whole.sort(kind="stable")
+    both = int(np.count_nonzero(whole[1:] == whole[:-1]))
+    return both / (len(whole) - both)
 
 
-def similar_lines(a: tuple[str, set[str]], b: tuple[str, set[str]]) -> bool:
+def similar_lines(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> bool:
     return line_jaccard(a, b) >= SIMILAR
 
 
@@ -122,7 +132,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         few = ids.count() <= BROADCAST_IDS
         return lines.join(F.broadcast(ids) if few else ids, "k1", "left_semi").groupBy(F.col("k1").alias("id")).agg(F.max("line").alias("text"))
 
-    links = verified_links(signed.where("size(bands) > 0").select(F.col("k1").alias("id"), "bands"), texts, line_set, similar_lines, scratch, PHASES)
+    links = verified_links(signed.where("size(bands) > 0").select(F.col("k1").alias("id"), "bands"), texts, line_codes, similar_lines, scratch, PHASES)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = classes.join(roots, classes.k1 == roots.node, "left").where("n > 1 or root is not null")
@@ -136,17 +146,18 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return gone
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of docs, text without the removed lines, and n_lines, n_kept, removed (line numbers from 0)."""
-    clash = {"n_lines", "n_kept", "removed", "th", "_doc", "_th"} & set(docs.columns)
-    docs = docs.drop(*clash)
-    gone = removed_lines(docs, Scratch(docs.sparkSession, "lines")).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "removed")
-    size = gone.agg(F.count("*").alias("n"), F.sum(F.size("removed")).alias("lines")).first()
+def dedup_lines(docs: DataFrame, report: bool = True) -> DataFrame:
+    """docs with their text less the removed lines; with report, and n_lines, n_kept, removed (line numbers from 0).
+
+    Columns of docs that are named like those of the report give way to them; without report all stay.
+    """
+    gone = removed_lines(docs, Scratch(docs.sparkSession, "lines")).toDF("_tilewright_doc", "_tilewright_text", "_tilewright_gone")
+    size = gone.agg(F.count("*").alias("n"), F.sum(F.size("_tilewright_gone")).alias("lines")).first()
     if size["n"] <= BROADCAST_IDS // 4 and (size["lines"] or 0) <= 2 * BROADCAST_IDS:  # else the texts are shuffled
         gone = F.broadcast(gone)
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left").drop("_doc", "_th")
-    parts = F.split("text", "\n", -1)
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("removed", i)), "\n"))
+    rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_tilewright_doc")) & (F.xxhash64(docs["text"]) == F.col("_tilewright_text")), "left")
+    parts, removed = F.split("text", "\n", -1), F.col("_tilewright_gone")
+    kept = F.when(removed.isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(removed, i)), "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    gone_n = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed"))
-    return rows.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns], n.alias("n_lines"), (n - gone_n).alias("n_kept"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    added = [n.alias("n_lines"), (n - F.when(removed.isNull(), 0).otherwise(F.size(removed))).alias("n_kept"), F.coalesce(removed, F.array().cast("array<int>")).alias("removed")] if report else []
+    return rows.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if not report or c not in ("n_lines", "n_kept", "removed")], *added)

@@ -4,9 +4,10 @@ A bucket is a band value that at least two items share. A bucket of up to SMALL
 each verified once however many bands propose it. A bucket of up to GROUP items is worked off in one task
 that holds an item against the members of components it is not linked with yet, so it finds the bucket's
 exact components. In a larger one every member is held against the bucket's leader (its least id): one pair
-a member, in a join that Spark can split. Members unlike their leader go on to finer buckets (the same band
-value with one more band), then to the same buckets without the leaders, until all are small. No bucket is
-capped or dropped, and none of more than GROUP items is gathered in one task.
+a member, in a join that Spark can split. Members unlike their leader go on to finer buckets (the same value
+with that of one more band, for each other band). What is still in a bucket of more than GROUP items after FINER
+such rounds is cut into blocks, and every two blocks are held against each other in a task of their own. No
+bucket is capped or dropped, and no task gathers more than about GROUP items.
 
 Bands are taken in phases. After a phase the components of what is linked so far are known, and in the next one
 only items of different components are held against each other: buckets inside one component need no work.
@@ -25,7 +26,7 @@ from tilewright.llm.common import Scratch
 from tilewright.llm.graph import components
 
 SMALL, GROUP = 8, 512
-FINER = 2  # rounds that refine buckets by one more band
+FINER = 2  # rounds of finer buckets
 
 
 def group_links(items: list, known: list, similar: Callable) -> list[tuple[int, int]]:
@@ -48,7 +49,7 @@ def group_links(items: list, known: list, similar: Callable) -> list[tuple[int,
     return links
 
 
-def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable, scratch: Scratch, phases: Sequence[Sequence[int]], rounds: int = 60) -> DataFrame:
+def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable, scratch: Scratch, phases: Sequence[Sequence[int]]) -> DataFrame:
     """(a, b) links between similar items, written to the shared folder; a < b.
 
     signed: (id, bands array<long>); rows of the same id are alike. texts: ids -> (id, text), one row an id;
@@ -72,6 +73,15 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         found = group_links([prepare(t) for t in rows["text"]], rows["comp"].tolist(), similar)
         return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
 
+    def in_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+        """Two blocks of a bucket: only pairs across them, or one block with itself."""
+        rows = rows.sort_values("id", ignore_index=True)
+        ids, blocks = rows["id"].tolist(), rows["block"].tolist()
+        one = rows["low"][0] == rows["high"][0]
+        items = list(zip(blocks, map(prepare, rows["text"])))
+        found = group_links(items, rows["comp"].tolist(), lambda x, y: (one or x[0] != y[0]) and similar(x[1], y[1]))
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
+
     same = F.pandas_udf(alike, T.BooleanType())
 
     def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -80,6 +90,7 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
 
     exploded = signed.select("id", F.posexplode("bands").alias("band", "value"))
     rows = exploded.select("band", F.xxhash64("band", "value").alias("bucket"), "id")
+    half = max(1, GROUP // 2)
     two = rows.groupBy("bucket").agg(F.min("id").alias("c0"), F.max("id").alias("c1")).where("c1 > c0").select("bucket")
     shared = scratch.write(rows.join(two, "bucket", "left_semi").distinct(), "shared")
     held = scratch.write(texts(shared.select("id").distinct()), "texts")
@@ -93,29 +104,33 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         return out
 
     for phase in phases:
-        rows = shared.where(F.col("band").isin(list(phase))).select("bucket", "id")
-        for i in range(rounds):
-            named = rows.withColumn("comp", F.col("id")) if roots is None else rows.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
+        rows = shared.where(F.col("band").isin(list(phase))).select("bucket", "id", F.array("band").alias("used"))
+        for i in range(FINER + 1):
+            named = rows.withColumn("comp", F.col("id")) if roots is None else rows.join(roots, "id", "left").select("bucket", "id", "used", F.coalesce("root", "id").alias("comp"))
             heads = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("id", "comp")).alias("lead"), F.count("*").alias("n")).where("c1 > c0")
-            members = scratch.write(named.join(heads.select("bucket", "lead", "n"), "bucket").select("bucket", "id", "comp", "lead", "n").distinct(), f"members{step}")
+            members = scratch.write(named.join(heads.select("bucket", "lead", "n"), "bucket").select("bucket", "id", "used", "comp", "lead", "n"), f"members{step}")
             few = members.where(F.col("n") <= SMALL)
             near = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")).join(few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb")), "bucket").where("a < b and ca != cb").select("a", "b")
-            large = members.where((F.col("n") > GROUP) & (F.col("comp") != F.col("lead.comp"))).select("bucket", F.col("lead.id").alias("a"), F.col("id").alias("b"))
-            good = scratch.write(verified(near.unionByName(large.select("a", "b")).distinct(), held), f"links{step}")
+            large = members.where((F.col("n") > GROUP) & (F.col("comp") != F.col("lead.comp"))).select("bucket", F.col("lead.id").alias("a"), F.col("id").alias("b"), "used")
+            pairs = near.unionByName(large.select("a", "b")) if i < FINER else near
+            good = scratch.write(verified(pairs.distinct(), held), f"links{step}")
             grouped = members.where((F.col("n") > SMALL) & (F.col("n") <= GROUP)).join(held, "id").select("bucket", "id", "comp", "text")
             found += [good, scratch.write(grouped.groupBy("bucket").applyInPandas(in_group, schema), f"group{step}")]
+            if i == FINER:
+                cut = members.where(F.col("n") > GROUP).withColumn("blocks", F.ceil(F.col("n") / half).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+                cut = cut.select("bucket", "id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+                cut = cut.select("bucket", "id", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(held, "id")
+                found.append(scratch.write(cut.groupBy("bucket", "low", "high").applyInPandas(in_blocks, schema), f"blocks{step}"))
             # members of large buckets that are not like their leader; the leader itself has met everyone
-            rest = scratch.write(large.join(good, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("id")), f"rest{step}")
+            rest = scratch.write(large.join(good, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("id"), "used"), f"rest{step}")
             scratch.drop(f"members{step}", *([f"rest{step - 1}"] if i else []))
             step += 1
-            if rest.isEmpty():
+            if i == FINER or rest.isEmpty():
                 break
-            rows = rest.join(exploded, "id").select(F.xxhash64("bucket", "band", "value").alias("bucket"), "id").distinct() if i < FINER else rest
-        else:
-            raise RuntimeError(f"buckets of more than {GROUP} items that are unlike each other are left after {rounds} rounds")
+            rows = rest.join(exploded, "id").where(~F.array_contains("used", F.col("band"))).select(F.xxhash64("bucket", "band", "value").alias("bucket"), "id", F.array_append("used", F.col("band")).alias("used"))
         scratch.drop(f"rest{step - 1}")
         if phase is not phases[-1]:
             roots = scratch.write(components(linked().select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).select(F.col("node").alias("id"), "root").distinct(), f"roots{step}")
     out = scratch.write(linked().distinct(), "links")
-    scratch.drop("texts", "shared", *(f"{x}{j}" for x in ("links", "group", "roots") for j in range(step + 1)))
+    scratch.drop("texts", "shared", *(f"{x}{j}" for x in ("links", "group", "blocks", "roots") for j in range(step + 1)))
     return out
