@@ -116,5 +116,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 1) -> DataFrame:
     """The documents without those that hold windows of min_items benchmark items or more."""
-    bad = contamination(docs, benchmark).where(F.col("n_items") >= min_items).select(F.col("id").alias("_id")).distinct()
-    return docs.join(bad, text_key(docs["text"]) == F.col("_id"), "left_anti")
+    bad = contamination(docs, benchmark).where(F.col("n_items") >= min_items).select(F.col("id").alias("_tilewright_id")).distinct()
+    return docs.join(bad, text_key(docs["text"]) == F.col("_tilewright_id"), "left_anti")

@@ -195,8 +195,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents less all but one of each class, whole rows."""
     scratch = Scratch(docs.sparkSession, "omh")
     classes = scratch.write(near_duplicates(docs, scratch).groupBy("doc_id", "id", "kept").agg(F.count("*").alias("n")), "classes")
-    gone = classes.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")) & (text_key(docs["text"]) == F.col("_id")), "left_anti")
+    gone = classes.where("not kept").select(F.col("doc_id").alias("_tilewright_doc"), F.col("id").alias("_tilewright_id"))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_tilewright_doc")) & (text_key(docs["text"]) == F.col("_tilewright_id")), "left_anti")
     if not classes.where("kept and n > 1").isEmpty():
-        left = left.withColumn("_id", text_key(F.col("text"))).dropDuplicates(["doc_id", "_id"]).drop("_id")
+        left = left.withColumn("_tilewright_id", text_key(F.col("text"))).dropDuplicates(["doc_id", "_tilewright_id"]).drop("_tilewright_id")
     return left
