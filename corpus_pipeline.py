@@ -16,7 +16,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, without the lines that repeat or nearly repeat another; n_chars follows the text."""
-    rows = line_dedup.dedup_lines(docs).select(*docs.columns)
+    rows = line_dedup.dedup_lines(docs, report=False)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
