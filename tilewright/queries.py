@@ -12,7 +12,8 @@ from tilewright.operators.stats import cube_stats_agg
 from tilewright.plans.expr import cube
 from tilewright.sources.create import create, drivers
 from tilewright.sources.reader import read_tiles
-from tilewright.synth import file, tiles
+from tilewright.sources.writer import write_raster
+from tilewright.synth import file, folder, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -270,11 +271,7 @@ def read_separate_bands(spark, d):
 @query(CELLS + "SELECT CAST(tile_x * 8 + col AS INT) AS col, CAST(tile_y * 8 + \"row\" AS INT) AS \"row\", round(CASE WHEN a <> -9999 THEN a ELSE a END, 6) AS band_1 FROM cells")
 def read_mosaic_warped(spark, d):
     """A mosaic of two halves, each warped to its own system: nothing moves."""
-    import tempfile
-
-    from tilewright.sources.writer import write_raster
-
-    at, t = tempfile.mkdtemp(prefix="tilewright-"), tiles(spark, d)
+    at, t = folder(spark), tiles(spark, d)
     for name, part in (("left", "tile_x < 13"), ("right", "tile_x >= 12")):
         write_raster(t.where(part).select("geometry", "a"), f"{at}/{name}.tif", srs="EPSG:25830", databand_columns=["a"])
     c = read_tiles(spark, f"{at}/*.tif", cells=True, warp_options=["-t_srs", "EPSG:25830", "-r", "nearest"])
@@ -283,11 +280,7 @@ def read_mosaic_warped(spark, d):
 
 @query(f"SELECT count(*) AS rows_written, CAST(({_SIZE}) AS BIGINT) * 200 AS cells FROM embeddings")
 def write_round_trip(spark, d):
-    import tempfile
-
-    from tilewright.sources.writer import write_raster
-
-    path = tempfile.mkdtemp(prefix="tilewright-") + "/bytes.png"
+    path = folder(spark) + "/bytes.png"
     t = tiles(spark, d).select("geometry", (cube("a").unary("abs") * 100.0).to_type("uint8").column().alias("databand_1"))
     n = write_raster(t, path, driver="PNG", creation_options=["WORLDFILE=YES"])
     return read_tiles(spark, path, cells=True).agg(F.lit(n).cast("long").alias("rows_written"), F.count("*").alias("cells"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.cube import TYPE_CODES
 from tilewright.functions import rt_array2cube, st_make_envelope
+from tilewright.sources.files import local
 from tilewright.sources.grid import Grid
 from tilewright.sources.writer import write_raster
 
@@ -32,8 +35,18 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "label", "tile_x", "tile_y", F.lit(GRID.metadata()).alias("metadata"), st_make_envelope(x, y - step, x + step, y).alias("geometry"), cube(values).alias("a"), cube(F.reverse(values)).alias("b"))
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or a local one where that is unset."""
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not at or local(at) is None:
+        return tempfile.mkdtemp(prefix="tilewright-")
+    made = f"{local(at)}/raster-{uuid.uuid4().hex}"
+    os.makedirs(made)
+    return made
+
+
 def file(spark: SparkSession, sf_dir: str, **options) -> str:
     """The tiles' raster as a file, in a folder of its own."""
-    path = f"{tempfile.mkdtemp(prefix='tilewright-')}/raster.{'png' if options.get('driver') == 'PNG' else 'tif'}"
+    path = f"{folder(spark)}/raster.{'png' if options.get('driver') == 'PNG' else 'tif'}"
     write_raster(tiles(spark, sf_dir).select("geometry", "a", "b"), path, srs="EPSG:25830", databand_columns=["a", "b"], **options)
     return path
