@@ -52,18 +52,31 @@ def test_components_of_paths_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
 
 
-@pytest.mark.parametrize("finer", [0, 1, 2])
-def test_links_of_large_buckets(spark, monkeypatch, finer):
+def test_possible_pairs():
+    rng = np.random.default_rng(3)
+    codes = [np.unique(rng.integers(0, 60, rng.integers(0, 50))).astype(np.uint64) for _ in range(30)]
+    for width in (7, 8192):
+        got = links.possible_pairs(codes, 0.5, width)
+        for i, a in enumerate(codes):
+            for j, b in enumerate(codes):
+                if i == j:
+                    continue
+                both, whole = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+                assert got[i, j] == (not whole or both / whole >= 0.5 - 1e-6)
+
+
+@pytest.mark.parametrize("wide", [0, 15, 1000])
+def test_links_of_large_buckets(spark, monkeypatch, wide):
     """Buckets beyond GROUP: leaders, finer buckets and blocks find the components that all pairs give."""
     monkeypatch.setattr(links, "GROUP", 10)
     monkeypatch.setattr(links, "SMALL", 3)
-    monkeypatch.setattr(links, "FINER", finer)
+    monkeypatch.setattr(links, "WIDE", wide)
     rng = random.Random(5)
     items = [(i, 100 * rng.randrange(12) + rng.randrange(9)) for i in range(150)]
     alike = lambda x, y: abs(x - y) <= 10
     signed = spark.createDataFrame([(i, [1, v // 100, v // 400]) for i, v in items], "id long, bands array<long>")
     held = spark.createDataFrame([(i, str(v)) for i, v in items], "id long, text string")
-    found = links.verified_links(signed, lambda ids: held.join(ids, "id"), int, alike, Scratch(spark, "t"), ((0,), (1, 2))).collect()
+    found = links.verified_links(signed, lambda ids: held.join(ids, "id"), int, alike, Scratch(spark, "t"), ((0,), (1, 2)), lambda x: np.array([7], np.uint64), 0.8).collect()
     want = [(i, j) for (i, v), (j, w) in itertools.combinations(items, 2) if alike(v, w)]
     names = [i for i, _ in items]
     assert classes([tuple(r) for r in found], names) == classes(want, names)

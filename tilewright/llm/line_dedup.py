@@ -132,7 +132,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         few = ids.count() <= BROADCAST_IDS
         return lines.join(F.broadcast(ids) if few else ids, "k1", "left_semi").groupBy(F.col("k1").alias("id")).agg(F.max("line").alias("text"))
 
-    links = verified_links(signed.where("size(bands) > 0").select(F.col("k1").alias("id"), "bands"), texts, line_codes, similar_lines, scratch, PHASES)
+    links = verified_links(signed.where("size(bands) > 0").select(F.col("k1").alias("id"), "bands"), texts, line_codes, similar_lines, scratch, PHASES, lambda x: x[1], SIMILAR)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = classes.join(roots, classes.k1 == roots.node, "left").where("n > 1 or root is not null")

@@ -4,19 +4,21 @@ A bucket is a band value that at least two items share. A bucket of up to SMALL
 each verified once however many bands propose it. A bucket of up to GROUP items is worked off in one task
 that holds an item against the members of components it is not linked with yet, so it finds the bucket's
 exact components. In a larger one every member is held against the bucket's leader (its least id): one pair
-a member, in a join that Spark can split. Members unlike their leader go on to finer buckets (the same value
-with that of one more band, for each other band). What is still in a bucket of more than GROUP items after FINER
-such rounds is cut into blocks, and every two blocks are held against each other in a task of their own. No
-bucket is capped or dropped, and no task gathers more than about GROUP items.
+a member, in a join that Spark can split.
 
 Bands are taken in phases. After a phase the components of what is linked so far are known, and in the next one
-only items of different components are held against each other: buckets inside one component need no work.
+only items of different components are held against each other: buckets inside one component need no work. At
+last, large buckets that still hold several components are finished: the items outside the leader's component
+(the rest) are cut into blocks, the others too, and each block of the rest is held against every block in a task of
+its own. A bucket with a very large rest is first split by each other band. No bucket is capped or dropped, and
+no task gathers more than about GROUP items.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,29 @@ from tilewright.llm.common import Scratch
 from tilewright.llm.graph import components
 
 SMALL, GROUP = 8, 512
-FINER = 2  # rounds of finer buckets
+#: Shared buckets up to this number (8 bytes each) are broadcast.
+BROADCAST_BUCKETS = 3_000_000
+#: Buckets with more items outside the leader's component are split by each other band first.
+WIDE = 32 * GROUP
+
+
+def possible_pairs(codes: list[np.ndarray], similar: float, width: int = 8192) -> np.ndarray:
+    """Which pairs of sorted distinct code arrays share enough for a Jaccard similarity of `similar`, by a matrix product."""
+    n = len(codes)
+    size = np.array([len(c) for c in codes])
+    flat, owner = np.concatenate(codes) if n else np.zeros(0, np.uint64), np.repeat(np.arange(n), size)
+    _, name, times = np.unique(flat, return_inverse=True, return_counts=True)
+    held = times[name] > 1
+    place = (np.cumsum(times > 1) - 1)[name[held]]
+    owner, shared = owner[held], np.zeros((n, n), np.float32)
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(place, [low, low + width])
+        part = np.zeros((n, width), np.float32)
+        part[owner[a:b], place[a:b] - low] = 1
+        shared += part @ part.T
+    return shared >= similar / (1 + similar) * (size[:, None] + size) - 1e-3
 
 
 def group_links(items: list, known: list, similar: Callable) -> list[tuple[int, int]]:
@@ -49,12 +73,13 @@ def group_links(items: list, known: list, similar: Callable) -> list[tuple[int,
     return links
 
 
-def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable, scratch: Scratch, phases: Sequence[Sequence[int]]) -> DataFrame:
+def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable, scratch: Scratch, phases: Sequence[Sequence[int]], codes: Callable, least: float) -> DataFrame:
     """(a, b) links between similar items, written to the shared folder; a < b.
 
     signed: (id, bands array<long>); rows of the same id are alike. texts: ids -> (id, text), one row an id;
     text may be anything that prepare takes. similar(prepare(text), prepare(text)) tells whether two items are
-    alike. phases: the numbers of the bands of each phase.
+    alike. phases: the numbers of the bands of each phase. codes(prepared) gives sorted distinct codes, whose
+    Jaccard similarity is at least that of the items; where it is below `least`, items of a group aren't compared.
     """
     spark, kind = signed.sparkSession, signed.schema["id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
@@ -70,7 +95,9 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
     def in_group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
         ids = rows["id"].tolist()
-        found = group_links([prepare(t) for t in rows["text"]], rows["comp"].tolist(), similar)
+        items = [prepare(t) for t in rows["text"]]
+        near = possible_pairs([codes(x) for x in items], least)
+        found = group_links(list(enumerate(items)), rows["comp"].tolist(), lambda x, y: near[x[0], y[0]] and similar(x[1], y[1]))
         return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
 
     def in_blocks(rows: pd.DataFrame) -> pd.DataFrame:
@@ -78,8 +105,9 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         rows = rows.sort_values("id", ignore_index=True)
         ids, blocks = rows["id"].tolist(), rows["block"].tolist()
         one = rows["low"][0] == rows["high"][0]
-        items = list(zip(blocks, map(prepare, rows["text"])))
-        found = group_links(items, rows["comp"].tolist(), lambda x, y: (one or x[0] != y[0]) and similar(x[1], y[1]))
+        items = [prepare(t) for t in rows["text"]]
+        near = possible_pairs([codes(x) for x in items], least)
+        found = group_links(list(enumerate(items)), rows["comp"].tolist(), lambda x, y: near[x[0], y[0]] and (one or blocks[x[0]] != blocks[y[0]]) and similar(x[1], y[1]))
         return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
 
     same = F.pandas_udf(alike, T.BooleanType())
@@ -92,6 +120,8 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
     rows = exploded.select("band", F.xxhash64("band", "value").alias("bucket"), "id")
     half = max(1, GROUP // 2)
     two = rows.groupBy("bucket").agg(F.min("id").alias("c0"), F.max("id").alias("c1")).where("c1 > c0").select("bucket")
+    two = scratch.write(two, "two")
+    two = F.broadcast(two) if two.count() <= BROADCAST_BUCKETS else two  # else both sides are shuffled
     shared = scratch.write(rows.join(two, "bucket", "left_semi").distinct(), "shared")
     held = scratch.write(texts(shared.select("id").distinct()), "texts")
     found: list[DataFrame] = []
@@ -103,34 +133,54 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
             out = out.unionByName(more)
         return out
 
+    def members_of(rows: DataFrame, name: str, over: int = 1) -> DataFrame:
+        """(bucket, id, comp, lead, n) of the buckets of more than `over` items that hold several components."""
+        named = rows.withColumn("comp", F.col("id")) if roots is None else rows.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+        heads = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("id", "comp")).alias("lead"), F.count("*").alias("n")).where((F.col("c1") > F.col("c0")) & (F.col("n") > over))
+        return scratch.write(named.join(heads.select("bucket", "lead", "n"), "bucket"), name)
+
+    def grouped(members: DataFrame, name: str) -> DataFrame:
+        some = members.where((F.col("n") > SMALL) & (F.col("n") <= GROUP)).join(held, "id").select("bucket", "id", "comp", "text")
+        return scratch.write(some.groupBy("bucket").applyInPandas(in_group, schema), name)
+
+    def known() -> DataFrame:
+        return scratch.write(components(linked().select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).select(F.col("node").alias("id"), "root").distinct(), f"roots{step}")
+
+    outside = F.col("comp") != F.col("lead.comp")
     for phase in phases:
-        rows = shared.where(F.col("band").isin(list(phase))).select("bucket", "id", F.array("band").alias("used"))
-        for i in range(FINER + 1):
-            named = rows.withColumn("comp", F.col("id")) if roots is None else rows.join(roots, "id", "left").select("bucket", "id", "used", F.coalesce("root", "id").alias("comp"))
-            heads = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("id", "comp")).alias("lead"), F.count("*").alias("n")).where("c1 > c0")
-            members = scratch.write(named.join(heads.select("bucket", "lead", "n"), "bucket").select("bucket", "id", "used", "comp", "lead", "n"), f"members{step}")
-            few = members.where(F.col("n") <= SMALL)
-            near = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")).join(few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb")), "bucket").where("a < b and ca != cb").select("a", "b")
-            large = members.where((F.col("n") > GROUP) & (F.col("comp") != F.col("lead.comp"))).select("bucket", F.col("lead.id").alias("a"), F.col("id").alias("b"), "used")
-            pairs = near.unionByName(large.select("a", "b")) if i < FINER else near
-            good = scratch.write(verified(pairs.distinct(), held), f"links{step}")
-            grouped = members.where((F.col("n") > SMALL) & (F.col("n") <= GROUP)).join(held, "id").select("bucket", "id", "comp", "text")
-            found += [good, scratch.write(grouped.groupBy("bucket").applyInPandas(in_group, schema), f"group{step}")]
-            if i == FINER:
-                cut = members.where(F.col("n") > GROUP).withColumn("blocks", F.ceil(F.col("n") / half).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-                cut = cut.select("bucket", "id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-                cut = cut.select("bucket", "id", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(held, "id")
-                found.append(scratch.write(cut.groupBy("bucket", "low", "high").applyInPandas(in_blocks, schema), f"blocks{step}"))
-            # members of large buckets that are not like their leader; the leader itself has met everyone
-            rest = scratch.write(large.join(good, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("id"), "used"), f"rest{step}")
-            scratch.drop(f"members{step}", *([f"rest{step - 1}"] if i else []))
-            step += 1
-            if i == FINER or rest.isEmpty():
-                break
-            rows = rest.join(exploded, "id").where(~F.array_contains("used", F.col("band"))).select(F.xxhash64("bucket", "band", "value").alias("bucket"), "id", F.array_append("used", F.col("band")).alias("used"))
-        scratch.drop(f"rest{step - 1}")
-        if phase is not phases[-1]:
-            roots = scratch.write(components(linked().select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).select(F.col("node").alias("id"), "root").distinct(), f"roots{step}")
+        step += 1
+        members = members_of(shared.where(F.col("band").isin(list(phase))).select("bucket", "id"), f"members{step}")
+        few = members.where(F.col("n") <= SMALL)
+        near = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")).join(few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb")), "bucket").where("a < b and ca != cb").select("a", "b")
+        star = members.where((F.col("n") > GROUP) & outside).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+        found.append(scratch.write(verified(near.unionByName(star).distinct(), held), f"links{step}"))
+        found.append(grouped(members, f"group{step}"))
+        scratch.drop(f"members{step}")
+        roots = known()
+
+    # large buckets have met their leaders only; `small` ones of a split are new
+    rows, split = shared.select("band", "bucket", "id"), False
+    while rows is not None:
+        step += 1
+        members = members_of(rows, f"members{step}", 1 if split else GROUP)
+        if split:
+            found.append(grouped(members.withColumn("n", F.when(F.col("n") <= SMALL, SMALL + 1).otherwise(F.col("n"))), f"group{step}"))
+        large = members.where(F.col("n") > GROUP)
+        sizes = large.groupBy("bucket").agg(F.sum(outside.cast("long")).alias("rest"), F.sum((~outside).cast("long")).alias("main"))
+        sizes = scratch.write(sizes, f"sizes{step}")
+        wide = sizes.where(F.col("rest") > WIDE) if not split else sizes.limit(0)
+        todo = large.join(sizes.where(F.col("rest") <= WIDE) if not split else sizes, "bucket")
+        m, o = F.ceil(F.col("main") / half).cast("int"), F.ceil(F.col("rest") / half).cast("int")
+        block = F.when(outside, m + F.pmod(F.xxhash64("id"), o)).otherwise(F.pmod(F.xxhash64("id"), m)).cast("int")
+        cut = todo.select("bucket", "id", "comp", block.alias("block"), F.explode(F.sequence(F.when(outside, F.lit(0)).otherwise(m), m + o - 1)).alias("other"))
+        cut = cut.select("bucket", "id", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(held, "id")
+        found.append(scratch.write(cut.groupBy("bucket", "low", "high").applyInPandas(in_blocks, schema), f"blocks{step}"))
+        rows = None
+        if not split and not wide.isEmpty():
+            roots, split = known(), True
+            again = members.join(wide.select("bucket"), "bucket", "left_semi").select("bucket", "band", "id")
+            finer = exploded.select("id", F.col("band").alias("by"), "value").distinct()
+            rows = again.join(finer, "id").where("by != band").select("band", F.xxhash64("bucket", "by", "value").alias("bucket"), "id")
     out = scratch.write(linked().distinct(), "links")
-    scratch.drop("texts", "shared", *(f"{x}{j}" for x in ("links", "group", "blocks", "roots") for j in range(step + 1)))
+    scratch.drop("texts", "shared", "two", *(f"{x}{j}" for x in ("links", "group", "blocks", "roots", "members", "sizes") for j in range(step + 1)))
     return out

@@ -172,7 +172,7 @@ def document_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
         few = ids.count() <= BROADCAST_KEYS
         return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")).mapInArrow(kmer_codes, "id string, text binary")
 
-    links = verified_links(signed, held, prepared, similar_documents, scratch, PHASES)
+    links = verified_links(signed, held, prepared, similar_documents, scratch, PHASES, lambda x: x[1], SIMILAR)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     scratch.drop("signed", "ids", "links")
     return roots.select(F.col("node").alias("id"), "root")
