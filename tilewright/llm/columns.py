@@ -28,6 +28,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def byte_sizes(column: pa.Array) -> list[int]:
+    """The size of each row of a text column, without making strings of it; null is 0."""
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word in turn, and the n + 1 bounds of the rows' words."""
     data = LOWER[data]

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tilewright.llm.columns import byte_sizes
 from tilewright.llm.common import chunks
 
 BLOCK, MCU_BLOCKS = 64, 6
@@ -534,9 +535,9 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            names, texts = batch.column("doc_id"), batch.column("text").cast(pa.large_binary()).to_pylist()
-            for a, b in chunks([len(x) if x else 0 for x in texts], CHUNK_BYTES):
-                raw = [x or b"" for x in texts[a:b]]
+            names, column = batch.column("doc_id"), batch.column("text")
+            for a, b in chunks(byte_sizes(column), CHUNK_BYTES):
+                raw = [x or b"" for x in column.slice(a, b - a).cast(pa.large_binary()).to_pylist()]
                 payloads = [padded(x) for x in raw]
                 files = encode(payloads, [struct.pack(">QQ", len(x), len(p)) for x, p in zip(raw, payloads)])
                 yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array(files, pa.binary())], ["doc_id", "media"])
@@ -567,11 +568,11 @@ def media_digests(media: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, files = batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()
-            for a, b in chunks([len(x) for x in files], CHUNK_BYTES):
-                rows = []
-                images, coefs = coefficients(files[a:b])
-                for name, data, image, rgb in zip(ids[a:b], files[a:b], images, tensors(images, coefs)):
+            ids, column = batch.column("doc_id").to_pylist(), batch.column("media")
+            for a, b in chunks(byte_sizes(column), CHUNK_BYTES):
+                rows, files = [], column.slice(a, b - a).to_pylist()
+                images, coefs = coefficients(files)
+                for name, data, image, rgb in zip(ids[a:b], files, images, tensors(images, coefs)):
                     n, size = struct.unpack(">QQ", image.comments[0])
                     payload = payload_of(image, coefs, size)
                     means = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) / (rgb.shape[0] * rgb.shape[1])

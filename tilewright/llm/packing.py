@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tilewright.llm.columns import byte_sizes
 from tilewright.llm.common import chunks
 
 LENGTH, END_ID = 2048, 0
@@ -88,7 +89,7 @@ class Tokens:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         rows = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
         every = set().union(*rows)
-        missing = [x for x in every if x not in self.held]
+        missing = list(every.difference(self.held))
         if len(self.held) + len(missing) > CACHE_WORDS:
             self.held = {"": b""}
             missing = [x for x in every if x]
@@ -116,10 +117,10 @@ def document_pieces(docs: DataFrame, path: str | None = None, length: int = LENG
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         encoder, end = tokens(path or tokenizer_file()), END_ID.to_bytes(4, "little")
         for batch in batches:
-            texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            column, names = batch.column("text"), batch.column("doc_id").to_pylist()
             out: list[tuple] = []
-            for a, b in chunks([len(x) if x else 0 for x in texts], 4_000_000):
-                for name, ids in zip(names[a:b], encoder.ids(texts[a:b])):
+            for a, b in chunks(byte_sizes(column), 4_000_000):
+                for name, ids in zip(names[a:b], encoder.ids(column.slice(a, b - a).to_pylist())):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]
