@@ -9,7 +9,7 @@ date, type and digest that depend only on the record.
 
 Archives are written by Spark's text writer, whose output is committed by task and goes to any Hadoop file
 system: one row is one record, the line separator is what ends a record in the format. They are gzipped, and
-as many as the total size asks for, so that reading one whole is bounded by about ARCHIVE_MB. Bytes that
+a task starts another after as many records as make ARCHIVE_MB in the mean, which bounds what reading one whole takes. Bytes that
 are not UTF-8 pass through unchanged.
 
 Defined results: a null html is an empty payload; a null url is `unknown:`; rows that share page_id and
@@ -104,34 +104,30 @@ def _unzip(data: bytes) -> bytes:
     return out
 
 
-def _write(records: DataFrame, total: int, path: str, end: str, opening: bytes | None = None) -> None:
-    """records: a column record of bytes, `total` in all. opening: a first record for each archive that has any."""
-    parts = max(1, -(-int(total) // (ARCHIVE_MB * 1_000_000)))
+def _write(records: DataFrame, most: int, path: str, end: str, opening: bytes | None = None) -> None:
+    """records: a column record of bytes. most: records of an archive. opening: a first record of each archive.
 
-    def opened(batches):
-        first = True
-        for batch in batches:
-            if batch.num_rows:
-                if first:
-                    yield pa.RecordBatch.from_arrays([pa.array([opening], batch.schema.field(0).type)], schema=batch.schema)
-                first = False
-                yield batch
-
-    records = records.select("record").repartition(parts)
+    Tasks write what they have read, without a shuffle; the writer starts a new file after `most` records.
+    """
     if opening is not None:
-        records = records.mapInArrow(opened, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").mode("overwrite").text(path)
+        row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # rows of the task before this one
+        both = F.array(F.lit(bytearray(opening)), F.col("record"))
+        records = records.withColumn("_row", row).select(F.explode(F.when(F.col("_row") % (most - 1) == 0, both).otherwise(F.array("record"))).alias("record"))
+    out = records.select(F.col("record").cast("string").alias("value")).write
+    out.option("lineSep", end).option("maxRecordsPerFile", most).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").mode("overwrite").text(path)
 
 
 def _files(df_spark, path: str) -> DataFrame:
     return df_spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
 
-def payload_total(pages: DataFrame) -> int:
-    return pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
+def records_an_archive(pages: DataFrame) -> int:
+    """As many records of mean size as make ARCHIVE_MB, two at least."""
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    return max(2, int(ARCHIVE_MB * 1_000_000 / (mean + 500)))
 
 
-def write_arc(pages: DataFrame, path: str, total: int, versions: tuple[int, ...] = (1, 2)) -> None:
+def write_arc(pages: DataFrame, path: str, most: int, versions: tuple[int, ...] = (1, 2)) -> None:
     """pages (page_id, url, html) as ARC archives under path: one folder for each version."""
     url = F.regexp_replace(F.coalesce("url", F.lit("unknown:")), r"[\r\n]", "%0A")
     html = F.coalesce("html", F.lit("")).cast("binary")
@@ -144,7 +140,7 @@ def write_arc(pages: DataFrame, path: str, total: int, versions: tuple[int, ...]
         # version 1 has no field to spare: the page's number rides in the URL's fragment
         if version == 1:
             record = F.concat(F.concat(url, F.lit("#page:"), name).cast("binary"), F.lit(" ").cast("binary"), F.concat_ws(" ", *fields[1][1:]).cast("binary"), F.lit("\n").cast("binary"), html)
-        _write(mine.select(record.alias("record")), total // len(versions), f"{path}/v{version}", "\n", version_block(version)[:-1])
+        _write(mine.select(record.alias("record")), most, f"{path}/v{version}", "\n", version_block(version)[:-1])
 
 
 _HEADS = {
@@ -198,15 +194,16 @@ def convert_arc(spark, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(convert, CONVERTED)
 
 
-def with_revisits(records: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
+def with_revisits(records: DataFrame, scratch: Scratch, least: int = REVISIT_FROM) -> DataFrame:
     """records with warc_type `revisit` and refers_to where an equal payload of `least` bytes or more has a later page."""
     heads = records.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    heads = scratch.write(heads, "heads")  # its size is known when the join is planned: payloads move only if it is large
     rows = records.join(heads.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.octet_length("payload") >= least), "left").drop("_digest")
     again = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     return rows.withColumn("warc_type", F.when(again, "revisit").otherwise(F.col("warc_type"))).withColumn("refers_to", F.when(again, F.col("head"))).drop("head")
 
 
-def write_warc(records: DataFrame, path: str, total: int) -> None:
+def write_warc(records: DataFrame, path: str, most: int) -> None:
     """WARC 1.1 archives under path. A revisit has no block; its digest and payload length are header fields."""
     again = F.col("refers_to").isNotNull()
     block = F.when(again, F.lit("").cast("binary")).otherwise(F.col("payload"))
@@ -217,7 +214,7 @@ def write_warc(records: DataFrame, path: str, total: int) -> None:
         F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("X-Refers-To-Page", F.col("refers_to").cast("string")), line("X-Payload-Length", F.octet_length("payload").cast("string")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    _write(records.select(F.concat(head.cast("binary"), block).alias("record")), total, path, "\r\n\r\n")
+    _write(records.select(F.concat(head.cast("binary"), block).alias("record")), most, path, "\r\n\r\n")
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -247,9 +244,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "warc")
     pages = pages.select("page_id", "url", "html")
     arc, warc = scratch.path("arc"), scratch.path("warc")
-    total = payload_total(pages)
-    write_arc(pages, arc, total)
+    most = records_an_archive(pages)
+    write_arc(pages, arc, most)
     records = convert_arc(spark, f"{arc}/v1").unionByName(convert_arc(spark, f"{arc}/v2"))
-    write_warc(with_revisits(records), warc, total)
+    write_warc(with_revisits(records, scratch), warc, most)
     scratch.drop("arc")
     return read_warc(spark, warc)
