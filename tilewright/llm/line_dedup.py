@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from tilewright.llm.columns import byte_sizes
 from tilewright.llm.common import Scratch, chunks, mix64
 from tilewright.llm.graph import components
 from tilewright.llm.links import verified_links
 
 SHINGLE, ROWS, BANDS, SIMILAR = 8, 3, 8, 0.8
 PHASES = ((0, 1, 2), (3, 4, 5, 6, 7))
+#: Characters signed at a time: their arrays stay in a core's cache.
+CHUNK_CHARS = 300_000
 #: What a line of white space alone is made of.
 BLANK = " \t\r\x0b\x0c"
 #: Candidate ids up to this number (24 bytes each in memory) are broadcast; more are joined by a shuffle.
@@ -67,11 +70,11 @@ def _sign(batches):
     """(doc_id, th, text) -> a row a line: doc_id, th, line_no, k1, k2, and bands at the line's first place in the task."""
     seen: set[int] = set()
     for batch in batches:
-        docs, hashes, texts = (batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))
-        for a, b in chunks([len(t) for t in texts], 4_000_000):
-            lines, owner, number, k1, k2, fresh, new = [], [], [], [], [], [], []
-            for i in range(a, b):
-                for n, line in enumerate(texts[i].split("\n")):
+        docs, hashes = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
+        for a, b in chunks(byte_sizes(batch.column("text")), CHUNK_CHARS):
+            owner, number, k1, k2, fresh, new = [], [], [], [], [], []
+            for i, text in enumerate(batch.column("text").slice(a, b - a).to_pylist(), a):
+                for n, line in enumerate(text.split("\n")):
                     if not line.strip(BLANK):
                         continue
                     data = line.encode("utf-8", "surrogatepass")
@@ -93,14 +96,17 @@ def _sign(batches):
 
 def line_codes(line: str, k: int = SHINGLE) -> tuple[str, np.ndarray]:
     """A line and the sorted distinct 64-bit codes of its shingles."""
-    h, step = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), 1
+    h, step, p = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), 1, 0x9E3779B97F4A7C15
     if len(h) < k:
         return line, np.zeros(0, np.uint64)
-    while step < k:
-        h = mix64(h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+    while step < k:  # a polynomial in an odd number, of 2, 4, ... characters
+        h = h[: len(h) - step] * np.uint64(pow(p, step, 2**64)) + h[step:]
         step *= 2
     h.sort()
-    return line, h[np.concatenate([[True], h[1:] != h[:-1]])]
+    new = np.empty(len(h), bool)
+    new[0] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return line, h[new]
 
 
 def line_jaccard(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:

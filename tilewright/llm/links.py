@@ -17,9 +17,10 @@ no task gathers more than about GROUP items.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,33 +85,31 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
     spark, kind = signed.sparkSession, signed.schema["id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        last, held, out = None, None, []
-        for p, q in zip(x, y):
-            if p is not last:
-                last, held = p, prepare(p)
-            out.append(similar(held, prepare(q)))
-        return pd.Series(out, dtype="bool")
-
-    def in_group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        ids = rows["id"].tolist()
-        items = [prepare(t) for t in rows["text"]]
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        ready = lru_cache(maxsize=1024)(prepare)  # leaders are in many pairs
+        return pa.array([similar(ready(p.as_py()), ready(q.as_py())) for p, q in zip(x, y)], pa.bool_())
+
+    def linked_rows(rows: pa.Table, found: list[tuple[int, int]]) -> pa.Table:
+        ids = rows.column("id").combine_chunks()
+        take = lambda k: ids.take(pa.array([f[k] for f in found], pa.int64()))
+        return pa.table({"a": take(0), "b": take(1)})
+
+    def in_group(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        items = [prepare(t) for t in rows.column("text").to_pylist()]
         near = possible_pairs([codes(x) for x in items], least)
-        found = group_links(list(enumerate(items)), rows["comp"].tolist(), lambda x, y: near[x[0], y[0]] and similar(x[1], y[1]))
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
+        return linked_rows(rows, group_links(list(enumerate(items)), rows.column("comp").to_pylist(), lambda x, y: near[x[0], y[0]] and similar(x[1], y[1])))
 
-    def in_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    def in_blocks(rows: pa.Table) -> pa.Table:
         """Two blocks of a bucket: only pairs across them, or one block with itself."""
-        rows = rows.sort_values("id", ignore_index=True)
-        ids, blocks = rows["id"].tolist(), rows["block"].tolist()
-        one = rows["low"][0] == rows["high"][0]
-        items = [prepare(t) for t in rows["text"]]
+        rows = rows.sort_by("id")
+        blocks = rows.column("block").to_pylist()
+        one = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
+        items = [prepare(t) for t in rows.column("text").to_pylist()]
         near = possible_pairs([codes(x) for x in items], least)
-        found = group_links(list(enumerate(items)), rows["comp"].tolist(), lambda x, y: near[x[0], y[0]] and (one or blocks[x[0]] != blocks[y[0]]) and similar(x[1], y[1]))
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"])
+        return linked_rows(rows, group_links(list(enumerate(items)), rows.column("comp").to_pylist(), lambda x, y: near[x[0], y[0]] and (one or blocks[x[0]] != blocks[y[0]]) and similar(x[1], y[1])))
 
-    same = F.pandas_udf(alike, T.BooleanType())
+    same = F.arrow_udf(alike, T.BooleanType(), F.ArrowUDFType.SCALAR)
 
     def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
         x, y = held.select(F.col("id").alias("a"), F.col("text").alias("x")), held.select(F.col("id").alias("b"), F.col("text").alias("y"))
@@ -141,7 +140,7 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
 
     def grouped(members: DataFrame, name: str) -> DataFrame:
         some = members.where((F.col("n") > SMALL) & (F.col("n") <= GROUP)).join(held, "id").select("bucket", "id", "comp", "text")
-        return scratch.write(some.groupBy("bucket").applyInPandas(in_group, schema), name)
+        return scratch.write(some.groupBy("bucket").applyInArrow(in_group, schema), name)
 
     def known() -> DataFrame:
         return scratch.write(components(linked().select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).select(F.col("node").alias("id"), "root").distinct(), f"roots{step}")
@@ -174,7 +173,7 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         block = F.when(outside, m + F.pmod(F.xxhash64("id"), o)).otherwise(F.pmod(F.xxhash64("id"), m)).cast("int")
         cut = todo.select("bucket", "id", "comp", block.alias("block"), F.explode(F.sequence(F.when(outside, F.lit(0)).otherwise(m), m + o - 1)).alias("other"))
         cut = cut.select("bucket", "id", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(held, "id")
-        found.append(scratch.write(cut.groupBy("bucket", "low", "high").applyInPandas(in_blocks, schema), f"blocks{step}"))
+        found.append(scratch.write(cut.groupBy("bucket", "low", "high").applyInArrow(in_blocks, schema), f"blocks{step}"))
         rows = None
         if not split and not wide.isEmpty():
             roots, split = known(), True

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.columns import shingles, text_bytes, word_hashes
+from tilewright.llm.columns import byte_sizes, shingles, text_bytes, word_hashes
 from tilewright.llm.common import Scratch, chunks, mix64, text_key, words_of
 from tilewright.llm.graph import components
 from tilewright.llm.links import verified_links
 
+#: Characters signed at a time.
+CHUNK_CHARS = 300_000
 WORDS, LEAST, SKETCHES, SIMILAR = 5, 3, 16, 0.8
 PHASES = (range(4), range(4, SKETCHES))
 BROADCAST_KEYS = 500_000
@@ -79,8 +81,7 @@ def _sign(batches):
         keys, column = batch.column("id").to_pylist(), batch.column("text")
         fresh = [i for i, key in enumerate(keys) if not (key in seen or seen.add(key))]
         column, keys = column.take(pa.array(fresh, pa.int64())), [keys[i] for i in fresh]
-        sizes = [len(x) if x else 0 for x in column.to_pylist()]
-        for a, b in chunks(sizes, 4_000_000):
+        for a, b in chunks(byte_sizes(column), CHUNK_CHARS):
             values, words = word_hashes(*text_bytes(column.slice(a, b - a)))
             kmers, bounds = shingles(values, words, WORDS)
             some = np.flatnonzero(np.diff(bounds))
@@ -134,7 +135,7 @@ def kmer_codes(batches):
     """(id, text) -> (id, text): each document's k-mers as 64-bit hashes, 8 bytes a k-mer."""
     for batch in batches:
         ids, column = batch.column("id"), batch.column("text")
-        for a, b in chunks([len(x) if x else 0 for x in column.to_pylist()], 4_000_000):
+        for a, b in chunks(byte_sizes(column), CHUNK_CHARS):
             kmers, bounds = shingles(*word_hashes(*text_bytes(column.slice(a, b - a))), WORDS)
             flat, ends = kmers.tobytes(), (8 * bounds).tolist()
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([flat[x:y] for x, y in zip(ends, ends[1:])], pa.binary())], ["id", "text"])
