@@ -199,14 +199,16 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
-def test_tokens_like_the_plain_tokenizer():
-    held = packing.Tokens(packing.tokenizer_file())
+@pytest.mark.parametrize("cache_words", [20, 10_000])
+def test_tokens_like_the_plain_tokenizer(cache_words):
+    held = packing.Tokens(packing.tokenizer_file(), cache_words)
     rng = random.Random(6)
     marks = ["a", "É", "ß", "İ", "é", "́", "'s", "'", "1", "½", ",", ".", "—", "\t", " ", "\n", " ", " ", "<|endoftext|>", "日本", "ﬁ", "\x00", "Σ", "#"]
     texts = ["".join(rng.choices(marks, k=rng.randint(0, 30))) for _ in range(400)] + ["", "x" * 3000]
     want = [e.ids for e in held.tokenizer.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() for b in held.ids(texts)] == want
+    assert len(held.held) <= cache_words
 
 
 def test_best_fit_closes_the_fullest():

@@ -154,7 +154,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
+            found = [shared.value.predict(t.as_py()) for t in batch.column("text")]
             names, scores = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -172,7 +172,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            kept = [shared.value.predict(t)[0] != UNKNOWN for t in batch.column("text").to_pylist()]
+            kept = [shared.value.predict(t.as_py())[0] != UNKNOWN for t in batch.column("text")]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ columns are packed each.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +42,13 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 class Tokens:
     """Ids of whole texts by a tokenizer that never joins across spaces, with a cache of space-free stretches."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.held: dict[str, bytes] = {"": b""}
+        self.cache_words = cache_words
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -88,34 +89,33 @@ class Tokens:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         rows = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        every = set().union(*rows)
-        missing = list(every.difference(self.held))
-        if len(self.held) + len(missing) > CACHE_WORDS:
-            self.held = {"": b""}
-            missing = [x for x in every if x]
-        if missing:
-            self.held.update(self._learn(missing))
+        missing = list(set().union(*rows).difference(self.held))
+        fresh, room = self._learn(missing) if missing else {}, self.cache_words - len(self.held)
+        self.held.update(fresh)
         out = [b"".join(map(self.held.__getitem__, row)) for row in rows]
-        for x in missing:
-            if len(x) > 64:
+        # a full cache stays as it is: frequent stretches come early
+        for i, x in enumerate(fresh):
+            if i >= room or len(x) > 64:
                 self.held.pop(x, None)
         return out
 
 
-_LOADED: dict[str, Tokens] = {}
+_LOADED: dict[tuple[str, int], Tokens] = {}
 
 
-def tokens(path: str) -> Tokens:
-    if path not in _LOADED:
-        _LOADED[path] = Tokens(path)
-    return _LOADED[path]
+def tokens(path: str, cache_words: int = CACHE_WORDS) -> Tokens:
+    """One tokenizer a worker: a Python worker outlives its tasks, and so do the tokenizer and its cache."""
+    if (path, cache_words) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path, cache_words] = Tokens(path, cache_words)
+    return _LOADED[path, cache_words]
 
 
-def document_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
+def document_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32 of every document's ids, the end id included."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        encoder, end = tokens(path or tokenizer_file()), END_ID.to_bytes(4, "little")
+        encoder, end = tokens(path or tokenizer_file(), cache_words), END_ID.to_bytes(4, "little")
         for batch in batches:
             column, names = batch.column("text"), batch.column("doc_id").to_pylist()
             out: list[tuple] = []
@@ -183,7 +183,7 @@ def pack(pieces: DataFrame, tasks: int, length: int = LENGTH, open_bins: int = O
     return pieces.repartition(tasks).sortWithinPartitions(*[pieces[c].desc() for c in order]).mapInArrow(fill, schema)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, open_bins: int = OPEN_BINS, written: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Every document's pieces with their places. written: cuts the plan after tokenising, if wanted."""
+def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, open_bins: int = OPEN_BINS, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Every document's pieces with their places. cache_words: stretches (some 150 bytes each) that a worker keeps."""
     tasks = max(LEAST_TASKS, -(-docs.count() // PIECES_A_TASK))
-    return pack(written(document_pieces(docs, path, length)), tasks, length, open_bins)
+    return pack(document_pieces(docs, path, length, cache_words), tasks, length, open_bins)
