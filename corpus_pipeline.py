@@ -9,6 +9,10 @@ from tilewright.llm import decontam, langid, line_dedup, order_minhash, packing
 from tilewright.llm.common import Scratch, table
 
 
+#: Python workers serve one stage after another, so what the tokenizer keeps is small here.
+CACHE_WORDS = 200_000
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told go."""
     return langid.keep_identified(docs)
@@ -32,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 2048 at most: the places of all documents' pieces."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cache_words=CACHE_WORDS)
 
 
 STAGES = [
