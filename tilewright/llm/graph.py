@@ -29,6 +29,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+#: Edges a task of a round, where they are few: a small graph is not written as hundreds of files a round.
+EDGES_A_TASK = 50_000
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(u, v) links of any comparable type -> (node, root): root is the least node of the component.
 
@@ -41,7 +45,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     if not before["n"]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for i in range(1, rounds + 1):
-        edges = scratch.write(_small_star(_large_star(edges)), f"cc{i}")
+        edges = scratch.write(_small_star(_large_star(edges)).coalesce(1 + before["n"] // EDGES_A_TASK), f"cc{i}")
         now = state(edges)
         scratch.drop(f"cc{i - 1}")
         if now == before:

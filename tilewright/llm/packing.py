@@ -111,8 +111,11 @@ def tokens(path: str, cache_words: int = CACHE_WORDS) -> Tokens:
     return _LOADED[path, cache_words]
 
 
-def document_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """Rows doc_id, piece, start, length, ids_crc32 of every document's ids, the end id included."""
+def document_pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, cache_words: int = CACHE_WORDS, release: bool = False) -> DataFrame:
+    """Rows doc_id, piece, start, length, ids_crc32 of every document's ids, the end id included.
+
+    release: tasks leave neither tokenizer nor cache to the worker, which may serve other stages next.
+    """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         encoder, end = tokens(path or tokenizer_file(), cache_words), END_ID.to_bytes(4, "little")
@@ -126,6 +129,8 @@ def document_pieces(docs: DataFrame, path: str | None = None, length: int = LENG
                         part = ids[at : at + 4 * length]
                         out.append((name, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if release:
+            _LOADED.clear()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
@@ -183,7 +188,7 @@ def pack(pieces: DataFrame, tasks: int, length: int = LENGTH, open_bins: int = O
     return pieces.repartition(tasks).sortWithinPartitions(*[pieces[c].desc() for c in order]).mapInArrow(fill, schema)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, open_bins: int = OPEN_BINS, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, open_bins: int = OPEN_BINS, cache_words: int = CACHE_WORDS, release: bool = False) -> DataFrame:
     """Every document's pieces with their places. cache_words: stretches (some 150 bytes each) that a worker keeps."""
     tasks = max(LEAST_TASKS, -(-docs.count() // PIECES_A_TASK))
-    return pack(document_pieces(docs, path, length, cache_words), tasks, length, open_bins)
+    return pack(document_pieces(docs, path, length, cache_words, release), tasks, length, open_bins)
