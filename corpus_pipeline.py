@@ -36,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 2048 at most: the places of all documents' pieces."""
-    return packing.pack_documents(docs, cache_words=CACHE_WORDS)
+    return packing.pack_documents(docs, cache_words=CACHE_WORDS, release=True)
 
 
 STAGES = [
