@@ -82,6 +82,29 @@ def test_links_of_large_buckets(spark, monkeypatch, wide):
     assert classes([tuple(r) for r in found], names) == classes(want, names)
 
 
+@pytest.mark.parametrize("least", [0.8, 0.5])
+def test_links_of_pairs_that_share_a_wide_band_alone(spark, monkeypatch, least):
+    """Code sets with a long common part, whose only shared band is everyone's: what all pairs give is found."""
+    monkeypatch.setattr(links, "GROUP", 10)
+    monkeypatch.setattr(links, "SMALL", 3)
+    monkeypatch.setattr(links, "WIDE", 15)
+    rng = random.Random(6)
+    texts = []
+    for family in range(40):
+        own = range(1000 * family + 200, 1000 * family + 200 + rng.randint(14, 40))
+        for _ in range(rng.randint(1, 4)):
+            texts.append([*range(84), *rng.sample(own, rng.randint(10, len(own))), *rng.sample(range(100, 130), 2)])
+    rng.shuffle(texts)
+    sets = [frozenset(t) for t in texts]
+    alike = lambda x, y: len(x & y) / len(x | y) >= least
+    signed = spark.createDataFrame([(i, [1, 1000 + i]) for i in range(len(texts))], "id long, bands array<long>")
+    held = spark.createDataFrame([(i, " ".join(map(str, t))) for i, t in enumerate(texts)], "id long, text string")
+    found = links.verified_links(signed, lambda ids: held.join(ids, "id"), lambda t: frozenset(map(int, t.split())), alike, Scratch(spark, "t"), ((0,), (1,)), lambda x: np.array(sorted(x), np.uint64), least).collect()
+    want = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(sets[i], sets[j])]
+    assert len(want) > 30
+    assert classes([tuple(r) for r in found], range(len(texts))) == classes(want, range(len(texts)))
+
+
 def test_line_dedup_against_all_pairs(spark):
     rng = random.Random(8)
     lines = [sentence(rng, rng.randint(8, 20)) for _ in range(25)]

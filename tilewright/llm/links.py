@@ -10,8 +10,10 @@ Bands are taken in phases. After a phase the components of what is linked so far
 only items of different components are held against each other: buckets inside one component need no work. At
 last, large buckets that still hold several components are finished: the items outside the leader's component
 (the rest) are cut into blocks, the others too, and each block of the rest is held against every block in a task of
-its own. A bucket with a very large rest is first split by each other band. No bucket is capped or dropped, and
-no task gathers more than about GROUP items.
+its own. Items of buckets with a very large rest are dealt anew instead, by a prefix filter: codes are ordered from
+rare to common, and two items that are similar enough share one of the first few of each, so every such code is a
+bucket, worked off like the others. No bucket is capped or dropped, no pair that shares a band is lost, and no task
+gathers more than about GROUP items.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from tilewright.llm.graph import components
 SMALL, GROUP = 8, 512
 #: Shared buckets up to this number (8 bytes each) are broadcast.
 BROADCAST_BUCKETS = 3_000_000
-#: Buckets with more items outside the leader's component are split by each other band first.
+#: The items of buckets with more than this outside the leader's component are dealt anew by their rare codes.
 WIDE = 32 * GROUP
 
 
@@ -115,6 +117,32 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         x, y = held.select(F.col("id").alias("a"), F.col("text").alias("x")), held.select(F.col("id").alias("b"), F.col("text").alias("y"))
         return pairs.join(x, "a").join(y, "b").where(same("x", "y")).select("a", "b")
 
+    def code_lists(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP):
+                part = batch.slice(at, GROUP)
+                lists = [c.view(np.int64) if len(c) else np.zeros(1, np.int64) for c in (codes(prepare(t)) for t in part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lists, pa.list_(pa.int64()))], ["id", "codes"])
+
+    def rare_codes(ids: DataFrame) -> DataFrame:
+        """(bucket, id): two of the items whose codes have a Jaccard similarity of `least` share one of these buckets at least.
+
+        Let x have no more codes than y. They share at least 2 least / (1 + least) of x's codes and `least` of y's, so
+        the rarest code that they share is among the first of x (`first`) and among the somewhat more first of y.
+        """
+        lists = T.StructType([T.StructField("id", kind), T.StructField("codes", T.ArrayType(T.LongType()))])
+        named = scratch.write(ids.join(held, "id").mapInArrow(code_lists, lists), "codes")
+        flat = named.select("id", F.size("codes").alias("total"), F.explode("codes").alias("code"))
+        often = flat.groupBy("code").agg(F.count("*").alias("times")).where("times > 1")  # others come first, and no two items share them
+        ranked = flat.join(often, "code").groupBy("id", "total").agg(F.array_sort(F.collect_list(F.struct("times", "code"))).alias("held"))
+        placed = ranked.select("id", "total", (F.col("total") - F.size("held")).alias("alone"), F.posexplode("held").alias("place", "one"))
+        room = lambda share: F.col("total") - F.ceil(share * F.col("total") - 1e-6)
+        place = F.col("alone") + F.col("place")
+        placed = placed.where(place <= room(least)).select(F.col("one.code").alias("bucket"), "id", (place <= room(2 * least / (1 + least))).alias("first"))
+        placed = scratch.write(placed, "placed")
+        useful = placed.groupBy("bucket").agg(F.max("first").alias("some"), F.count("*").alias("n")).where("some and n > 1")
+        return placed.select("bucket", "id").join(useful.select("bucket"), "bucket", "left_semi")
+
     exploded = signed.select("id", F.posexplode("bands").alias("band", "value"))
     rows = exploded.select("band", F.xxhash64("band", "value").alias("bucket"), "id")
     half = max(1, GROUP // 2)
@@ -142,6 +170,10 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         some = members.where((F.col("n") > SMALL) & (F.col("n") <= GROUP)).join(held, "id").select("bucket", "id", "comp", "text")
         return scratch.write(some.groupBy("bucket").applyInArrow(in_group, schema), name)
 
+    def pairs_of(members: DataFrame) -> DataFrame:
+        few = members.where(F.col("n") <= SMALL)
+        return few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")).join(few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb")), "bucket").where("a < b and ca != cb").select("a", "b")
+
     def known() -> DataFrame:
         return scratch.write(components(linked().select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).select(F.col("node").alias("id"), "root").distinct(), f"roots{step}")
 
@@ -149,37 +181,34 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
     for phase in phases:
         step += 1
         members = members_of(shared.where(F.col("band").isin(list(phase))).select("bucket", "id"), f"members{step}")
-        few = members.where(F.col("n") <= SMALL)
-        near = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")).join(few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb")), "bucket").where("a < b and ca != cb").select("a", "b")
         star = members.where((F.col("n") > GROUP) & outside).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
-        found.append(scratch.write(verified(near.unionByName(star).distinct(), held), f"links{step}"))
+        found.append(scratch.write(verified(pairs_of(members).unionByName(star).distinct(), held), f"links{step}"))
         found.append(grouped(members, f"group{step}"))
         scratch.drop(f"members{step}")
         roots = known()
 
-    # large buckets have met their leaders only; `small` ones of a split are new
-    rows, split = shared.select("band", "bucket", "id"), False
+    # large buckets have met their leaders only; those of rare codes are new
+    rows, rare = shared.select("bucket", "id"), False
     while rows is not None:
         step += 1
-        members = members_of(rows, f"members{step}", 1 if split else GROUP)
-        if split:
-            found.append(grouped(members.withColumn("n", F.when(F.col("n") <= SMALL, SMALL + 1).otherwise(F.col("n"))), f"group{step}"))
+        members = members_of(rows, f"members{step}", 1 if rare else GROUP)
+        if rare:
+            found.append(scratch.write(verified(pairs_of(members).distinct(), held), f"links{step}"))
+            found.append(grouped(members, f"group{step}"))
         large = members.where(F.col("n") > GROUP)
         sizes = large.groupBy("bucket").agg(F.sum(outside.cast("long")).alias("rest"), F.sum((~outside).cast("long")).alias("main"))
         sizes = scratch.write(sizes, f"sizes{step}")
-        wide = sizes.where(F.col("rest") > WIDE) if not split else sizes.limit(0)
-        todo = large.join(sizes.where(F.col("rest") <= WIDE) if not split else sizes, "bucket")
+        wide = sizes.where(F.col("rest") > WIDE) if not rare else sizes.limit(0)
+        todo = large.join(sizes.where(F.col("rest") <= WIDE) if not rare else sizes, "bucket")
         m, o = F.ceil(F.col("main") / half).cast("int"), F.ceil(F.col("rest") / half).cast("int")
         block = F.when(outside, m + F.pmod(F.xxhash64("id"), o)).otherwise(F.pmod(F.xxhash64("id"), m)).cast("int")
         cut = todo.select("bucket", "id", "comp", block.alias("block"), F.explode(F.sequence(F.when(outside, F.lit(0)).otherwise(m), m + o - 1)).alias("other"))
         cut = cut.select("bucket", "id", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(held, "id")
         found.append(scratch.write(cut.groupBy("bucket", "low", "high").applyInArrow(in_blocks, schema), f"blocks{step}"))
         rows = None
-        if not split and not wide.isEmpty():
-            roots, split = known(), True
-            again = members.join(wide.select("bucket"), "bucket", "left_semi").select("bucket", "band", "id")
-            finer = exploded.select("id", F.col("band").alias("by"), "value").distinct()
-            rows = again.join(finer, "id").where("by != band").select("band", F.xxhash64("bucket", "by", "value").alias("bucket"), "id")
+        if not rare and not wide.isEmpty():
+            roots, rare = known(), True
+            rows = rare_codes(members.join(wide.select("bucket"), "bucket", "left_semi").select("id").distinct())
     out = scratch.write(linked().distinct(), "links")
-    scratch.drop("texts", "shared", "two", *(f"{x}{j}" for x in ("links", "group", "blocks", "roots", "members", "sizes") for j in range(step + 1)))
+    scratch.drop("texts", "shared", "two", "codes", "placed", *(f"{x}{j}" for x in ("links", "group", "blocks", "roots", "members", "sizes") for j in range(step + 1)))
     return out
