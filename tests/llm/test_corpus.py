@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests_llm_tools import classes, sentence, window_truth
 from tilewright.llm import chat, decontam, graph, langid, licenses, line_dedup, links, media, order_minhash, packing, queries, sharding, warc
 from tilewright.llm.common import Scratch, words_of
@@ -345,6 +346,14 @@ def test_language_is_learned_and_calibrated(spark, empty):
     assert langid.identify(empty, langid.fit_on(empty)).count() == 0
 
 
+def test_unlabelled_documents_stay(spark):
+    held_out = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 == 1]
+    for labelled in ([], held_out):
+        rows = [(i, "some words", "en" if i in labelled else None) for i in range(30)] + [(40, None, None), (41, "12 !", None)]
+        kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
+
+
 def test_arc_versions():
     body = b"HTML\n\npage \x00\xff\n"
     one = warc.version_block(1) + b"http://a b/x 1.2.3.4 20010203040506 text/html %d\n" % len(body) + body + b"\n"

@@ -165,14 +165,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents without those whose language cannot be told: a null text, or one without a letter.
 
-    The model is fitted on the documents themselves; what it predicts rejects nothing but `und`.
+    The model is fitted on the documents themselves; what it predicts rejects nothing but `und`. Where no language
+    was learned, the text alone decides.
     """
     model = fit_on(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            kept = [shared.value.predict(t.as_py())[0] != UNKNOWN for t in batch.column("text")]
+            tells = (lambda t: shared.value.predict(t)[0] != UNKNOWN) if shared.value.languages else has_letter
+            kept = [tells(t.as_py()) for t in batch.column("text")]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
