@@ -354,6 +354,14 @@ def test_unlabelled_documents_stay(spark):
         assert sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
 
 
+def test_long_texts_leave_the_sample_whole(spark):
+    docs = spark.createDataFrame([(i, ("bana nabo", "skri krel")[i % 2], ("aa", "bb")[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    first = langid.learning_rows(docs).orderBy(sharding.F.xxhash64("doc_id", "lang"), "doc_id").first()["doc_id"]
+    long = docs.withColumn("text", sharding.F.when(sharding.F.col("doc_id") == first, sharding.F.repeat("text", 1000)).otherwise(sharding.F.col("text")))
+    assert langid.fit_on(long, sample_bytes=2000).languages == ["aa", "bb"]
+    assert len(langid.fit_on(long.where(sharding.F.col("doc_id") == first), sample_bytes=2000).languages) == 1
+
+
 def test_arc_versions():
     body = b"HTML\n\npage \x00\xff\n"
     one = warc.version_block(1) + b"http://a b/x 1.2.3.4 20010203040506 text/html %d\n" % len(body) + body + b"\n"

@@ -133,14 +133,17 @@ def learning_rows(docs: DataFrame) -> DataFrame:
 
 
 def fit_on(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model from the `sample` labelled rows of least hash; of these, as many as sample_bytes allows."""
+    """A model from the `sample` labelled rows of least hash; of these, in that order, each that sample_bytes still has room for."""
     rows = learning_rows(docs).select(F.xxhash64("doc_id", "lang").alias("h"), F.octet_length("text").alias("size"), "doc_id", "lang")
     picked = rows.orderBy("h", "doc_id").limit(sample).collect()
     total, names = 0, []
     for r in picked:
-        total += r["size"]
-        if total <= sample_bytes or not names:
+        if total + r["size"] <= sample_bytes:
+            total += r["size"]
             names.append((r["doc_id"], r["lang"]))
+    if picked and not names:  # all are longer than that: the shortest
+        least = min(picked, key=lambda r: r["size"])
+        names.append((least["doc_id"], least["lang"]))
     if not names:
         return fit([])
     wanted = docs.sparkSession.createDataFrame(names, "doc_id long, lang string").distinct()
