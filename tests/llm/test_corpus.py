@@ -362,6 +362,15 @@ def test_long_texts_leave_the_sample_whole(spark):
     assert len(langid.fit_on(long.where(sharding.F.col("doc_id") == first), sample_bytes=2000).languages) == 1
 
 
+def test_idf_is_of_all_learning_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, 6), "en") for i in range(90)] + [(90, None, "en"), (91, "12", "en"), (92, "no label", None), (None, "no id", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learn = [t for i, t, y in rows if i is not None and y and langid.has_letter(t) and zlib.crc32(str(i).encode()) % 3 != 1]
+    df = sum((langid.counts(t) > 0).astype(int) for t in learn)
+    assert np.allclose(langid.fit_on(docs, sample=10).idf, np.log((1 + len(learn)) / (1 + df)) + 1)
+
+
 def test_arc_versions():
     body = b"HTML\n\npage \x00\xff\n"
     one = warc.version_block(1) + b"http://a b/x 1.2.3.4 20010203040506 text/html %d\n" % len(body) + body + b"\n"

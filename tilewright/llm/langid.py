@@ -2,7 +2,8 @@
 
 Features are the hashed 1- to 4-grams of the lower-cased text's characters, weighted (1 + ln tf) x idf and
 scaled to length 1. The weights are learned by follow-the-regularised-leader (FTRL-proximal, per coordinate)
-with an L1 and an L2 penalty, over a bounded sample of the labelled rows: the SAMPLE rows of least hash. A part
+with an L1 and an L2 penalty, over a bounded sample of the labelled rows: the SAMPLE rows of least hash. The idf
+is counted over all rows that may be learned from. A part
 of the sample is kept back from FTRL and sets the temperature that scales the logits. Prediction takes whole
 texts and nothing but the text.
 
@@ -12,6 +13,7 @@ no labelled row to learn from, all texts are `und`; a label that no sample row h
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +48,16 @@ def counts(text: str) -> np.ndarray:
     return total
 
 
+def occurrences(texts: Iterable[str | None]) -> tuple[int, np.ndarray]:
+    """How many texts have a letter, and in how many of these each slot occurs."""
+    total, df = 0, np.zeros(1 << BITS, np.int64)
+    for text in texts:
+        if has_letter(text):
+            total += 1
+            df += counts(text) > 0
+    return total, df
+
+
 def features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values) of the unit TF-IDF vector."""
     tf = counts(text)
@@ -81,18 +93,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
-    """rows: (text, language), in a fixed order; every fifth is kept back for calibration."""
+def fit(rows: list[tuple[str, str]], epochs: int = EPOCHS, seen: tuple[int, np.ndarray] | None = None) -> Model:
+    """rows: (text, language), in a fixed order; every fifth is kept back for calibration.
+
+    seen: a number of texts and in how many of them each slot occurs; without it, those of rows are counted.
+    """
     rows = [(t, y) for t, y in rows if has_letter(t)]
     languages = sorted({y for _, y in rows})
     if not rows:
         return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     learn = [r for i, r in enumerate(rows) if i % 5] or rows
     spare = rows[::5]
-    df = np.zeros(1 << BITS)
-    for text, _ in learn:
-        df += counts(text) > 0
-    idf = np.log((1.0 + len(learn)) / (1.0 + df)) + 1.0
+    total, df = seen or occurrences(t for t, _ in learn)
+    idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
     vectors = [(*features(t, idf), languages.index(y)) for t, y in learn]
     k = len(languages)
     z, n = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))
@@ -132,6 +145,24 @@ def learning_rows(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null and lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
 
 
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """`occurrences` over all rows that may be learned from: each task counts its own, the sums come to the driver."""
+
+    def run(batches):
+        total, df = occurrences(t.as_py() for batch in batches for t in batch.column("text"))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([total, *df[at].tolist()], pa.int64())], ["slot", "n"])
+
+    sums = learning_rows(docs).select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    total, df = 0, np.zeros(1 << BITS, np.int64)
+    for slot, n in sums:
+        if slot < 0:
+            total = n
+        else:
+            df[slot] = n
+    return total, df
+
+
 def fit_on(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from the `sample` labelled rows of least hash; of these, in that order, each that sample_bytes still has room for."""
     rows = learning_rows(docs).select(F.xxhash64("doc_id", "lang").alias("h"), F.octet_length("text").alias("size"), "doc_id", "lang")
@@ -148,7 +179,7 @@ def fit_on(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYT
         return fit([])
     wanted = docs.sparkSession.createDataFrame(names, "doc_id long, lang string").distinct()
     got = learning_rows(docs).select("doc_id", "lang", "text").join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi").orderBy("doc_id", "lang", "text").limit(sample).collect()
-    return fit([(r["text"], r["lang"]) for r in got])
+    return fit([(r["text"], r["lang"]) for r in got], seen=document_frequencies(docs))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
