@@ -28,6 +28,7 @@ def corpus(rng):
                 words[rng.randrange(len(words))] = "changed"
             texts.append(" ".join(words))
     texts += [sentence(rng, 30) + "\n" + base[0][:200] + "\n" + sentence(rng, 30) for _ in range(6)]
+    texts += ["a <|endoftext|> b", "x<|startoftext|><|endoftext|>,y <|ENDOFTEXT|>"]
     return texts
 
 
@@ -205,7 +206,6 @@ def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(packing.tokenizer_file())
-    plain.encode_special_tokens = True
     want = Counter()
     for r in docs.collect():
         ids = np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
@@ -225,11 +225,14 @@ def test_packing(spark, docs, empty):
 
 @pytest.mark.parametrize("cache_words", [20, 10_000])
 def test_tokens_like_the_plain_tokenizer(cache_words):
-    held = packing.Tokens(packing.tokenizer_file(), cache_words)
+    from tokenizers import Tokenizer
+
+    held, plain = packing.Tokens(packing.tokenizer_file(), cache_words), Tokenizer.from_file(packing.tokenizer_file())
     rng = random.Random(6)
-    marks = ["a", "É", "ß", "İ", "é", "́", "'s", "'", "1", "½", ",", ".", "—", "\t", " ", "\n", " ", " ", "<|endoftext|>", "日本", "ﬁ", "\x00", "Σ", "#"]
+    marks = ["a", "É", "ß", "İ", "é", "́", "'s", "'", "1", "½", ",", ".", "—", "\t", " ", "\n", " ", " ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "日本", "ﬁ", "\x00", "Σ", "#"]
     texts = ["".join(rng.choices(marks, k=rng.randint(0, 30))) for _ in range(400)] + ["", "x" * 3000]
-    want = [e.ids for e in held.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert any(49407 in ids for ids in want)
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() for b in held.ids(texts)] == want
     assert len(held.held) <= cache_words

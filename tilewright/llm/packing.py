@@ -40,13 +40,16 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 class Tokens:
-    """Ids of whole texts by a tokenizer that never joins across spaces, with a cache of space-free stretches."""
+    """Ids of whole texts by a tokenizer that never joins across spaces, with a cache of space-free stretches.
+
+    Special strings inside texts are the tokenizer's special tokens, as it comes; they hold no space, so a
+    stretch gives the ids that it has in its text.
+    """
 
     def __init__(self, path: str, cache_words: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.held: dict[str, bytes] = {"": b""}
         self.cache_words = cache_words
         vocabulary = self.tokenizer.get_vocab()
