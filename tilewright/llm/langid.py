@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 BITS, ORDERS = 16, (1, 2, 3, 4)
 #: Labelled rows to learn from at most, and the most bytes of text that they may bring to the driver.
 SAMPLE, SAMPLE_BYTES = 4000, 64_000_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-5, 1e-6, 3
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.3, 1e-6, 3
 UNKNOWN = "und"
 _SALT = [0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0x7FEB352D]
 
@@ -36,16 +36,15 @@ def has_letter(text: str | None) -> bool:
 def counts(text: str) -> np.ndarray:
     """How often each hashed n-gram is in a text, one number a slot."""
     chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    total = np.zeros(1 << BITS, np.int64)
+    slots = [np.zeros(0, np.uint32)]
     h = np.zeros(len(chars), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         if len(chars) < n:
             break
         h = (h[: len(chars) - n + 1] * np.uint32(0x01000193)) ^ (chars[n - 1 :] * np.uint32(0x85EBCA6B))
         if n in ORDERS:
-            slot = ((h ^ np.uint32(_SALT[n])) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-            total += np.bincount(slot, minlength=1 << BITS)
-    return total
+            slots.append(((h ^ np.uint32(_SALT[n])) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS))
+    return np.bincount(np.concatenate(slots), minlength=1 << BITS)
 
 
 def occurrences(texts: Iterable[str | None]) -> tuple[int, np.ndarray]:
@@ -131,8 +130,17 @@ def fit(rows: list[tuple[str, str]], epochs: int = EPOCHS, seen: tuple[int, np.n
 
 
 def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least negative log likelihood, by golden-section search on its logarithm."""
-    loss = lambda t: -np.log(_softmax(logits / np.exp(t))[np.arange(len(labels)), labels] + 1e-12).mean()
+    """The temperature of least cross-entropy, by golden-section search on its logarithm.
+
+    With m rows the right label's target is (m + 1) / (m + 2), not 1 (Platt's targets): rows that the model tells
+    apart without error say no more than that, and would otherwise drive the temperature to 0.
+    """
+    m, k = logits.shape
+    if k < 2:
+        return 1.0
+    target = np.full((m, k), 1.0 / ((m + 2) * (k - 1)))
+    target[np.arange(m), labels] = (m + 1.0) / (m + 2)
+    loss = lambda t: -(target * np.log(_softmax(logits / np.exp(t)) + 1e-300)).sum(axis=1).mean()
     low, high, g = np.log(0.02), np.log(20.0), (np.sqrt(5.0) - 1) / 2
     for _ in range(60):
         a, b = high - g * (high - low), low + g * (high - low)
@@ -164,21 +172,27 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def fit_on(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model from the `sample` labelled rows of least hash; of these, in that order, each that sample_bytes still has room for."""
-    rows = learning_rows(docs).select(F.xxhash64("doc_id", "lang").alias("h"), F.octet_length("text").alias("size"), "doc_id", "lang")
-    picked = rows.orderBy("h", "doc_id").limit(sample).collect()
-    total, names = 0, []
+    """A model from the `sample` labelled rows of least hash; of these, in that order, each that sample_bytes still has room for.
+
+    Rows alike in doc_id, lang and text are one.
+    """
+    name = F.xxhash64("text").alias("name")
+    rows = learning_rows(docs).select(F.xxhash64("doc_id", "lang").alias("h"), F.octet_length("text").alias("size"), "doc_id", "lang", name)
+    picked = rows.orderBy("h", "doc_id", "name").limit(sample).collect()
+    total, names = 0, {}
     for r in picked:
-        if total + r["size"] <= sample_bytes:
+        key = (r["doc_id"], r["lang"], r["name"])
+        if key not in names and total + r["size"] <= sample_bytes:
             total += r["size"]
-            names.append((r["doc_id"], r["lang"]))
+            names[key] = None
     if picked and not names:  # all are longer than that: the shortest
         least = min(picked, key=lambda r: r["size"])
-        names.append((least["doc_id"], least["lang"]))
+        names[least["doc_id"], least["lang"], least["name"]] = None
     if not names:
         return fit([])
-    wanted = docs.sparkSession.createDataFrame(names, "doc_id long, lang string").distinct()
-    got = learning_rows(docs).select("doc_id", "lang", "text").join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi").orderBy("doc_id", "lang", "text").limit(sample).collect()
+    wanted = docs.sparkSession.createDataFrame(list(names), "doc_id long, lang string, name long")
+    got = learning_rows(docs).select("doc_id", "lang", name, "text").join(F.broadcast(wanted), ["doc_id", "lang", "name"], "left_semi")
+    got = got.dropDuplicates(["doc_id", "lang", "name"]).orderBy("doc_id", "lang", "text").collect()
     return fit([(r["text"], r["lang"]) for r in got], seen=document_frequencies(docs))
 
 
