@@ -349,6 +349,41 @@ def test_language_is_learned_and_calibrated(spark, empty):
     assert langid.identify(empty, langid.fit_on(empty)).count() == 0
 
 
+def test_scores_say_how_often_they_are_right(spark):
+    """Texts that share most words between languages: not separable, so calibration shows."""
+    rng = random.Random(11)
+    shared, speech = ["oto", "mara", "lin", "sul", "ver"], {"aa": ["bana", "nabo"], "bb": ["skri", "krel"], "cc": ["yuoi", "oiye"]}
+    rows = []
+    for i in range(3000):
+        lang = rng.choice(list(speech))
+        said = rng.choice(list(speech)) if rng.random() < 0.2 else lang
+        rows.append((i, " ".join(rng.choice(speech[said]) if rng.random() < 0.15 else rng.choice(shared) for _ in range(rng.randint(3, 12))), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    truth = {i: y for i, _, y in rows}
+    model = langid.fit_on(docs)
+
+    def error() -> float:
+        """Expected calibration error of the held-out rows, in ten bins."""
+        held = np.array([(r["score"], r["lang_pred"] == truth[r["doc_id"]]) for r in langid.identify(docs, model).where("held_out").collect()])
+        assert held[:, 1].mean() > 0.5
+        bins = np.minimum((held[:, 0] * 10).astype(int), 9)
+        return sum(abs((held[bins == b, 0] - held[bins == b, 1]).sum()) for b in range(10)) / len(held)
+
+    calibrated = error()
+    model.temperature /= 10
+    assert calibrated < 0.1 < error()
+
+
+def test_language_of_hard_rows(spark):
+    """Repeated rows are predicted each and learned once; clashing columns do not matter; lang is filled where null."""
+    rows = [(i, ("bana nabo tabu", "skri krel strik")[i % 2], ("aa", "bb")[i % 2] if i % 5 else None, 7) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:20], (4, "bana " * 3000, "aa", 7)], "doc_id long, text string, lang string, held_out int").withColumns({"name": sharding.F.lit("x"), "_tilewright": sharding.F.lit(1)})
+    out = langid.identify(docs, langid.fit_on(docs)).collect()
+    assert len(out) == 81 and all(r["lang_pred"] == ("aa", "bb")[r["doc_id"] % 2] for r in out)
+    kept = langid.keep_identified(docs).collect()
+    assert len(kept) == 81 and all((r["lang"], r["held_out"]) == (("aa", "bb")[r["doc_id"] % 2], 7) for r in kept)
+
+
 def test_unlabelled_documents_stay(spark):
     held_out = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 == 1]
     for labelled in ([], held_out):

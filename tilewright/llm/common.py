@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +62,26 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(run: Callable[..., Iterable]) -> Callable[..., Iterator]:
+    """A function on batches that gives the memory it no longer uses back to the system when its task ends.
+
+    A Python worker outlives its tasks and serves other stages next; what Arrow and the C library keep for reuse
+    would add up over the stages.
+    """
+
+    @functools.wraps(run)
+    def whole(*batches) -> Iterator:
+        try:
+            yield from run(*batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+                trim(0)
+
+    return whole
+
+
 def own(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns with clashing names cannot meet the operator's own."""
     return df.select(*names)

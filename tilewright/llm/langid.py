@@ -20,6 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tilewright.llm.common import tidy
 
 BITS, ORDERS = 16, (1, 2, 3, 4)
 #: Labelled rows to learn from at most, and the most bytes of text that they may bring to the driver.
@@ -161,7 +164,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([total, *df[at].tolist()], pa.int64())], ["slot", "n"])
 
-    sums = learning_rows(docs).select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    sums = learning_rows(docs).select("text").mapInArrow(tidy(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     total, df = 0, np.zeros(1 << BITS, np.int64)
     for slot, n in sums:
         if slot < 0:
@@ -207,22 +210,29 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents without those whose language cannot be told: a null text, or one without a letter.
 
-    The model is fitted on the documents themselves; what it predicts rejects nothing but `und`. Where no language
-    was learned, the text alone decides.
+    The model is fitted on the documents themselves; what it predicts rejects nothing but `und`, and fills the
+    column lang (if there is one of type string) where that is null. Where no language was learned, the text alone
+    decides and lang stays. Texts alone go to Python; whole rows stay in the JVM.
     """
-    model = fit_on(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            tells = (lambda t: shared.value.predict(t)[0] != UNKNOWN) if shared.value.languages else has_letter
-            kept = [tells(t.as_py()) for t in batch.column("text")]
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs))
+
+    def run(texts: pa.Array) -> pa.Array:
+        """The language of each text, `und` where it has a letter but none was learned, null where it cannot be told."""
+        model = shared.value
+        if not model.languages:
+            return pa.array([UNKNOWN if has_letter(t.as_py()) else None for t in texts], pa.string())
+        found = [model.predict(t.as_py())[0] for t in texts]
+        return pa.array([None if x == UNKNOWN else x for x in found], pa.string())
+
+    # or else the filter would be pushed through the projection, and every text identified twice
+    told = F.arrow_udf(run, T.StringType(), F.ArrowUDFType.SCALAR).asNondeterministic()
+    rows = docs.withColumn("_tilewright_told", told("text")).where("_tilewright_told is not null")
+    fill = "lang" in docs.columns and docs.schema["lang"].dataType == T.StringType()
+    known = F.coalesce("lang", F.nullif("_tilewright_told", F.lit(UNKNOWN))) if fill else None
+    return rows.select(*[known.alias(c) if fill and c == "lang" else F.col(c) for c in docs.columns])

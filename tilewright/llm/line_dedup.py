@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tilewright.llm.columns import byte_sizes
-from tilewright.llm.common import Scratch, chunks, mix64
+from tilewright.llm.common import Scratch, chunks, mix64, tidy
 from tilewright.llm.graph import components
 from tilewright.llm.links import verified_links
 
@@ -131,7 +131,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.select("doc_id", "text")
     lines = docs.where("text is not null").select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.xxhash64("line").alias("k1"), "line")
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    signed = scratch.write(rows.mapInArrow(_sign, "doc_id long, th long, line_no int, k1 long, k2 long, bands array<long>"), "signed")
+    signed = scratch.write(rows.mapInArrow(tidy(_sign), "doc_id long, th long, line_no int, k1 long, k2 long, bands array<long>"), "signed")
 
     def texts(ids: DataFrame) -> DataFrame:
         ids = scratch.write(ids.withColumnRenamed("id", "k1"), "ids")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import Scratch
+from tilewright.llm.common import Scratch, tidy
 from tilewright.llm.graph import components
 
 SMALL, GROUP = 8, 512
@@ -131,7 +131,7 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         the rarest code that they share is among the first of x (`first`) and among the somewhat more first of y.
         """
         lists = T.StructType([T.StructField("id", kind), T.StructField("codes", T.ArrayType(T.LongType()))])
-        named = scratch.write(ids.join(held, "id").mapInArrow(code_lists, lists), "codes")
+        named = scratch.write(ids.join(held, "id").mapInArrow(tidy(code_lists), lists), "codes")
         flat = named.select("id", F.size("codes").alias("total"), F.explode("codes").alias("code"))
         often = flat.groupBy("code").agg(F.count("*").alias("times")).where("times > 1")  # others come first, and no two items share them
         ranked = flat.join(often, "code").groupBy("id", "total").agg(F.array_sort(F.collect_list(F.struct("times", "code"))).alias("held"))

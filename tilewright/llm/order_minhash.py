@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.columns import byte_sizes, shingles, text_bytes, word_hashes
-from tilewright.llm.common import Scratch, chunks, mix64, text_key, words_of
+from tilewright.llm.common import Scratch, chunks, mix64, text_key, tidy, words_of
 from tilewright.llm.graph import components
 from tilewright.llm.links import verified_links
 
@@ -166,12 +166,12 @@ def similar_documents(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.
 def document_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root): id is the 160-bit text name; only texts that are near copies of another text."""
     texts = docs.select(text_key(F.col("text")).alias("id"), "text")
-    signed = scratch.write(texts.mapInArrow(_sign, "id string, bands array<long>"), "signed")
+    signed = scratch.write(texts.mapInArrow(tidy(_sign), "id string, bands array<long>"), "signed")
 
     def held(ids: DataFrame) -> DataFrame:
         ids = scratch.write(ids, "ids")
         few = ids.count() <= BROADCAST_KEYS
-        return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")).mapInArrow(kmer_codes, "id string, text binary")
+        return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")).mapInArrow(tidy(kmer_codes), "id string, text binary")
 
     links = verified_links(signed, held, prepared, similar_documents, scratch, PHASES, lambda x: x[1], SIMILAR)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tilewright.llm.columns import byte_sizes
-from tilewright.llm.common import chunks
+from tilewright.llm.common import chunks, tidy
 
 LENGTH, END_ID = 2048, 0
 #: Bins that a task holds open. A full task's pieces by falling length would open some 18,000 at once.
@@ -138,7 +138,7 @@ def document_pieces(docs: DataFrame, path: str | None = None, length: int = LENG
         if release:
             _LOADED.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), PIECES)
 
 
 class BestFit:
@@ -191,7 +191,7 @@ def pack(pieces: DataFrame, tasks: int, length: int = LENGTH, open_bins: int = O
             places = [bins.place(n) for n in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + x for x, _ in places], pa.int64()), pa.array([y for _, y in places], pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
-    return pieces.repartition(tasks).sortWithinPartitions(*[pieces[c].desc() for c in order]).mapInArrow(fill, schema)
+    return pieces.repartition(tasks).sortWithinPartitions(*[pieces[c].desc() for c in order]).mapInArrow(tidy(fill), schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, open_bins: int = OPEN_BINS, cache_words: int = CACHE_WORDS, release: bool = False) -> DataFrame:
