@@ -1,26 +1,29 @@
 """The rt_* and st_* functions on columns, and their registration under their SQL names.
 
-Each is one Arrow function; cubes of the same shape are handled as one matrix. A null argument gives null,
-except that rt_cube_null_or_empty of null is true. For longer algebra use tilewright.plans.expr.cube, which
+Each is one Arrow function. Those on cubes handle cubes of the same shape as one matrix, and those on geometry
+handle rectangles as one array; other shapes, texts and lists of coordinates go row by row. A null argument gives
+null, except that rt_cube_null_or_empty of null is true. For longer algebra use tilewright.plans.expr.cube, which
 runs a whole expression at one go.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
+from dataclasses import replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.cube import DTYPES, TYPE_CODES, TYPES, Batch, Cube, RasterError, convert, format_code, is_nodata, retype
+from tilewright.cube import DTYPES, TYPE_CODES, TYPES, Batch, Cube, Header, RasterError, convert, format_code, is_nodata, type_code
 from tilewright.geo import crs as crs_module
 from tilewright.geo import geometry as geo
 from tilewright.operators import algebra, stats
-from tilewright.plans.expr import evaluate, from_spark, to_column
+from tilewright.plans.expr import evaluate, fill, from_spark, to_column
 from tilewright.sources.grid import Georef
 
 #: SQL name -> (function on Arrow columns, result type).
@@ -58,6 +61,37 @@ def georef(metadata: str) -> Georef:
     return Georef.parse(metadata)
 
 
+def _cases(cubes: pa.Array, *columns: pa.Array):
+    """(head, rows, cells, values): rows alike in their header and in all other columns; those with a null are left out."""
+    lists = [c.to_pylist() for c in columns]
+    for head, rows, cells in Batch(cubes).groups:
+        kinds: dict[tuple, list[int]] = {}
+        for j, r in enumerate(rows.tolist()):
+            key = tuple(values[r] for values in lists)
+            if not any(v is None for v in key):
+                kinds.setdefault(key, []).append(j)
+        for key, js in kinds.items():
+            yield (head, rows, cells, key) if len(js) == len(rows) else (head, rows[js], cells[js], key)
+
+
+def _band(head: Header, cells: np.ndarray, band: int) -> np.ndarray:
+    """One band of many cubes, tiles x cells."""
+    if band < 0 or band >= head.bands:
+        raise RasterError(f"Band index out of range: {band} >= {head.bands}")
+    n = head.cols * head.rows
+    return cells[:, band * n : (band + 1) * n]
+
+
+def _numbers(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    """A column of numbers; null is 0."""
+    return column.cast(pa.float64() if kind is np.float64 else pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _null(*columns: pa.Array) -> np.ndarray:
+    """Rows with a null in any column."""
+    return np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in columns])
+
+
 def _leaf(column: pa.Array):
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
         return Batch(column), "leaf"
@@ -76,24 +110,42 @@ def _array2cube(values: pa.Array, data_format: pa.Array, bands: pa.Array, cols:
     name = "UINT64" if pa.types.is_decimal(element) and element.scale == 0 and element.precision >= 19 else "DOUBLE" if pa.types.is_decimal(element) else _ELEMENTS.get(str(element))
     if name is None:
         raise RasterError(f"Unsupported element type: {element}")
-
-    def one(v, fmt, b, c, r, nd, *kind):
-        if any(x is None for x in (v, fmt, b, c, r, nd)):
-            return None
-        if any(x is None for x in v):
-            raise RasterError("An array with NULL can't become a datacube")
-        code = TYPE_CODES[name] if not kind or kind[0] is None else _code(kind[0])
-        cells = np.array([int(x) for x in v], DTYPES[code]) if DTYPES[code].kind != "f" and not pa.types.is_floating(element) else convert(np.asarray(v, np.float64), code)
-        return Cube.of(cells, b, c, r, float(nd), code).dump(format_code(fmt))
-
-    columns = (values, data_format, bands, cols, rows, no_data, *data_type)
-    return pa.array([one(*row) for row in zip(*(c.to_pylist() for c in columns))], pa.binary())
-
-
-def _code(kind: str) -> int:
-    from tilewright.cube import type_code
-
-    return type_code(kind)
+    size = pc.list_value_length(values).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(values)
+    starts = np.cumsum(size) - size
+    if flat.null_count:
+        raise RasterError("An array with NULL can't become a datacube")
+    if pa.types.is_decimal(element):
+        cells = np.array([int(x) for x in flat.to_pylist()], np.uint64) if name == "UINT64" else flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    else:
+        cells = flat.to_numpy(zero_copy_only=False)
+    kinds: dict[tuple, list[int]] = {}
+    lists = [c.to_pylist() for c in (data_format, bands, cols, rows, no_data)]
+    types = data_type[0].to_pylist() if data_type else [None] * len(values)
+    for i, (missing, kind, *here) in enumerate(zip(_null(values).tolist(), types, *lists)):
+        if not missing and not any(v is None for v in here):
+            kinds.setdefault((*here, kind), []).append(i)
+    out: list = [None] * len(values)
+    for (fmt, b, c, r, nd, kind), found in kinds.items():
+        code = TYPE_CODES[name] if kind is None else type_code(kind)
+        if min(b, c, r) < 0:
+            raise RasterError("Dimensions must not be negative")
+        index, n = np.array(found), b * c * r
+        if wrong := size[index][size[index] != n].tolist():
+            raise RasterError(f"Array size {wrong[0]} does not match {b} x {c} x {r}")
+        matrix = cells[starts[index][:, None] + np.arange(n)]
+        if code != TYPE_CODES[name]:
+            matrix = _checked(matrix, code) if DTYPES[code].kind != "f" and matrix.dtype.kind != "f" else convert(matrix.astype(np.float64), code)
+        fill(out, Header(0, code, b, c, r, float(nd)), index, matrix, format_code(fmt))
+    return pa.array(out, pa.binary())
+
+
+def _checked(values: np.ndarray, code: int) -> np.ndarray:
+    """Whole numbers as another whole type, which must hold them."""
+    info = np.iinfo(DTYPES[code])
+    if values.size and (int(values.min()) < info.min or int(values.max()) > info.max):
+        raise RasterError(f"Value out of range for {TYPES[code][0]}")
+    return values.astype(DTYPES[code])
 
 
 #: (values, data_format, bands, cols, rows, no_data[, type name]) -> cube; the type follows the array's if not named.
@@ -104,39 +156,66 @@ def array_type(code: int) -> T.StructType:
     return T.StructType([T.StructField(n, T.IntegerType()) for n in ("data_type", "bands", "cols", "rows")] + [T.StructField("no_data", T.DoubleType()), T.StructField("values", T.ArrayType(_SPARK[TYPES[code][3]]))])
 
 
-def _elements(values: np.ndarray, code: int) -> list:
+def _elements(values: np.ndarray, code: int) -> pa.Array:
     """Cells as elements of an array type: whole types round half to even and raise beyond their range."""
-    to = DTYPES[code]
-    if to.kind == "f":
-        return values.astype(to).tolist()
-    if values.dtype.kind == "f":
-        values = np.rint(values)
-        if not np.isfinite(values).all():
-            raise RasterError(f"Value out of range for {TYPES[code][0]}")
-    info = np.iinfo(to)
-    if values.size and (int(values.min()) < info.min or int(values.max()) > info.max):
-        raise RasterError(f"Value out of range for {TYPES[code][0]}")
-    out = values.astype(to).tolist()
-    return [Decimal(x) for x in out] if TYPES[code][0] == "UINT64" else out
+    to, kind = DTYPES[code], from_spark(_SPARK[TYPES[code][3]])
+    if to.kind != "f":
+        if values.dtype.kind == "f":
+            values = np.rint(values)
+            if not np.isfinite(values).all():
+                raise RasterError(f"Value out of range for {TYPES[code][0]}")
+        values = _checked(values, code)
+    if TYPES[code][0] == "UINT64":
+        return pa.array([Decimal(x) for x in values.tolist()], kind)
+    return pa.array(values.astype(to)).cast(kind)
 
 
 def _cube2array(code: int):
-    def one(blob, keep_valid):
-        cube = Cube.load(blob)
-        values = cube.values
-        if keep_valid:
-            values = values[~is_nodata(values.astype(np.float64), cube.head.no_data)]
-        h = cube.head
-        return {"data_type": h.data_type, "bands": h.bands, "cols": h.cols, "rows": h.rows, "no_data": h.no_data, "values": _elements(values, code)}
+    kind = array_type(code)
+    plain = [f.name for f in kind.fields[:-1]]
+
+    def run(cubes: pa.Array, keep_valid: pa.Array) -> pa.Array:
+        size = len(cubes)
+        null = _null(cubes, keep_valid)
+        heads = {n: np.zeros(size, np.float64 if n == "no_data" else np.int32) for n in plain}
+        order, parts, counts = [], [], np.zeros(size, np.int64)
+        for head, rows, cells, (only,) in _cases_exact(cubes, keep_valid):
+            for n in plain:
+                heads[n][rows] = getattr(head, n)
+            keep = ~is_nodata(cells.astype(np.float64), head.no_data) if only else np.ones(cells.shape, bool)
+            counts[rows] = keep.sum(axis=1)
+            order.append(np.repeat(rows, counts[rows]))
+            parts.append(_elements(cells[keep], code))
+        flat = pa.concat_arrays(parts) if parts else _elements(np.zeros(0), code)
+        if len(parts) > 1:  # back to the order of the rows
+            flat = flat.take(pa.array(np.argsort(np.concatenate(order), kind="stable")))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        columns = [pa.array(heads[n]) for n in plain] + [pa.ListArray.from_arrays(offsets, flat)]
+        return pa.StructArray.from_arrays(columns, [*plain, "values"], mask=pa.array(null)).cast(from_spark(kind))
 
-    return _rows(one, array_type(code))
+    return run
+
+
+def _cases_exact(cubes: pa.Array, *columns: pa.Array):
+    """As _cases, with cells in their own type: doubles cannot hold all 64-bit whole numbers."""
+    for head, rows, cells, values in _cases(cubes, *columns):
+        if DTYPES[head.data_type].kind != "f" and DTYPES[head.data_type].itemsize == 8:
+            cells = np.stack([Cube.load(cubes[int(r)].as_py()).values for r in rows])
+        yield head, rows, cells, values
 
 
 rt_cube2array = {name: _define(f"RT_Cube2Array{_TITLES[name]}", _cube2array(code), array_type(code)) for name, code in TYPE_CODES.items()}
 
 
 def _cube2type(code: int):
-    return _rows(lambda blob: retype(Cube.load(blob), code).dump(), T.BinaryType())
+    def run(cubes: pa.Array) -> pa.Array:
+        out: list = [None] * len(cubes)
+        for head, rows, cells, _ in _cases_exact(cubes):
+            same = head.data_type == code
+            fill(out, replace(head, data_type=code), rows, cells if same else convert(cells.astype(np.float64), code))
+        return pa.array(out, pa.binary())
+
+    return run
 
 
 rt_cube2type = {name: _define(f"RT_Cube2Type{_TITLES[name]}", _cube2type(code), T.BinaryType()) for name, code in TYPE_CODES.items()}
@@ -186,26 +265,50 @@ rt_cube_null_or_empty = _define("RT_CubeNullOrEmpty", _null_or_empty, T.BooleanT
 # ---- statistics ----
 
 
-def _zone_cells(blob, band, tile_x, tile_y, metadata, shape) -> tuple[np.ndarray, float]:
-    cube, ref = Cube.load(blob), georef(metadata)
-    cells = cube.band(band)
-    mask = _mask(bytes(shape), ref, tile_x, tile_y, cube.head.cols, cube.head.rows)
-    return cells[mask], cube.head.no_data
+@lru_cache(maxsize=2)
+def _masks(shape: bytes, ref: Georef, tiles: tuple[tuple[int, int], ...], cols: int, rows: int) -> np.ndarray:
+    """tiles x cells: which cells of some tiles meet a geometry."""
+    at = np.array(tiles, np.int64).reshape(-1, 2)
+    out = np.zeros((len(at), rows * cols), bool)
+    step = max(1, 2_000_000 // max(1, rows * cols))
+    for i in range(0, len(at), step):
+        part = at[i : i + step]
+        out[i : i + step] = geo.cell_masks(geo.parsed(shape), ref.transform, part[:, 0] * ref.block_x, part[:, 1] * ref.block_y, cols, rows).reshape(len(part), -1)
+    return out
+
+
+def _zoned(cubes: pa.Array, tile_x: pa.Array, tile_y: pa.Array, metadata: pa.Array, shape: pa.Array, *columns: pa.Array):
+    """_cases of the other columns with the cells that meet each row's geometry: (head, rows, cells, masks, values)."""
+    xs, ys, null = _numbers(tile_x, np.int64), _numbers(tile_y, np.int64), _null(tile_x, tile_y)
+    for head, rows, cells, (text, zone, *values) in _cases(cubes, metadata, shape, *columns):
+        if null[rows].any():
+            keep = ~null[rows]
+            rows, cells = rows[keep], cells[keep]
+        masks = _masks(bytes(zone), georef(text), tuple(zip(xs[rows].tolist(), ys[rows].tolist())), head.cols, head.rows)
+        yield head, rows, cells, masks, values
+
 
+def _states(cubes: pa.Array, band: pa.Array, *zone: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The partial states of all rows as arrays, and which rows have none."""
+    out, null = stats.no_states(len(cubes)), np.ones(len(cubes), bool)
+    found = ((h, r, c, m, v[0]) for h, r, c, m, v in _zoned(cubes, *zone, band)) if zone else ((h, r, c, None, v[0]) for h, r, c, v in _cases(cubes, band))
+    for head, rows, cells, masks, number in found:
+        for name, values in stats.partials(_band(head, cells, number), head.no_data, masks).items():
+            out[name][rows] = values
+        null[rows] = False
+    return out, null
 
-@lru_cache(maxsize=4096)
-def _mask(shape: bytes, ref: Georef, tile_x: int, tile_y: int, cols: int, rows: int) -> np.ndarray:
-    return geo.cell_mask(geo.parsed(shape), ref.transform, tile_x * ref.block_x, tile_y * ref.block_y, cols, rows)
 
+def _state_column(*columns: pa.Array) -> pa.Array:
+    return stats.struct_of(*_states(*columns), stats.STATE)
 
-def _state(blob, band, *zone) -> dict:
-    if zone:
-        return stats.partial(*_zone_cells(blob, band, *zone))
-    cube = Cube.load(blob)
-    return stats.partial(cube.band(band).ravel(), cube.head.no_data)
 
+def _stats_column(*columns: pa.Array) -> pa.Array:
+    states, null = _states(*columns)
+    return stats.struct_of(stats.finished_many(states), null, stats.STATS)
 
-_partial_state = _define("RT_CubeState", _rows(_state, stats.STATE), stats.STATE)
+
+_partial_state = _define("RT_CubeState", _state_column, stats.STATE)
 
 
 def cube_state(cube, band=0, *zone) -> Column:
@@ -214,7 +317,7 @@ def cube_state(cube, band=0, *zone) -> Column:
 
 
 #: (cube, band[, tile_x, tile_y, metadata, geometry]) -> minimum, maximum, sum, mean, stddev, valid_count, nodata_count
-rt_cube_stats = _define("RT_CubeStats", _rows(lambda *a: stats.finished(_state(*a)), stats.STATS), stats.STATS)
+rt_cube_stats = _define("RT_CubeStats", _stats_column, stats.STATS)
 
 # ---- sampling ----
 
@@ -224,43 +327,87 @@ def _sample(cube: Cube, band: int, col: int, row: int, default):
     return float(grid[row, col]) if 0 <= col < cube.head.cols and 0 <= row < cube.head.rows else default
 
 
-def _raster_value(blob, band, col, row, default):
-    return _sample(Cube.load(blob), band, col, row, float(default))
-
-
-def _many(values: list, band: int, cube: Cube, default) -> list:
-    grid = cube.band(band)
-    return [float(grid[r, c]) if 0 <= c < cube.head.cols and 0 <= r < cube.head.rows else float(default) for c, r in values]
-
-
-def _raster_values(blob, band, cols, rows, default):
-    if len(cols) != len(rows):
-        raise RasterError("The lists of columns and rows must have the same length")
-    return _many(list(zip(cols, rows)), band, Cube.load(blob), default)
-
-
-def _local(ref: Georef, x: float, y: float, tile: tuple) -> tuple[int, int]:
-    c, r = ref.pixel(float(x), float(y))
-    return (c - tile[0] * ref.block_x, r - tile[1] * ref.block_y) if tile else (c, r)
-
-
-def _coord_value(blob, band, x, y, metadata, default, *tile):
-    return _sample(Cube.load(blob), band, *_local(georef(metadata), x, y, tile), float(default))
-
-
-def _coord_values(blob, band, xs, ys, metadata, default, *tile):
-    if len(xs) != len(ys):
-        raise RasterError("The lists of x and y must have the same length")
-    ref = georef(metadata)
-    return _many([_local(ref, x, y, tile) for x, y in zip(xs, ys)], band, Cube.load(blob), default)
+def _sampled(cubes: pa.Array, band: np.ndarray, owner: np.ndarray, col: np.ndarray, row: np.ndarray, default: np.ndarray) -> np.ndarray:
+    """The cell at (col, row) of the cube in row `owner` for each of many places, or the default beyond the cube."""
+    out = default.copy()
+    for head, rows, cells in Batch(cubes).groups:
+        place = np.full(len(cubes), -1)
+        place[rows] = np.arange(len(rows))
+        mine = np.flatnonzero(place[owner] >= 0)
+        if len(mine) and (band[mine].min() < 0 or band[mine].max() >= head.bands):
+            raise RasterError(f"Band index out of range: {int(band[mine].max())} >= {head.bands}")
+        mine = mine[(col[mine] >= 0) & (col[mine] < head.cols) & (row[mine] >= 0) & (row[mine] < head.rows)]
+        out[mine] = cells[place[owner[mine]], (band[mine] * head.rows + row[mine]) * head.cols + col[mine]]
+    return out
+
+
+def _one(cubes, band, col, row, default, null) -> pa.Array:
+    every = np.flatnonzero(~null)
+    found = np.zeros(len(cubes))
+    found[every] = _sampled(cubes, _numbers(band, np.int64)[every], every, col[every], row[every], _numbers(default)[every])
+    return pa.array(found, pa.float64(), mask=null)
+
+
+def _raster_value(cubes, band, col, row, default) -> pa.Array:
+    return _one(cubes, band, _numbers(col, np.int64), _numbers(row, np.int64), default, _null(cubes, band, col, row, default))
+
+
+def _listed(cubes, band, xs: pa.Array, ys: pa.Array, default, null: np.ndarray, place, what: str) -> pa.Array:
+    """Lists of places: place(owner, x, y) gives their columns and rows."""
+    n, m = (np.where(null, 0, pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False)) for c in (xs, ys))
+    if (n != m).any():
+        raise RasterError(f"The lists of {what} must have the same length")
+    valid = pa.array(~null)
+    x, y = pc.list_flatten(xs.filter(valid)), pc.list_flatten(ys.filter(valid))
+    if x.null_count or y.null_count:
+        raise RasterError(f"The lists of {what} must not hold NULL")
+    owner = np.repeat(np.arange(len(cubes)), n)
+    col, row = place(owner, x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False))
+    found = _sampled(cubes, _numbers(band, np.int64)[owner], owner, col, row, _numbers(default)[owner])
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found), mask=pa.array(null))
+
+
+def _raster_values(cubes, band, cols, rows, default) -> pa.Array:
+    return _listed(cubes, band, cols, rows, default, _null(cubes, band, cols, rows, default), lambda owner, x, y: (x.astype(np.int64), y.astype(np.int64)), "columns and rows")
+
+
+def _locate(metadata: pa.Array, owner: np.ndarray, x: np.ndarray, y: np.ndarray, tile: tuple[pa.Array, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """World to column and row of the tile (without one: of the raster), by the metadata of each place's owner."""
+    col, row = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+    texts = metadata.to_pylist()
+    kinds: dict[str, list[int]] = {}
+    for i, o in enumerate(owner.tolist()):
+        kinds.setdefault(texts[o], []).append(i)
+    xs, ys = (_numbers(t, np.int64) for t in tile) if tile else (None, None)
+    for text, found in kinds.items():
+        ref = georef(text)
+        col[found], row[found] = ref.pixels(x[found], y[found])
+        if tile:
+            col[found] -= xs[owner[found]] * ref.block_x
+            row[found] -= ys[owner[found]] * ref.block_y
+    return col, row
+
+
+def _coord_value(cubes, band, x, y, metadata, default, *tile) -> pa.Array:
+    null = _null(cubes, band, x, y, metadata, default, *tile)
+    every = np.flatnonzero(~null)
+    col, row = np.zeros(len(cubes), np.int64), np.zeros(len(cubes), np.int64)
+    col[every], row[every] = _locate(metadata, every, _numbers(x)[every], _numbers(y)[every], tile)
+    return _one(cubes, band, col, row, default, null)
+
+
+def _coord_values(cubes, band, xs, ys, metadata, default, *tile) -> pa.Array:
+    null = _null(cubes, band, xs, ys, metadata, default, *tile)
+    return _listed(cubes, band, xs, ys, default, null, lambda owner, x, y: _locate(metadata, owner, x.astype(np.float64), y.astype(np.float64), tile), "x and y")
 
 
 #: (cube, band, col, row, default): a pixel of the tile
-rt_raster_value = _define("RT_RasterValue", _rows(_raster_value, T.DoubleType()), T.DoubleType())
-rt_raster_values = _define("RT_RasterValues", _rows(_raster_values, T.ArrayType(T.DoubleType())), T.ArrayType(T.DoubleType()))
+rt_raster_value = _define("RT_RasterValue", _raster_value, T.DoubleType())
+rt_raster_values = _define("RT_RasterValues", _raster_values, T.ArrayType(T.DoubleType()))
 #: (cube, band, x, y, metadata, default[, tile_x, tile_y]): without a tile the cube must be that of tile (0, 0)
-rt_coord_value = _define("RT_CoordValue", _rows(_coord_value, T.DoubleType()), T.DoubleType())
-rt_coord_values = _define("RT_CoordValues", _rows(_coord_values, T.ArrayType(T.DoubleType())), T.ArrayType(T.DoubleType()))
+rt_coord_value = _define("RT_CoordValue", _coord_value, T.DoubleType())
+rt_coord_values = _define("RT_CoordValues", _coord_values, T.ArrayType(T.DoubleType()))
 
 _TRANSFORM = "struct<transform:array<double>,blocksize_x:int,blocksize_y:int>"
 
@@ -295,55 +442,87 @@ def _positive(band: int, tile_x: int, tile_y: int) -> None:
         raise RasterError("Band and tile indices must not be negative")
 
 
-def _holes(blob, band) -> tuple[Cube, np.ndarray]:
-    cube = Cube.load(blob)
-    return cube, ~is_nodata(cube.band(band), cube.head.no_data)
-
-
-def _envelope(blob, band, tile_x, tile_y, metadata):
-    _positive(band, tile_x, tile_y)
-    _, keep = _holes(blob, band)
-    if not keep.any():
-        return None
-    ref = georef(metadata)
-    r, c = np.flatnonzero(keep.any(axis=1)), np.flatnonzero(keep.any(axis=0))
-    g, x0, y0 = ref.transform, tile_x * ref.block_x, tile_y * ref.block_y
-    points = [(g[0] + g[1] * a + g[2] * b, g[3] + g[4] * a + g[5] * b) for a in (x0 + c[0], x0 + c[-1] + 1) for b in (y0 + r[0], y0 + r[-1] + 1)]
-    xs, ys = [float(p[0]) for p in points], [float(p[1]) for p in points]
-    ring = [(min(xs), min(ys)), (max(xs), min(ys)), (max(xs), max(ys)), (min(xs), max(ys)), (min(xs), min(ys))]
-    return geo.to_wkb(("Polygon", [ring]))
-
-
-def _polygon(blob, band, tile_x, tile_y, metadata):
-    _positive(band, tile_x, tile_y)
-    _, keep = _holes(blob, band)
-    ref = georef(metadata)
-    shape = geo.mask_geometry(keep, ref.transform, tile_x * ref.block_x, tile_y * ref.block_y)
-    return geo.to_wkb(shape) if shape else None
+def _envelope(cubes, band, tile_x, tile_y, metadata) -> pa.Array:
+    out: list = [None] * len(cubes)
+    xs, ys, null = _numbers(tile_x, np.int64), _numbers(tile_y, np.int64), _null(tile_x, tile_y)
+    for head, rows, cells, (number, text) in _cases(cubes, band, metadata):
+        keep = ~is_nodata(_band(head, cells, number), head.no_data).reshape(len(rows), head.rows, head.cols)
+        some = np.flatnonzero(keep.any(axis=(1, 2)) & ~null[rows])
+        _positive(number, *(int(v[rows[some]].min(initial=0)) for v in (xs, ys)))
+        down, across = keep[some].any(axis=2), keep[some].any(axis=1)
+        ref, at = georef(text), rows[some]
+        g, c, r = ref.transform, xs[at] * ref.block_x, ys[at] * ref.block_y
+        left, right = c + across.argmax(axis=1), c + head.cols - across[:, ::-1].argmax(axis=1)
+        top, bottom = r + down.argmax(axis=1), r + head.rows - down[:, ::-1].argmax(axis=1)
+        corners = [(g[0] + g[1] * a + g[2] * b, g[3] + g[4] * a + g[5] * b) for a in (left, right) for b in (top, bottom)]
+        (x0, x1), (y0, y1) = [[f([p[k] for p in corners]) for f in (np.minimum.reduce, np.maximum.reduce)] for k in (0, 1)]
+        for i, blob in zip(at.tolist(), geo.ring_wkb(np.stack([x0, y0, x1, y0, x1, y1, x0, y1, x0, y0], axis=1))):
+            out[i] = blob
+    return pa.array(out, pa.binary())
+
+
+def _polygon(cubes, band, tile_x, tile_y, metadata) -> pa.Array:
+    out: list = [None] * len(cubes)
+    xs, ys = tile_x.to_pylist(), tile_y.to_pylist()
+    for head, rows, cells, (number, text) in _cases(cubes, band, metadata):
+        keep = ~is_nodata(_band(head, cells, number), head.no_data).reshape(len(rows), head.rows, head.cols)
+        ref = georef(text)
+        for i, mask in zip(rows.tolist(), keep):
+            if xs[i] is not None and ys[i] is not None:
+                _positive(number, xs[i], ys[i])
+                shape = geo.mask_geometry(mask, ref.transform, xs[i] * ref.block_x, ys[i] * ref.block_y)
+                out[i] = geo.to_wkb(shape) if shape else None
+    return pa.array(out, pa.binary())
 
 
 def _masked(inside: bool):
-    def run(blob, tile_x, tile_y, metadata, shape, value):
-        cube = Cube.load(blob)
-        h = cube.head
-        mask = _mask(bytes(shape), georef(metadata), tile_x, tile_y, h.cols, h.rows) if h.cells else np.zeros((0, 0), bool)
-        cells = cube.doubles().reshape(h.bands, h.rows, h.cols)
-        changed = mask if inside else ~mask
-        return Cube(h, convert(np.where(changed, float(value), cells), h.data_type).ravel()).dump()
+    def run(cubes, tile_x, tile_y, metadata, shape, value) -> pa.Array:
+        out: list = [None] * len(cubes)
+        for head, rows, cells, masks, (new,) in _zoned(cubes, tile_x, tile_y, metadata, shape, value):
+            changed = np.tile(masks if inside else ~masks, (1, head.bands))
+            fill(out, head, rows, convert(np.where(changed, float(new), cells), head.data_type))
+        return pa.array(out, pa.binary())
 
-    return _rows(run, T.BinaryType())
+    return run
 
 
 #: (cube, band, tile_x, tile_y, metadata) -> WKB
-rt_envelope = _define("RT_Envelope", _rows(_envelope, T.BinaryType()), T.BinaryType())
-rt_polygon = _define("RT_Polygon", _rows(_polygon, T.BinaryType()), T.BinaryType())
+rt_envelope = _define("RT_Envelope", _envelope, T.BinaryType())
+rt_polygon = _define("RT_Polygon", _polygon, T.BinaryType())
 #: (cube, tile_x, tile_y, metadata, geometry, value) -> cube
 rt_cube_clip = _define("RT_CubeClip", _masked(False), T.BinaryType())
 rt_cube_burn = _define("RT_CubeBurn", _masked(True), T.BinaryType())
 
-st_area = _define("ST_Area", _rows(lambda g: geo.area(geo.parsed(bytes(g))), T.DoubleType()), T.DoubleType())
-st_perimeter = _define("ST_Perimeter", _rows(lambda g: geo.perimeter(geo.parsed(bytes(g))), T.DoubleType()), T.DoubleType())
-st_intersects = _define("ST_Intersects", _rows(lambda a, b: geo.intersects(geo.parsed(bytes(a)), geo.parsed(bytes(b))), T.BooleanType()), T.BooleanType())
+
+def _measured(of_rings, of_shape):
+    """A measure of geometries: rectangles and other polygons of one ring of five points all at once, others one by one."""
+
+    def run(shapes: pa.Array) -> pa.Array:
+        out, null = np.zeros(len(shapes)), _null(shapes)
+        plain, rings = geo.rings_of(shapes)
+        out[plain] = of_rings(rings)
+        for i in np.setdiff1d(np.flatnonzero(~null), plain).tolist():
+            out[i] = of_shape(geo.parsed(shapes[i].as_py()))
+        return pa.array(out, pa.float64(), mask=null)
+
+    return run
+
+
+def _intersects(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Pairs of axis-parallel rectangles all at once, others one by one."""
+    null, out = _null(a, b), np.zeros(len(a), bool)
+    (ra, boxes_a), (rb, boxes_b) = geo.boxes_of(a), geo.boxes_of(b)
+    both, ia, ib = np.intersect1d(ra, rb, return_indices=True)
+    p, q = boxes_a[ia], boxes_b[ib]
+    out[both] = (p[:, 0] <= q[:, 2]) & (q[:, 0] <= p[:, 2]) & (p[:, 1] <= q[:, 3]) & (q[:, 1] <= p[:, 3])
+    for i in np.setdiff1d(np.flatnonzero(~null), both).tolist():
+        out[i] = geo.intersects(geo.parsed(a[i].as_py()), geo.parsed(b[i].as_py()))
+    return pa.array(out, pa.bool_(), mask=null)
+
+
+st_area = _define("ST_Area", _measured(geo.ring_areas, geo.area), T.DoubleType())
+st_perimeter = _define("ST_Perimeter", _measured(geo.ring_lengths, geo.perimeter), T.DoubleType())
+st_intersects = _define("ST_Intersects", _intersects, T.BooleanType())
 st_geom_from_text = _define("ST_GeomFromText", _rows(lambda t: geo.to_wkb(geo.from_wkt(t)), T.BinaryType()), T.BinaryType())
 st_as_text = _define("ST_AsText", _rows(lambda g: geo.to_wkt(geo.parsed(bytes(g))), T.StringType()), T.StringType())
 st_geom_from_geojson = _define("ST_GeomFromGeoJSON", _rows(lambda t: geo.to_wkb(geo.from_geojson(t)), T.BinaryType()), T.BinaryType())
@@ -353,22 +532,33 @@ st_envelope = _define("ST_Envelope", _rows(lambda g: geo.to_wkb(geo.rectangle(*g
 
 
 def _make_envelope(*columns: pa.Array) -> pa.Array:
-    """Rectangles of many rows at once: the WKB of a polygon with five points has a fixed layout."""
+    """Rectangles of many rows at once."""
     x0, y0, x1, y1 = (c.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in columns)
-    out = np.zeros(len(x0), np.dtype([("order", "u1"), ("kind", "<u4"), ("rings", "<u4"), ("points", "<u4"), ("ring", "<f8", (10,))]))
-    out["order"], out["kind"], out["rings"], out["points"] = 1, 3, 1, 5
-    out["ring"] = np.stack([x0, y1, x1, y1, x1, y0, x0, y0, x0, y1], axis=1)
-    null = np.isnan(out["ring"]).any(axis=1)
-    raw = out.tobytes()
-    size = out.dtype.itemsize
-    return pa.array([None if n else raw[i * size : (i + 1) * size] for i, n in enumerate(null)], pa.binary())
+    rings = np.stack([x0, y1, x1, y1, x1, y0, x0, y0, x0, y1], axis=1)
+    null = np.isnan(rings).any(axis=1)
+    return pa.array([None if n else blob for n, blob in zip(null, geo.ring_wkb(rings))], pa.binary())
 
 
 st_make_envelope = _define("ST_MakeEnvelope", _make_envelope, T.BinaryType())
 
 
+def _make_ring(*columns: pa.Array) -> pa.Array:
+    points = np.stack([_numbers(c) for c in columns], axis=1)
+    null = _null(*columns)
+    return pa.array([None if n else blob for n, blob in zip(null, geo.ring_wkb(np.concatenate([points, points[:, :2]], axis=1)))], pa.binary())
+
+
+def _make_point(x: pa.Array, y: pa.Array) -> pa.Array:
+    return pa.array([None if n else blob for n, blob in zip(_null(x, y), geo.point_wkb(_numbers(x), _numbers(y)))], pa.binary())
+
+
+#: (x, y) of four corners in turn -> the polygon between them
+st_make_ring = _define("ST_MakeRing", _make_ring, T.BinaryType())
+st_point = _define("ST_Point", _make_point, T.BinaryType())
+
+
 def bbox_meets(bbox: Column | str, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
-    """A native test of a tile's bbox against a rectangle; as conjuncts, so that the source can prune by it."""
+    """A native test of a tile's bbox against a rectangle."""
     b = _col(bbox)
     return (b["xmin"] <= xmax) & (b["xmax"] >= xmin) & (b["ymin"] <= ymax) & (b["ymax"] >= ymin)
 
@@ -377,11 +567,9 @@ def bbox_meets(bbox: Column | str, xmin: float, ymin: float, xmax: float, ymax:
 
 
 def _sql_stats(*columns: pa.Array):
-    state = dict(stats._ZERO)
-    for row in zip(*(c.to_pylist() for c in columns)):
-        if not any(v is None for v in row):
-            state = stats.merged(state, _state(*row))
-    return stats.finished(state)
+    states, null = _states(*columns)
+    whole = stats.merged_groups(np.zeros(int((~null).sum()), np.int64), 1, {k: v[~null] for k, v in states.items()})
+    return {k: v[0].item() for k, v in stats.finished_many(whole).items()}
 
 
 def _sql_value(blob, band, place, tile_x, tile_y, metadata, default):

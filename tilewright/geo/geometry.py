@@ -212,6 +212,9 @@ def segments(geometry: Geometry) -> np.ndarray:
 
 
 def _ring_area(ring) -> float:
+    if len(ring) <= 64:  # an array would cost more than it saves
+        ox, oy = ring[0]
+        return float(sum((ax - ox) * (by - oy) - (bx - ox) * (ay - oy) for (ax, ay), (bx, by) in zip(ring, ring[1:]))) / 2
     p = np.asarray(ring, float)
     p = p - p[0]
     return float(np.sum(p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1])) / 2
@@ -233,6 +236,56 @@ def envelope(geometry: Geometry) -> tuple[float, float, float, float] | None:
     return float(s[:, [0, 2]].min()), float(s[:, [1, 3]].min()), float(s[:, [0, 2]].max()), float(s[:, [1, 3]].max())
 
 
+# ---- columns of polygons of one ring of five points ----
+
+_RING = np.dtype([("order", "u1"), ("kind", "<u4"), ("rings", "<u4"), ("points", "<u4"), ("ring", "<f8", (10,))])
+
+
+def ring_wkb(rings: np.ndarray) -> list[bytes]:
+    """WKB of polygons with one ring of five points each, n x 10: they all have the same layout."""
+    out = np.zeros(len(rings), _RING)
+    out["order"], out["kind"], out["rings"], out["points"], out["ring"] = 1, 3, 1, 5, rings
+    raw = out.tobytes()
+    return [raw[i : i + _RING.itemsize] for i in range(0, len(raw), _RING.itemsize)]
+
+
+def point_wkb(x: np.ndarray, y: np.ndarray) -> list[bytes]:
+    out = np.zeros(len(x), np.dtype([("order", "u1"), ("kind", "<u4"), ("x", "<f8"), ("y", "<f8")]))
+    out["order"], out["kind"], out["x"], out["y"] = 1, 1, x, y
+    raw = out.tobytes()
+    return [raw[i : i + 21] for i in range(0, len(raw), 21)]
+
+
+def rings_of(shapes) -> tuple[np.ndarray, np.ndarray]:
+    """Of an Arrow column of WKB: the rows that are such polygons, and their points, n x 5 x 2."""
+    blobs = shapes.to_pylist()
+    rows = np.array([i for i, b in enumerate(blobs) if b is not None and len(b) == _RING.itemsize], np.int64)
+    found = np.frombuffer(b"".join(blobs[i] for i in rows.tolist()), _RING)
+    same = (found["order"] == 1) & (found["kind"] == 3) & (found["rings"] == 1) & (found["points"] == 5)
+    return rows[same], found["ring"][same].reshape(-1, 5, 2)
+
+
+def boxes_of(shapes) -> tuple[np.ndarray, np.ndarray]:
+    """Of an Arrow column of WKB: the rows that are axis-parallel rectangles, and xmin, ymin, xmax, ymax of each."""
+    rows, rings = rings_of(shapes)
+    closed = (rings[:, 0] == rings[:, 4]).all(axis=1)
+    along_x = (rings[:, :-1, 1] == rings[:, 1:, 1]) & (rings[:, :-1, 0] != rings[:, 1:, 0])
+    along_y = (rings[:, :-1, 0] == rings[:, 1:, 0]) & (rings[:, :-1, 1] != rings[:, 1:, 1])
+    turns = np.where(along_x, 1, np.where(along_y, 2, 0))
+    square = closed & (turns.min(axis=1, initial=3) > 0) & (turns[:, 0] != turns[:, 1]) & (turns[:, 1] != turns[:, 2]) & (turns[:, 2] != turns[:, 3])
+    return rows[square], np.concatenate([rings[square].min(axis=1), rings[square].max(axis=1)], axis=1)
+
+
+def ring_areas(rings: np.ndarray) -> np.ndarray:
+    p = rings - rings[:, :1]
+    return np.abs((p[:, :-1, 0] * p[:, 1:, 1] - p[:, 1:, 0] * p[:, :-1, 1]).sum(axis=1)) / 2
+
+
+def ring_lengths(rings: np.ndarray) -> np.ndarray:
+    d = np.diff(rings, axis=1)
+    return np.hypot(d[:, :, 0], d[:, :, 1]).sum(axis=1)
+
+
 # ---- predicates ----
 
 
@@ -297,12 +350,18 @@ def rectangles_meet(geometry: Geometry, x0: np.ndarray, y0: np.ndarray, x1: np.n
 
 def cell_mask(geometry: Geometry, transform, first_col: int, first_row: int, cols: int, rows: int) -> np.ndarray:
     """rows x cols: cells whose closed rectangle meets the geometry. Cells of rotated grids are held by their corners' bounds."""
+    return cell_masks(geometry, transform, np.array([first_col]), np.array([first_row]), cols, rows)[0]
+
+
+def cell_masks(geometry: Geometry, transform, first_col: np.ndarray, first_row: np.ndarray, cols: int, rows: int) -> np.ndarray:
+    """cell_mask of many tiles of one size: tiles x rows x cols."""
     g = transform
-    mask = np.zeros((rows, cols), bool)
+    mask = np.zeros((len(first_col), rows, cols), bool)
     box = envelope(geometry)
-    if box is None or not cols or not rows:
+    if box is None or not mask.size:
         return mask
-    c, r = np.meshgrid(np.arange(first_col, first_col + cols, dtype=float), np.arange(first_row, first_row + rows, dtype=float))
+    c, r = np.meshgrid(np.arange(cols, dtype=float), np.arange(rows, dtype=float))
+    c, r = first_col[:, None, None] + c, first_row[:, None, None] + r
     xs = [g[0] + g[1] * (c + i) + g[2] * (r + j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))]
     ys = [g[3] + g[4] * (c + i) + g[5] * (r + j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))]
     x0, x1, y0, y1 = np.minimum.reduce(xs), np.maximum.reduce(xs), np.minimum.reduce(ys), np.maximum.reduce(ys)
@@ -355,17 +414,25 @@ def outline(mask: np.ndarray) -> list[list[list[tuple[int, int]]]]:
         ring.append(ring[0])
         (shells if _ring_area(ring) > 0 else holes).append(ring)
     out = [[ring] for ring in shells]
-    areas = [abs(_ring_area(r)) for r in shells]
+    if holes:
+        boxes = [(min(x for x, _ in ring), min(y for _, y in ring), max(x for x, _ in ring), max(y for _, y in ring)) for ring in shells]
+        areas = [abs(_ring_area(r)) for r in shells]
     for hole in holes:
         # a point just inside the ring of cells that surrounds the hole
         (x0, y0), (x1, y1) = hole[0], hole[1]
-        dx, dy = np.sign(x1 - x0), np.sign(y1 - y0)
+        dx, dy = (x1 > x0) - (x1 < x0), (y1 > y0) - (y1 < y0)
         px, py = x0 + 0.5 * dx - 0.5 * dy, y0 + 0.5 * dy + 0.5 * dx
-        own = min((i for i, ring in enumerate(shells) if inside(("Polygon", [ring]), np.array([px]), np.array([py]))[0]), key=areas.__getitem__)
+        near = [i for i, box in enumerate(boxes) if box[0] < px < box[2] and box[1] < py < box[3]]
+        own = near[0] if len(near) == 1 else min((i for i in near if _surrounds(shells[i], px, py)), key=areas.__getitem__)
         out[own].append(hole)
     return out
 
 
+def _surrounds(ring: list[tuple[int, int]], x: float, y: float) -> bool:
+    """Whether a ring of axis-parallel edges surrounds a point that lies on none of its lines."""
+    return sum(ax == bx and ax > x and (ay > y) != (by > y) for (ax, ay), (bx, by) in zip(ring, ring[1:])) % 2 == 1
+
+
 def mask_geometry(mask: np.ndarray, transform, first_col: int, first_row: int) -> Geometry | None:
     """The union of a mask's cells in world coordinates; None without cells."""
     if not mask.any():

@@ -86,13 +86,19 @@ def to_column(groups: Groups, size: int, data_format: int = 0) -> pa.Array:
     """Cubes of groups as a binary column; rows in no group are null."""
     out: list = [None] * size
     for head, rows, cells in groups:
-        front = replace(head, data_format=data_format).pack()
-        matrix = np.ascontiguousarray(cells.astype(DTYPES[head.data_type]))
-        for r, line in zip(rows.tolist(), matrix):
-            out[r] = front + compress(line.tobytes(), data_format)
+        fill(out, head, rows, cells, data_format)
     return pa.array(out, pa.binary())
 
 
+def fill(out: list, head: Header, rows: np.ndarray, cells: np.ndarray, data_format: int = 0) -> None:
+    """Puts the cubes of a matrix, tiles x cells, at their rows of out."""
+    front = replace(head, data_format=data_format).pack()
+    matrix = np.ascontiguousarray(cells, DTYPES[head.data_type]) if cells.dtype == DTYPES[head.data_type] else cells.astype(DTYPES[head.data_type])
+    size, raw = matrix.shape[1] * matrix.itemsize, matrix.tobytes()
+    for j, r in enumerate(rows.tolist()):
+        out[r] = front + compress(raw[j * size : (j + 1) * size], data_format)
+
+
 class CubeExpr:
     """A tree of cube operators over Spark columns."""
 

@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright import functions as rt
+from tilewright.cube import TYPE_CODES
+from tilewright.operators.spatial import box_join
 from tilewright.operators.stats import cube_stats_agg
 from tilewright.plans.expr import cube
 from tilewright.sources.create import create, drivers
+from tilewright.sources.grid import Grid
 from tilewright.sources.reader import read_tiles
 from tilewright.sources.writer import write_raster
+from tilewright.sql import run
 from tilewright.synth import file, folder, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,11 +56,13 @@ def _both(op: str) -> str:
     return f"CASE WHEN a <> -9999 AND b <> -9999 THEN {op} ELSE a END"
 
 
-@query(CELLS + "SELECT vec_id, idx, round(CASE WHEN a <> -9999 THEN -a ELSE a END, 6) AS neg, round(CASE WHEN a <> -9999 THEN abs(a) ELSE a END, 6) AS abs_, round(CASE WHEN a <> -9999 THEN exp(a) ELSE a END, 6) AS exp_, round(CASE WHEN a <> -9999 THEN sqrt(a * a) ELSE a END, 6) AS sqrt_, round(CASE WHEN a <> -9999 THEN ln(a * a) ELSE a END, 6) AS log_ FROM cells")
+@query(CELLS + "SELECT vec_id, idx, round(CASE WHEN a <> -9999 THEN -a ELSE a END, 6) AS neg, round(CASE WHEN a <> -9999 THEN abs(a) ELSE a END, 6) AS abs_, round(CASE WHEN a <> -9999 THEN exp(a) ELSE a END, 6) AS exp_, round(CASE WHEN a = -9999 THEN a WHEN a < 0 THEN 1000 ELSE sqrt(a) END, 6) AS sqrt_, round(CASE WHEN a = -9999 THEN a WHEN a < 0 THEN 1000 ELSE ln(a) END, 6) AS log_, round(CASE WHEN a = -9999 THEN a WHEN a - a = 0 THEN -1000 END, 6) AS log_zero FROM cells")
 def cube_unary(spark, d):
-    t = tiles(spark, d)
-    square = cube("a").binary("multiply", cube("a"))
-    return _cells(t, neg=rt.rt_cube_neg("a"), abs_=rt.rt_cube_abs("a"), exp_=rt.rt_cube_exp("a"), sqrt_=square.unary("sqrt").column(), log_=square.unary("log").column())
+    """Roots and logarithms of all cells: NaN (here 1000) of negative ones, minus infinity (here -1000) of zero."""
+    t, zero = tiles(spark, d), cube("a") - cube("a")
+    out = _cells(t, neg=rt.rt_cube_neg("a"), abs_=rt.rt_cube_abs("a"), exp_=rt.rt_cube_exp("a"), sqrt_=rt.rt_cube_sqrt("a"), log_=rt.rt_cube_log("a"), log_zero=zero.unary("log").column())
+    told = lambda c: F.when(F.isnan(c), 1000.0).when(F.col(c) == float("-inf"), -1000.0).otherwise(F.col(c)).alias(c)
+    return out.select("vec_id", "idx", "neg", "abs_", "exp_", told("sqrt_"), told("log_"), told("log_zero"))
 
 
 @query(CELLS + f"SELECT vec_id, idx, round({_both('a + b')}, 6) AS add_, round({_both('a - b')}, 6) AS sub_, round({_both('a * b')}, 6) AS mul_, round({_both('a / b')}, 6) AS div_, round(CASE WHEN a <> -9999 AND b <> -9999 THEN pow(abs(a), b) WHEN a <> -9999 THEN abs(a) ELSE a END, 6) AS pow_, round({_both('fmod(a, b)')}, 6) AS mod_ FROM cells")
@@ -248,7 +254,7 @@ def read_cells(spark, d):
     return c.select("col", "row", F.round(F.col("band_1").cast("double"), 6).alias("band_1"), F.round(F.col("band_2").cast("double"), 6).alias("band_2"))
 
 
-@query(f"WITH s AS (SELECT ({_SIZE}) AS h) SELECT CAST(y * 7 + x AS BIGINT) AS id, CAST(x AS INT) AS tile_x, CAST(y AS INT) AS tile_y, CAST(least(32, 200 - x * 32) AS INT) AS cols, CAST(least(32, h - y * 32) AS INT) AS \"rows\", CAST(1000 + x * 64 AS DOUBLE) AS xmin, CAST(50000 - y * 64 AS DOUBLE) AS ymax FROM s, range(7) AS a(x), range(0, 1000) AS b(y) WHERE y * 32 < h")
+@query(f"WITH s AS (SELECT ({_SIZE}) AS h) SELECT CAST(y * 7 + x AS BIGINT) AS id, CAST(x AS INT) AS tile_x, CAST(y AS INT) AS tile_y, CAST(least(32, 200 - x * 32) AS INT) AS cols, CAST(least(32, h - y * 32) AS INT) AS \"rows\", CAST(1000 + x * 64 AS DOUBLE) AS xmin, CAST(50000 - y * 64 AS DOUBLE) AS ymax FROM s, range(7) AS a(x), range(0, (SELECT h // 32 + 1 FROM s)) AS b(y) WHERE y * 32 < h")
 def read_tile_grid(spark, d):
     t = read_tiles(spark, file(spark, d, driver="COG", creation_options=["COMPRESS=LZW"]), blocksize_x=32, blocksize_y=32, datacube=True)
     return t.select("id", "tile_x", "tile_y", "cols", "rows", "bbox.xmin", "bbox.ymax")
@@ -261,29 +267,77 @@ def read_pruned(spark, d):
     return t.select("tile_x", "tile_y", rt.rt_cube_stats("databand_1", F.lit(0)).alias("s")).select("tile_x", "tile_y", F.round("s.mean", 6).alias("mean"))
 
 
-@query(CELLS + "SELECT CAST(tile_x * 8 + col AS INT) AS col, CAST(tile_y * 8 + \"row\" AS INT) AS \"row\", round(a, 6) AS band_1, round(CASE WHEN a <> -9999 THEN a ELSE a END, 6) AS band_2 FROM cells")
+def _world(spark, d, name: str, bands: list[str], where: str = "true") -> str:
+    """Cubes of some tiles as a file of a new folder."""
+    path = f"{folder(spark)}/{name}.tif"
+    write_raster(tiles(spark, d).where(where).select("geometry", *bands), path, srs="EPSG:25830", databand_columns=bands)
+    return path
+
+
+def _placed(c: DataFrame, *bands: str) -> DataFrame:
+    return c.select("col", "row", *[F.round(F.col(b).cast("double"), 6).alias(b) for b in bands])
+
+
+_PLACE = 'CAST(tile_x * 8 + col AS INT) AS col, CAST(tile_y * 8 + "row" AS INT) AS "row"'
+
+
+@query(CELLS + f"SELECT {_PLACE}, round(a, 6) AS band_1, round(b, 6) AS band_2 FROM cells")
 def read_separate_bands(spark, d):
-    path = file(spark, d)
-    c = read_tiles(spark, [path, path], cells=True, separate_bands=True)
-    return c.select("col", "row", F.round(F.col("band_1").cast("double"), 6).alias("band_1"), F.round(F.col("band_2").cast("double"), 6).alias("band_2"))
+    """Two files with different cells, each a band."""
+    c = read_tiles(spark, [_world(spark, d, "a", ["a"]), _world(spark, d, "b", ["b"])], cells=True, separate_bands=True)
+    return _placed(c, "band_1", "band_2")
 
 
-@query(CELLS + "SELECT CAST(tile_x * 8 + col AS INT) AS col, CAST(tile_y * 8 + \"row\" AS INT) AS \"row\", round(CASE WHEN a <> -9999 THEN a ELSE a END, 6) AS band_1 FROM cells")
-def read_mosaic_warped(spark, d):
-    """A mosaic of two halves, each warped to its own system: nothing moves."""
+@query(CELLS + f"SELECT {_PLACE}, round(CASE WHEN tile_x = 12 AND b <> -9999 THEN b WHEN tile_x > 12 THEN b ELSE a END, 6) AS band_1 FROM cells")
+def read_mosaic(spark, d):
+    """A mosaic of two files that overlap by a column of tiles: the later one lies on top, where it is not nodata."""
     at, t = folder(spark), tiles(spark, d)
-    for name, part in (("left", "tile_x < 13"), ("right", "tile_x >= 12")):
-        write_raster(t.where(part).select("geometry", "a"), f"{at}/{name}.tif", srs="EPSG:25830", databand_columns=["a"])
-    c = read_tiles(spark, f"{at}/*.tif", cells=True, warp_options=["-t_srs", "EPSG:25830", "-r", "nearest"])
-    return c.select("col", "row", F.round(F.col("band_1").cast("double"), 6).alias("band_1"))
+    for name, part, band in (("left", "tile_x < 13", "a"), ("right", "tile_x >= 12", "b")):
+        write_raster(t.where(part).select("geometry", F.col(band).alias("a")), f"{at}/{name}.tif", srs="EPSG:25830", databand_columns=["a"])
+    return _placed(read_tiles(spark, f"{at}/*.tif", cells=True), "band_1")
+
+
+@query(CELLS + 'SELECT CAST((tile_x * 8 + col) // 2 AS INT) AS col, CAST((tile_y * 8 + "row") // 2 AS INT) AS "row", round(a, 6) AS band_1 FROM cells WHERE col % 2 = 1 AND "row" % 2 = 1')
+def read_mosaic_warped(spark, d):
+    """Cells of twice the size, each from the nearest cell of the file at its centre."""
+    c = read_tiles(spark, _world(spark, d, "w", ["a"]), cells=True, warp_options=["-tr", "4", "4", "-r", "nearest"])
+    return _placed(c, "band_1")
 
 
-@query(f"SELECT count(*) AS rows_written, CAST(({_SIZE}) AS BIGINT) * 200 AS cells FROM embeddings")
+#: Degrees of a window of the raster's north-west, were its numbers spherical Mercator metres, as 40 x 30 cells.
+_TE, _TS = (0.009, 0.4483, 0.0125, 0.4491), (40, 30)
+
+
+@query(
+    CELLS
+    + f""", grid AS (SELECT x, y, {_TE[0]} + (x + 0.5) * ({_TE[2]} - {_TE[0]}) / {_TS[0]} AS lon, {_TE[3]} - (y + 0.5) * ({_TE[3]} - {_TE[1]}) / {_TS[1]} AS lat FROM range({_TS[0]}) AS p(x), range({_TS[1]}) AS q(y)),
+place AS (SELECT x, y, CAST(floor((6378137.0 * radians(lon) - 1000) / 2) AS BIGINT) AS c, CAST(floor((50000 - 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2))) / 2) AS BIGINT) AS r FROM grid),
+source AS (SELECT tile_x * 8 + col AS c, tile_y * 8 + "row" AS r, a FROM cells)
+SELECT CAST(x AS INT) AS col, CAST(y AS INT) AS "row", round(coalesce(a, -9999), 6) AS band_1 FROM place LEFT JOIN source USING (c, r)"""
+)
+def read_reprojected(spark, d):
+    """The file taken as spherical Mercator and warped to degrees."""
+    warp = ["-s_srs", "EPSG:3857", "-t_srs", "EPSG:4326", "-te", *map(str, _TE), "-ts", *map(str, _TS), "-r", "nearest"]
+    return _placed(read_tiles(spark, _world(spark, d, "m", ["a"]), cells=True, warp_options=warp), "band_1")
+
+
+@query(CELLS + f"SELECT {_PLACE}, round(CASE WHEN a = -9999 THEN -9999 ELSE a END, 6) AS band_1, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (SELECT *, 1000 + (tile_x * 8 + col) * 2 + 1 AS x, 50000 - (tile_y * 8 + \"row\") * 2 - 1 AS y FROM cells) WHERE x BETWEEN 1100 AND 1150 AND y > 49950 AND tile_y < 2")
+def read_filtered(spark, d):
+    """Filters and columns as anyone writes them on a table: tiles are chosen before any is read."""
+    t = read_tiles(spark, file(spark, d), blocksize_x=8, blocksize_y=8)
+    t = t.where("bbox.xmax >= 1100 AND bbox.xmin <= 1150 AND bbox.ymax >= 49950 AND tile_y < 2").select("tile_x", "tile_y", F.posexplode(rt.cube_to_list("databand_1")).alias("i", "v"))
+    c = t.select((F.col("tile_x") * 8 + F.col("i") % 8).alias("col"), (F.col("tile_y") * 8 + F.floor(F.col("i") / 8)).cast("int").alias("row"), F.round("v", 6).alias("band_1"))
+    c = c.withColumns({"x": 1001.0 + F.col("col") * 2, "y": 49999.0 - F.col("row") * 2})
+    return c.where("x BETWEEN 1100 AND 1150 AND y > 49950")
+
+
+@query(CELLS + f"SELECT {_PLACE}, CAST(trunc(least(greatest(CASE WHEN a <> -9999 THEN abs(a) * 100 ELSE a END, 0), 255)) AS INT) AS band_1, (SELECT count(*) FROM embeddings) AS rows_written FROM cells")
 def write_round_trip(spark, d):
+    """Every pixel of a PNG with a world file, as it was written."""
     path = folder(spark) + "/bytes.png"
     t = tiles(spark, d).select("geometry", (cube("a").unary("abs") * 100.0).to_type("uint8").column().alias("databand_1"))
     n = write_raster(t, path, driver="PNG", creation_options=["WORLDFILE=YES"])
-    return read_tiles(spark, path, cells=True).agg(F.lit(n).cast("long").alias("rows_written"), F.count("*").alias("cells"))
+    return read_tiles(spark, path, cells=True).select("col", "row", F.col("band_1").cast("int").alias("band_1"), F.lit(n).cast("long").alias("rows_written"))
 
 
 @query("SELECT * FROM (VALUES ('GTiff', 'GeoTIFF', true, true, true), ('COG', 'Cloud optimized GeoTIFF generator', false, true, false), ('PNG', 'Portable Network Graphics', false, true, true), ('VRT', 'Virtual Raster', false, false, true), ('Memory', 'In Memory Raster', true, false, false)) AS t(short_name, long_name, can_create, can_copy, can_open)")
@@ -293,11 +347,25 @@ def driver_list(spark, d):
 
 @query(f"SELECT vec_id FROM (SELECT vec_id, 1000 + (vec_id % 25) * 16 AS x, 50000 - (vec_id // 25) * 16 AS y FROM embeddings) WHERE x <= {ZONE[2]} AND x + 16 >= {ZONE[0]} AND y - 16 <= {ZONE[3]} AND y >= {ZONE[1]}")
 def spatial_join(spark, d):
-    """Tiles that meet a zone: a native test of the boxes in the join, the exact test after it."""
-    zones = spark.createDataFrame([ZONE], "xmin double, ymin double, xmax double, ymax double").withColumn("zone", rt.st_make_envelope("xmin", "ymin", "xmax", "ymax"))
-    t = tiles(spark, d).withColumns({"x0": 1000.0 + F.col("tile_x") * 16, "y1": 50000.0 - F.col("tile_y") * 16})
-    near = (F.col("x0") <= F.col("xmax")) & (F.col("x0") + 16 >= F.col("xmin")) & (F.col("y1") - 16 <= F.col("ymax")) & (F.col("y1") >= F.col("ymin"))
-    return t.join(zones, near).where(rt.st_intersects("geometry", "zone")).select("vec_id")
+    """Tiles that meet a zone: a native test of the boxes in the join, the exact test after it. The few zones are broadcast."""
+    zones = spark.createDataFrame([ZONE], "zx0 double, zy0 double, zx1 double, zy1 double").withColumn("zone", rt.st_make_envelope("zx0", "zy0", "zx1", "zy1"))
+    t, box = _boxed(tiles(spark, d).select("vec_id", "tile_x", "tile_y", "geometry"))
+    return box_join(t, zones, box, [F.col(c) for c in ("zx0", "zy0", "zx1", "zy1")]).where(rt.st_intersects("geometry", "zone")).select("vec_id")
+
+
+def _boxed(t: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Tiles with their boxes as columns."""
+    t = t.withColumns({"x0": 1000.0 + F.col("tile_x") * 16, "y1": 50000.0 - F.col("tile_y") * 16}).withColumns({"x1": F.col("x0") + 16, "y0": F.col("y1") - 16})
+    return t, [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+
+
+@query("WITH t AS (SELECT vec_id, 1000 + (vec_id % 25) * 16 AS x, 50000 - (vec_id // 25) * 16 AS y FROM embeddings), z AS (SELECT vec_id AS zone_id, x + 10 AS zx, y - 10 AS zy, CASE WHEN vec_id % 50 = 0 THEN 70 ELSE 3 END AS side FROM t) SELECT vec_id, zone_id FROM t JOIN z ON x <= zx + side AND x + 16 >= zx AND y - 16 <= zy AND y >= zy - side")
+def spatial_join_grid(spark, d):
+    """As many zones as tiles, most of them small and some large: both sides are dealt over the cells of a grid."""
+    t, box = _boxed(tiles(spark, d).select("vec_id", "tile_x", "tile_y"))
+    side = F.when(F.col("vec_id") % 50 == 0, 70.0).otherwise(3.0)
+    z = t.select(F.col("vec_id").alias("zone_id"), (F.col("x0") + 10).alias("zx0"), (F.col("y1") - 10 - side).alias("zy0"), (F.col("x0") + 10 + side).alias("zx1"), (F.col("y1") - 10).alias("zy1"))
+    return box_join(t, z, box, [F.col(c) for c in ("zx0", "zy0", "zx1", "zy1")], broadcast_rows=0).select("vec_id", "zone_id")
 
 
 @query(CELLS + ", t AS (SELECT vec_id, tile_x, tile_y, idx, a, b FROM cells) SELECT p.vec_id, round(avg(CASE WHEN p.a <> -9999 AND q.b <> -9999 THEN p.a - q.b ELSE p.a END) FILTER (WHERE (CASE WHEN p.a <> -9999 AND q.b <> -9999 THEN p.a - q.b ELSE p.a END) <> -9999), 6) AS mean FROM t p JOIN t q ON p.tile_x = q.tile_x AND p.tile_y = q.tile_y AND p.idx = q.idx GROUP BY p.vec_id")
@@ -355,8 +423,138 @@ def metadata_fields(spark, d):
 @query(CELLS + f"SELECT {_STATS.replace('v ', 'a ').replace('(v)', '(a)')} FROM cells")
 def sql_text(spark, d):
     """The same statistics through SQL text alone, from a file."""
+    return run(spark, f"SELECT RT_CubeStats_Agg(databand_1, 0) AS stats FROM RT_Read('{file(spark, d)}', blocksize_x := 64, blocksize_y := 64)").select(*_flat())
+
+
+# ---- more of what a raster table shares with any other ----
+
+
+@query(CELLS + 'SELECT vec_id, round(max(a) FILTER (WHERE col = 1 AND "row" = 2), 6) AS first, round(max(a) FILTER (WHERE col = 6 AND "row" = 3), 6) AS second, CAST(-3 AS DOUBLE) AS beyond FROM cells GROUP BY vec_id')
+def coord_values(spark, d):
+    x, y = F.lit(1000.0) + F.col("tile_x") * 16, F.lit(50000.0) - F.col("tile_y") * 16
+    places = rt.rt_coord_values("a", F.lit(0), F.array(x + 3, x + 13, x + 400), F.array(y - 5, y - 7, y), "metadata", F.lit(-3.0), "tile_x", "tile_y")
+    return tiles(spark, d).select("vec_id", places.alias("v")).select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[1], 6).alias("second"), F.col("v")[2].alias("beyond"))
+
+
+@query("SELECT vec_id, round(degrees(x / 6378137.0), 9) AS lon, round(degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2), 9) AS lat, round(x, 3) AS back_x, round(y, 3) AS back_y FROM (SELECT vec_id, CAST(1000 + (vec_id % 25) * 16 AS DOUBLE) AS x, CAST(50000 - (vec_id // 25) * 16 AS DOUBLE) AS y FROM embeddings)")
+def geometry_transform(spark, d):
+    """Points through GeoJSON and two reference systems, there and back."""
+    text = F.concat(F.lit('{"type": "Point", "coordinates": ['), 1000.0 + F.col("tile_x") * 16, F.lit(", "), 50000.0 - F.col("tile_y") * 16, F.lit("]}"))
+    there = rt.st_transform(rt.st_geom_from_geojson(text), F.lit("EPSG:3857"), F.lit("EPSG:4326"))
+    t = tiles(spark, d).select("vec_id", rt.st_as_geojson(there).alias("g"), rt.st_as_geojson(rt.st_transform(there, F.lit("EPSG:4326"), F.lit("EPSG:3857"))).alias("h"))
+    part = lambda c, i: F.get_json_object(c, f"$.coordinates[{i}]").cast("double")
+    return t.select("vec_id", F.round(part("g", 0), 9).alias("lon"), F.round(part("g", 1), 9).alias("lat"), F.round(part("h", 0), 3).alias("back_x"), F.round(part("h", 1), 3).alias("back_y"))
+
+
+def _flat_cells(spark, d) -> DataFrame:
+    """vec_id, label, tile_x, tile_y, idx, a."""
+    return tiles(spark, d).select("vec_id", "label", "tile_x", "tile_y", F.posexplode(rt.cube_to_list("a")).alias("idx", "a"))
+
+
+@query(CELLS + "SELECT vec_id, idx, round(a - lag(a) OVER w, 6) AS before, round(lead(a, 2, 0) OVER w, 6) AS after, round(first_value(a) OVER w, 6) AS first, round(last_value(a) OVER (PARTITION BY vec_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS last, round(nth_value(a, 3) OVER w, 6) AS third FROM cells WINDOW w AS (PARTITION BY vec_id ORDER BY idx)")
+def analytic_window(spark, d):
+    w = Window.partitionBy("vec_id").orderBy("idx")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    r = lambda c, n: F.round(c, 6).alias(n)
+    return _flat_cells(spark, d).select("vec_id", "idx", r(F.col("a") - F.lag("a").over(w), "before"), r(F.lead("a", 2, 0.0).over(w), "after"), r(F.first("a").over(w), "first"), r(F.last("a").over(whole), "last"), r(F.nth_value("a", 3).over(w), "third"))
+
+
+@query(CELLS + "SELECT vec_id, idx, row_number() OVER w AS number, dense_rank() OVER (PARTITION BY vec_id ORDER BY a) AS dense, round(percent_rank() OVER (PARTITION BY vec_id ORDER BY a), 6) AS share, round(cume_dist() OVER (PARTITION BY vec_id ORDER BY a), 6) AS below, ntile(4) OVER w AS quarter FROM cells WINDOW w AS (PARTITION BY vec_id ORDER BY a, idx)")
+def ranking_window(spark, d):
+    w, v = Window.partitionBy("vec_id").orderBy("a", "idx"), Window.partitionBy("vec_id").orderBy("a")
+    long = lambda c, n: c.cast("long").alias(n)
+    return _flat_cells(spark, d).select("vec_id", "idx", long(F.row_number().over(w), "number"), long(F.dense_rank().over(v), "dense"), F.round(F.percent_rank().over(v), 6).alias("share"), F.round(F.cume_dist().over(v), 6).alias("below"), long(F.ntile(4).over(w), "quarter"))
+
+
+@query("WITH t AS (SELECT vec_id, vec_id % 25 AS tile_x, vec_id // 25 AS tile_y, label FROM embeddings), u AS (SELECT vec_id AS other, tile_x, tile_y + 1 AS tile_y, label AS below FROM t WHERE tile_x < 20) SELECT vec_id, other, CAST(coalesce(below, -1) AS INT) AS below FROM t FULL JOIN u USING (tile_x, tile_y)")
+def outer_join(spark, d):
+    """Tiles beside those above them."""
+    t = tiles(spark, d).select("vec_id", "tile_x", "tile_y", "label")
+    u = t.where("tile_x < 20").select(F.col("vec_id").alias("other"), "tile_x", (F.col("tile_y") + 1).alias("tile_y"), F.col("label").alias("below"))
+    return t.join(u, ["tile_x", "tile_y"], "full").select("vec_id", "other", F.coalesce("below", F.lit(-1)).cast("int").alias("below"))
+
+
+@query("WITH t AS (SELECT vec_id, vec_id % 25 AS tile_x, label FROM embeddings) SELECT vec_id, 'semi' AS kind FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.tile_x = t.tile_x AND u.label = 3 AND u.vec_id < 150) UNION ALL SELECT vec_id, 'anti' FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.tile_x = t.tile_x AND u.label = 3 AND u.vec_id < 150)")
+def semi_anti_join(spark, d):
+    t = tiles(spark, d).select("vec_id", "tile_x", "label")
+    third = t.where("label = 3 and vec_id < 150").select("tile_x")
+    return t.join(third, "tile_x", "left_semi").select("vec_id", F.lit("semi").alias("kind")).unionAll(t.join(third, "tile_x", "left_anti").select("vec_id", F.lit("anti").alias("kind")))
+
+
+@query(CELLS + ", bins(name, low, high) AS (VALUES ('faint', 0.0, 0.1), ('middle', 0.1, 0.2), ('strong', 0.2, 10.0)) SELECT name, count(*) AS n, round(sum(abs(a)), 4) AS total FROM cells JOIN bins ON abs(a) >= low AND abs(a) < high WHERE a <> -9999 GROUP BY name")
+def range_join(spark, d):
+    bins = spark.createDataFrame([("faint", 0.0, 0.1), ("middle", 0.1, 0.2), ("strong", 0.2, 10.0)], "name string, low double, high double")
+    size = F.abs("a")
+    return _flat_cells(spark, d).where("a <> -9999").join(F.broadcast(bins), (size >= F.col("low")) & (size < F.col("high"))).groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum(size), 4).alias("total"))
+
+
+@query("SELECT n_name, b, count(*) AS tiles FROM embeddings, (SELECT n_name FROM nation WHERE n_nationkey < 3), (VALUES (0), (1)) AS x(b) WHERE label % 2 = b GROUP BY n_name, b")
+def cross_join(spark, d):
+    """Tiles times tables whose size is set by the query."""
+    nations = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 3").select("n_name")
+    t = tiles(spark, d).select("label").crossJoin(F.broadcast(nations)).crossJoin(F.broadcast(spark.createDataFrame([(0,), (1,)], "b int")))
+    return t.where("label % 2 = b").groupBy("n_name", "b").agg(F.count("*").alias("tiles"))
+
+
+@query(CELLS + "SELECT vec_id, round(avg(a + (SELECT avg(a) FROM cells WHERE a <> -9999)) FILTER (WHERE a <> -9999), 6) AS mean FROM cells GROUP BY vec_id HAVING count(*) FILTER (WHERE a <> -9999) > 0")
+def scalar_subquery(spark, d):
+    """The mean of all tiles as an argument of each tile's algebra, in SQL text.
+
+    Spark cannot run a subquery with Python functions inside the arguments of one, so its one row is joined.
+    """
+    rt.register_all(spark)
+    tiles(spark, d).createOrReplaceTempView("tilewright_tiles")
+    s = spark.sql("WITH m AS (SELECT avg(v) AS mean FROM (SELECT explode(RT_Cube2ArrayDouble(a, true).values) AS v FROM tilewright_tiles)) SELECT vec_id, RT_CubeStats(RT_CubeAdd(a, mean), 0) AS s FROM tilewright_tiles CROSS JOIN m")
+    return s.where("s.valid_count > 0").select("vec_id", F.round("s.mean", 6).alias("mean"))
+
+
+@query("SELECT t, count(*) AS n FROM (SELECT vec_id % 25 AS t FROM embeddings WHERE label < 5 INTERSECT ALL SELECT vec_id % 25 FROM embeddings WHERE label >= 3) GROUP BY t UNION ALL SELECT t + 100, count(*) FROM (SELECT vec_id % 25 AS t FROM embeddings EXCEPT ALL SELECT vec_id % 25 FROM embeddings WHERE label >= 3) GROUP BY t UNION ALL SELECT t + 1000, 1 FROM (SELECT vec_id % 5 AS t FROM embeddings UNION SELECT vec_id % 7 FROM embeddings)")
+def bag_operations(spark, d):
+    t = tiles(spark, d).select(F.col("tile_x").cast("long").alias("t"), "label", "vec_id")
+    low, high = t.where("label < 5").select("t"), t.where("label >= 3").select("t")
+    both, rest = low.intersectAll(high).groupBy("t").agg(F.count("*").alias("n")), t.select("t").exceptAll(high).groupBy("t").agg(F.count("*").alias("n"))
+    union = t.select((F.col("vec_id") % 5).alias("t")).union(t.select((F.col("vec_id") % 7).alias("t"))).distinct()
+    return both.unionAll(rest.select(F.col("t") + 100, "n")).unionAll(union.select(F.col("t") + 1000, F.lit(1).cast("long")))
+
+
+@query(CELLS + "SELECT tile_x, label, count(*) AS n, CAST(grouping_id(tile_x, label) AS BIGINT) AS set_id FROM cells WHERE a <> -9999 GROUP BY GROUPING SETS ((tile_x, label), (label), ()) UNION ALL SELECT CAST(NULL AS INT), label, count(DISTINCT tile_x), 9 FROM cells GROUP BY CUBE (label)")
+def grouping_sets(spark, d):
     rt.register_all(spark)
-    path = file(spark, d)
-    s = spark.sql(f"SELECT RT_CubeStats_Agg(databand_1, 0) AS stats FROM RT_Read('{path}', blocksize_x => 64, blocksize_y => 64)")
-    return s.select(*_flat())
+    _flat_cells(spark, d).createOrReplaceTempView("tilewright_cells")
+    return spark.sql("SELECT tile_x, label, count(*) AS n, CAST(grouping_id(tile_x, label) AS BIGINT) AS set_id FROM tilewright_cells WHERE a <> -9999 GROUP BY GROUPING SETS ((tile_x, label), (label), ()) UNION ALL SELECT CAST(NULL AS INT), label, count(DISTINCT tile_x), CAST(9 AS BIGINT) FROM tilewright_cells GROUP BY CUBE (label)")
+
+
+@query("SELECT vec_id, upper('tile ' || vec_id) AS title, lpad(CAST(vec_id % 25 AS VARCHAR), 3, '0') AS code, length('tile ' || vec_id) AS size, replace('a-b-' || label, '-', '.') AS dotted, CAST(year(DATE '2020-01-31' + CAST(vec_id AS INT)) AS INT) AS y, CAST(DATE '2020-01-31' + CAST(vec_id AS INT) AS VARCHAR) AS day, CAST(date_diff('day', DATE '2019-12-31', DATE '2020-01-31' + CAST(vec_id AS INT)) AS INT) AS days, 'EPSG' AS authority FROM embeddings")
+def text_and_date_functions(spark, d):
+    day = F.date_add(F.lit("2020-01-31").cast("date"), F.col("vec_id").cast("int"))
+    title = F.concat(F.lit("tile "), "vec_id")
+    named = F.create_map(F.lit("authority"), F.split_part(F.get_json_object("metadata", "$.crs"), F.lit(":"), F.lit(1)))
+    return tiles(spark, d).select("vec_id", F.upper(title).alias("title"), F.lpad(F.col("tile_x").cast("string"), 3, "0").alias("code"), F.length(title).cast("long").alias("size"), F.replace(F.concat(F.lit("a-b-"), "label"), F.lit("-"), F.lit(".")).alias("dotted"), F.year(day).alias("y"), day.cast("string").alias("day"), F.datediff(day, F.lit("2019-12-31").cast("date")).alias("days"), named["authority"].alias("authority"))
+
+
+_PARTS = "WITH p AS (SELECT CAST(p_partkey // 256 AS BIGINT) AS tile, p_partkey % 256 AS i, p_size, p_retailprice FROM part)"
+
+
+def _part_tiles(spark, d) -> DataFrame:
+    """Parts by key as tiles of 16 x 16, two bands of whole numbers; keys that there are not are nodata."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.floor(F.col("p_partkey") / 256).alias("tile"), (F.col("p_partkey") % 256).cast("int").alias("i"), F.col("p_size").cast("int").alias("size"), F.round(F.col("p_retailprice").cast("double"), 0).cast("int").alias("price"))
+    held = p.groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("size", "price")))).alias("m"))  # 256 cells a tile
+    band = lambda n: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i)[n], F.lit(-1)))
+    return held.select("tile", rt.rt_array2cube(F.concat(band("size"), band("price")), F.lit("ZSTD"), F.lit(2), F.lit(16), F.lit(16), F.lit(-1.0)).alias("datacube"))
+
+
+@query(_PARTS + " SELECT tile, min(p_size) AS low, max(p_size) AS high, CAST(sum(p_size) AS DOUBLE) AS total, count(*) AS n, 256 - count(*) AS holes, round(avg(round(p_retailprice, 0)), 6) AS price FROM p GROUP BY tile")
+def whole_number_bands(spark, d):
+    """Tiles of another table: two bands, 16 x 16, INT32, compressed, the last one with holes."""
+    s = _part_tiles(spark, d).select("tile", rt.rt_cube_stats("datacube", F.lit(0)).alias("s"), rt.rt_cube_stats("datacube", F.lit(1)).alias("p"))
+    return s.select("tile", F.col("s.minimum").cast("int").alias("low"), F.col("s.maximum").cast("int").alias("high"), F.col("s.sum").alias("total"), F.col("s.valid_count").alias("n"), F.col("s.nodata_count").alias("holes"), F.round("p.mean", 6).alias("price"))
+
 
+@query(_PARTS + ", r AS (SELECT tile, i % 16 AS c, i // 16 AS r, p_size FROM p) SELECT tile, CAST(coalesce(max(p_size) FILTER (WHERE c = 5 AND r = 9), -1) AS DOUBLE) AS one, CAST(coalesce(max(p_size) FILTER (WHERE c = 0 AND r = 15), -1) AS DOUBLE) AS other FROM r GROUP BY tile")
+def rotated_grid(spark, d):
+    """Places of the world in a grid whose columns run north-east and whose rows run south-east."""
+    g = (100.0, 3.0, 4.0, 200.0, 4.0, -3.0)
+    text = F.lit(Grid(16, 16, 2, TYPE_CODES["INT32"], -1.0, "EPSG:25830", g, 16, 16).metadata())
+    world = lambda c, r: (F.lit(g[0] + g[1] * c + g[2] * r), F.lit(g[3] + g[4] * c + g[5] * r))
+    at = lambda c, r: rt.rt_coord_value("datacube", F.lit(0), *world(c + 0.5, r + 0.5), text, F.lit(-1.0))
+    return _part_tiles(spark, d).select("tile", at(5, 9).alias("one"), at(0, 15).alias("other"))

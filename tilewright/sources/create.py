@@ -14,22 +14,21 @@ from tilewright.sources.grid import Grid, created_type
 from tilewright.sources.tiff import TiffWriter
 
 
-def tile_rows(spark: SparkSession, grid: Grid) -> DataFrame:
-    """The fixed columns of all tiles of a grid, as native expressions over a range."""
+def tile_rows(spark: SparkSession, grid: Grid, partitions: int | None = None, first: int = 0, end: int | None = None) -> DataFrame:
+    """The fixed columns of a grid's tiles (those with first <= id < end), as native expressions over a range."""
+    from tilewright.functions import st_make_envelope, st_make_ring
+
     g, lit = grid.transform, F.lit
-    df = spark.range(grid.tiles_x * grid.tiles_y)
+    df = spark.range(first, grid.tiles_x * grid.tiles_y if end is None else end, 1, partitions)
     df = df.withColumns({"tile_x": (F.col("id") % grid.tiles_x).cast("int"), "tile_y": F.floor(F.col("id") / grid.tiles_x).cast("int")})
     df = df.withColumns({"cols": F.least(lit(grid.block_x), lit(grid.width) - F.col("tile_x") * grid.block_x), "rows": F.least(lit(grid.block_y), lit(grid.height) - F.col("tile_y") * grid.block_y)})
     col, row = F.col("tile_x") * grid.block_x, F.col("tile_y") * grid.block_y
     world = lambda c, r: (lit(g[0]) + lit(g[1]) * c + lit(g[2]) * r, lit(g[3]) + lit(g[4]) * c + lit(g[5]) * r)
-    corners = [world(col + a * F.col("cols"), row + b * F.col("rows")) for a in (0, 1) for b in (0, 1)]
+    corners = [world(col + a * F.col("cols"), row + b * F.col("rows")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))]
     box = F.struct(F.least(*[p[0] for p in corners]).alias("xmin"), F.least(*[p[1] for p in corners]).alias("ymin"), F.greatest(*[p[0] for p in corners]).alias("xmax"), F.greatest(*[p[1] for p in corners]).alias("ymax"))
     x, y = world(col + F.col("cols") / 2, row + F.col("rows") / 2)
-    df = df.select("id", x.alias("x"), y.alias("y"), box.alias("bbox"), lit(0).alias("level"), "tile_x", "tile_y", "cols", "rows", lit(grid.metadata()).alias("metadata"))
-    from tilewright.functions import st_make_envelope
-
-    shape = st_make_envelope("bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax")
-    return df.select("id", "x", "y", "bbox", shape.alias("geometry"), "level", "tile_x", "tile_y", "cols", "rows", "metadata")
+    shape = st_make_ring(*[c for p in corners for c in p]) if g[2] or g[4] else st_make_envelope(box["xmin"], box["ymin"], box["xmax"], box["ymax"])
+    return df.select("id", x.alias("x"), y.alias("y"), box.alias("bbox"), shape.alias("geometry", metadata={"crs": grid.crs}), lit(0).alias("level"), "tile_x", "tile_y", "cols", "rows", lit(grid.metadata()).alias("metadata"))
 
 
 def _checked(path, crs, xmin, ymin, xmax, ymax, width, height, num_bands, data_type, nodata, driver_name, data_format, blocksize_x, blocksize_y, datacube) -> Grid:

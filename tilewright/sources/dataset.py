@@ -1,7 +1,8 @@
 """Rasters to read from: single files, virtual mosaics, mosaics and band stacks of several files, warped rasters.
 
 All have width, height, bands, data_type, nodata, crs, transform, block_x, block_y, read(band, x, y, w, h) and
-empty(x, y, w, h). They hold paths and numbers only, so a task can open its own.
+empty(x, y, w, h). Headers are read once, where a raster is planned; what is sent to a task holds paths and a few
+numbers a file, and a task opens the files that its tiles meet.
 """
 
 from __future__ import annotations
@@ -86,6 +87,39 @@ class VrtRaster(NoteMixin):
         return out
 
 
+class Lazy:
+    """A file whose header has been read; the rest is opened where it is needed, and not sent along."""
+
+    _FIELDS = ("driver", "width", "height", "bands", "data_type", "nodata", "crs", "transform", "block_x", "block_y", "descriptions", "scales", "shifts", "units")
+
+    def __init__(self, path: str, allowed: list[str] | None = None, options: dict | None = None):
+        self.path, self.allowed, self.options, self._raster = path, allowed, options, None
+        raster = self._opened()
+        for name in self._FIELDS:
+            setattr(self, name, getattr(raster, name))
+        #: No tile of it can be empty.
+        self.whole = isinstance(raster, (Warped, png.PngRaster)) or (isinstance(raster, tiff.TiffRaster) and all(raster.sizes))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_raster": None}
+
+    def _opened(self):
+        if self._raster is None:
+            found = open_file(self.path, self.allowed)
+            self._raster = Warped(found, self.options) if self.options else found
+        return self._raster
+
+    def close(self) -> Lazy:
+        self._raster = None
+        return self
+
+    def empty(self, x: int, y: int, w: int, h: int) -> bool:
+        return not self.whole and self._opened().empty(x, y, w, h)
+
+    def read(self, band: int, x: int, y: int, w: int, h: int) -> np.ndarray:
+        return self._opened().read(band, x, y, w, h)
+
+
 class Mosaic(NoteMixin):
     """Several rasters of one system on the union of their extents, later ones over earlier ones, nearest cells."""
 
@@ -104,16 +138,22 @@ class Mosaic(NoteMixin):
         x0, y0, x1, y1 = min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)
         self.width, self.height = max(1, int((x1 - x0) / self.sx + 0.5)), max(1, int((y1 - y0) / self.sy + 0.5))
         self.transform = (x0, self.sx, 0.0, y1, 0.0, -self.sy)
-        self.places = [((b[0] - x0) / self.sx, (y1 - b[3]) / self.sy, (b[2] - b[0]) / self.sx, (b[3] - b[1]) / self.sy) for b in boxes]
+        self.places = np.array([((b[0] - x0) / self.sx, (y1 - b[3]) / self.sy, (b[2] - b[0]) / self.sx, (b[3] - b[1]) / self.sy) for b in boxes])
         self.block_x, self.block_y = min(128, self.width), min(128, self.height)
         self._plain_notes()
 
+    def _meets(self, x, y, w, h) -> np.ndarray:
+        """Numbers of the parts that a window meets."""
+        p = self.places
+        return np.flatnonzero((p[:, 0] < x + w) & (p[:, 0] + p[:, 2] > x) & (p[:, 1] < y + h) & (p[:, 1] + p[:, 3] > y))
+
     def empty(self, x, y, w, h) -> bool:
-        return not any(dx < x + w and dx + dw > x and dy < y + h and dy + dh > y for dx, dy, dw, dh in self.places)
+        return not len(self._meets(x, y, w, h))
 
     def read(self, band: int, x: int, y: int, w: int, h: int) -> np.ndarray:
         out = np.full((h, w), 0 if self.nodata == NODATA_UNDEFINED else self.nodata).astype(DTYPES[self.data_type])
-        for part, (dx, dy, dw, dh) in zip(self.parts, self.places):
+        for i in self._meets(x - 1, y - 1, w + 2, h + 2).tolist():  # places are rounded to cells
+            part, (dx, dy, dw, dh) = self.parts[i], self.places[i].tolist()
             x0, x1, y0, y1 = max(x, int(dx + 0.5)), min(x + w, int(dx + dw + 0.5)), max(y, int(dy + 0.5)), min(y + h, int(dy + dh + 0.5))
             if x0 >= x1 or y0 >= y1:
                 continue
@@ -139,7 +179,7 @@ class Stack(NoteMixin):
         self.layers = []
         for part, place in zip(whole.parts, whole.places):
             layer = object.__new__(Mosaic)
-            layer.__dict__.update(whole.__dict__, parts=[part], places=[place])
+            layer.__dict__.update(whole.__dict__, parts=[part], places=place[None])
             self.layers.append(layer)
         self._plain_notes()
 
@@ -297,9 +337,7 @@ def open_raster(paths: str | list[str], separate: bool = False, warp: list[str]
         if any("*" in p for p in listed):
             raise RasterError("A pattern can't be in a list of files")
     options = warp_options(warp) if warp else None
-    opened = [open_file(p, allowed if single else None) for p in listed]
-    if options:
-        opened = [Warped(r, options) for r in opened]
+    opened = [Lazy(p, allowed if single else None, options).close() for p in listed]
     if single or (len(opened) == 1 and not separate):
         return opened[0]
     return Stack(opened) if separate else Mosaic(opened)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from tilewright.cube import FILE_TYPES, NODATA_UNDEFINED, TYPES, RasterError, type_code
 from tilewright.geo.geometry import rectangle, to_wkb
 
@@ -113,18 +115,25 @@ class Georef:
                 raise RasterError(f"Invalid metadata: '{name}' must be an integer")
         return Georef(tuple(map(float, found)), value["blocksize_x"], value["blocksize_y"])
 
-    def pixel(self, x: float, y: float) -> tuple[int, int]:
-        """World to pixel."""
+    def _world_to_pixel(self, x, y):
         g = self.transform
         if not g[2] and not g[4]:
-            c, r = (x - g[0]) / g[1], (y - g[3]) / g[5]
-        else:
-            det = g[1] * g[5] - g[2] * g[4]
-            if not det:
-                raise RasterError("The transform has no inverse")
-            c, r = (g[5] * (x - g[0]) - g[2] * (y - g[3])) / det, (g[1] * (y - g[3]) - g[4] * (x - g[0])) / det
+            return (x - g[0]) / g[1], (y - g[3]) / g[5]
+        det = g[1] * g[5] - g[2] * g[4]
+        if not det:
+            raise RasterError("The transform has no inverse")
+        return (g[5] * (x - g[0]) - g[2] * (y - g[3])) / det, (g[1] * (y - g[3]) - g[4] * (x - g[0])) / det
+
+    def pixel(self, x: float, y: float) -> tuple[int, int]:
+        """World to pixel."""
+        c, r = self._world_to_pixel(x, y)
         return int(c // 1), int(r // 1)
 
+    def pixels(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """pixel of many places."""
+        c, r = self._world_to_pixel(x, y)
+        return np.floor(c).astype(np.int64), np.floor(r).astype(np.int64)
+
 
 def created_type(code: int | str) -> int:
     """The pixel type of RT_Create: a file type code 1 to 7, or a name."""

@@ -1,28 +1,38 @@
-"""Spark data sources `raster` (a row a tile) and `raster_cells` (a row a cell).
+"""Raster files as tables: read_tiles, and the Spark data sources `raster` (a row a tile) and `raster_cells` (a row a cell).
 
+    read_tiles(spark, "/data/*.tif", blocksize_x=256, blocksize_y=256).where("tile_y < 10").select("id", "databand_1")
     spark.read.format("raster").option("blocksize_x", 256).option("blocksize_y", 256).load("/data/*.tif")
 
-Options: paths (a JSON list, instead of load's path), open_options, allowed_drivers, sibling_files and
+read_tiles is a plan of native expressions over a range of tile numbers; each band is an Arrow function of the number
+that reads the tile. So Catalyst prunes and pushes down as with any table: columns that nobody asks for are not
+computed, bands among them; filters on the other columns choose tiles before any is read, LIMIT stops reading.
+
+Options: paths (a JSON list, instead of load's path), allowed_drivers and
 warp_options (JSON lists), separate_bands, data_format, blocksize_x, blocksize_y, skip_empty_tiles, datacube,
 bands (a JSON list of band numbers from 1: the others are neither read nor returned), ignore_nodata (cells),
 tiles_per_partition, bbox ([xmin, ymin, xmax, ymax]: only tiles that meet it), where (a JSON list of
-[column, test, value] on the tiles' numeric columns, all of which must hold). bbox and where prune tiles on the
-driver, before any is read; read_tiles sets them and the columns together. Spark's own filter pushdown for Python
-sources is not used: it keeps what one query pushed for later queries on the same DataFrame.
+[column, test, value] on the tiles' numeric columns, all of which must hold). open_options and sibling_files are for
+drivers that need them; none here does, so other values than an empty list are an error. In the data sources bbox and
+where prune tiles on the driver, before any is read. Spark's own filter pushdown for Python sources is not used there:
+it keeps what one query pushed for later queries on the same DataFrame.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tilewright.cube import DTYPES, TYPES, Header, RasterError, compress, empty_cube, format_code, is_nodata
+from tilewright.sources.create import tile_rows
 from tilewright.sources.dataset import open_raster
 from tilewright.sources.grid import Grid
 
@@ -38,6 +48,9 @@ def _flag(value: str | None, default: bool) -> bool:
 class Options:
     def __init__(self, options: dict):
         get = lambda name: options.get(name)
+        for name in ("open_options", "sibling_files"):
+            if get(name) and json.loads(get(name)):
+                raise RasterError(f"{name} has no effect on the drivers there are: {get(name)}")
         paths = json.loads(get("paths")) if get("paths") else get("path")
         if not paths:
             raise RasterError("No path was given")
@@ -62,9 +75,15 @@ class Options:
 
 
 class Tiles(InputPartition):
-    def __init__(self, first: int, last: int):
-        super().__init__((first, last))
-        self.first, self.last = first, last
+    """Runs of tiles, first and last of each."""
+
+    def __init__(self, *runs: tuple[int, int]):
+        super().__init__(runs)
+        self.runs = runs
+
+    def numbers(self) -> Iterator[int]:
+        for first, last in self.runs:
+            yield from range(first, last + 1)
 
 
 _TESTS = {"=": lambda a, b: a == b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "in": lambda a, b: np.isin(a, list(b))}
@@ -120,11 +139,13 @@ class TileReader(DataSourceReader):
         kept = self.kept(o.grid, o.bbox, o.where)
         cells = o.grid.block_x * o.grid.block_y * max(1, len(o.bands))
         most = o.per_partition or max(1, 4_000_000 // max(1, cells))
-        # runs of consecutive tiles, cut to `most` each
-        heads = np.flatnonzero(np.diff(kept, prepend=kept[:1] - 2) != 1)
-        ends = np.append(heads[1:], len(kept))
-        out = [Tiles(int(kept[i]), int(kept[min(i + most, e) - 1])) for h, e in zip(heads.tolist(), ends.tolist()) for i in range(h, e, most)]
-        return out or [Tiles(0, -1)]
+        out = []
+        for i in range(0, len(kept), most):
+            part = kept[i : i + most]
+            heads = np.flatnonzero(np.diff(part, prepend=part[:1] - 2) != 1)
+            ends = np.append(heads[1:], len(part)) - 1
+            out.append(Tiles(*zip(part[heads].tolist(), part[ends].tolist())))
+        return out or [Tiles()]
 
     def read(self, partition: Tiles) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -132,7 +153,7 @@ class TileReader(DataSourceReader):
         o, schema = Options(self.options), to_arrow_schema(self.schema)
         grid, raster, metadata = o.grid, o.raster, o.grid.metadata()
         held, size = [], 0
-        for index in range(partition.first, partition.last + 1):
+        for index in partition.numbers():
             row = grid.tile(index)
             x, y, w, h = grid.window(row["tile_x"], row["tile_y"])
             if o.skip_empty and raster.empty(x, y, w, h):
@@ -167,7 +188,7 @@ class CellReader(TileReader):
 
         o, schema = Options(self.options), to_arrow_schema(self.schema)
         grid, raster = o.grid, o.raster
-        for index in range(partition.first, partition.last + 1):
+        for index in partition.numbers():
             tile_y, tile_x = divmod(index, grid.tiles_x)
             x, y, w, h = grid.window(tile_x, tile_y)
             if o.skip_empty and raster.empty(x, y, w, h):
@@ -229,19 +250,120 @@ class CellSource(DataSource):
 
 def read_tiles(spark, path, bbox=None, where=(), cells: bool = False, **options):
     """A tile (or cell) table. path: a path, a pattern or a list; other options as above, lists as lists."""
-    register(spark)
     plain = {k: json.dumps(list(v)) if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
-    if bbox:
-        plain["bbox"] = json.dumps(list(bbox))
-    if where:
-        plain["where"] = json.dumps([list(w) for w in where])
     plain |= {"path": path} if isinstance(path, str) else {"paths": json.dumps(list(path))}
-    return spark.read.format("raster_cells" if cells else "raster").options(**plain).load()
+    o = Options(plain)
+    grid = o.grid
+    first, end = _span(grid, bbox) if bbox else (0, grid.tiles_x * grid.tiles_y)
+    most = o.per_partition or max(1, 4_000_000 // max(1, grid.block_x * grid.block_y * max(1, len(o.bands))))
+    rows = tile_rows(spark, grid, max(1, -(-(end - first) // most)), first, end)
+    for name, test, value in where:
+        if test not in _TESTS or name.split(".")[0] not in {n for n, t in TILE_FIELDS if t not in (T.BinaryType(), T.StringType())}:
+            raise RasterError(f"Tiles can't be chosen by {name} {test}")
+        rows = rows.where(F.col(name).isin(list(value)) if test == "in" else _TESTS[test](F.col(name), value))
+    if bbox:
+        b = F.col("bbox")
+        rows = rows.where((b["xmin"] <= bbox[2]) & (b["xmax"] >= bbox[0]) & (b["ymin"] <= bbox[3]) & (b["ymax"] >= bbox[1]))
+    scan = Scan(o)
+    if o.skip_empty and not getattr(o.raster, "whole", False):
+        rows = rows.where(~scan.column("empty", T.BooleanType())("id"))
+    if cells:
+        return _cell_rows(rows, o, scan)
+    if o.datacube:
+        return rows.withColumn("datacube", scan.column("cube", T.BinaryType(), *o.bands)("id"))
+    return rows.withColumns({f"databand_{i + 1}": scan.column("cube", T.BinaryType(), i)("id") for i in o.bands})
+
+
+def _span(grid: Grid, bbox) -> tuple[int, int]:
+    """The tile numbers, first to end, among which those that meet a box are: whole rows of tiles."""
+    if grid.transform[2] or grid.transform[4]:
+        return 0, grid.tiles_x * grid.tiles_y
+    rows = sorted((y - grid.transform[3]) / grid.transform[5] / grid.block_y for y in (bbox[1], bbox[3]))
+    low, high = max(0, int(rows[0]) - 1), min(grid.tiles_y, int(max(rows[1], -1)) + 2)
+    return low * grid.tiles_x, max(low, high) * grid.tiles_x
+
+
+def _cell_rows(rows, o: Options, scan: Scan):
+    """The cells of tile rows. Ids number them tile by tile: whole rows of tiles before, then the tiles to the left."""
+    grid = o.grid
+    g, names = grid.transform, [f"band_{i + 1}" for i in o.bands]
+    kind = _ELEMENT[TYPES[grid.data_type][3]]
+    held = rows.select("tile_x", "tile_y", "cols", "rows", *[scan.column("cells", T.ArrayType(kind), i)("id").alias(n) for i, n in zip(o.bands, names)])
+    flat = held.select("tile_x", "tile_y", "cols", "rows", F.posexplode(F.arrays_zip(*names)).alias("_i", "_v"))
+    x, y = F.col("tile_x") * grid.block_x, F.col("tile_y") * grid.block_y
+    flat = flat.select(
+        (y.cast("long") * grid.width + x.cast("long") * F.col("rows") + F.col("_i")).alias("id"),
+        (x + F.col("_i") % F.col("cols")).alias("col"), (y + F.floor(F.col("_i") / F.col("cols"))).cast("int").alias("row"), *[F.col(f"_v.{n}").alias(n) for n in names],
+    )
+    if o.ignore_nodata:
+        hole = lambda n: F.isnan(F.col(n).cast("double")) if grid.nodata != grid.nodata else F.col(n).cast("double") == float(grid.nodata)
+        holes = [hole(n) for n in names]
+        flat = flat.where(~reduce((lambda a, b: a | b) if o.ignore_nodata == 1 else (lambda a, b: a & b), holes))
+    c, r = F.col("col") + 0.5, F.col("row") + 0.5
+    px, py = F.lit(g[0]) + F.lit(g[1]) * c + F.lit(g[2]) * r, F.lit(g[3]) + F.lit(g[4]) * c + F.lit(g[5]) * r
+    from tilewright.functions import st_point
+
+    return flat.select("id", px.alias("x"), py.alias("y"), st_point(px, py).alias("geometry", metadata={"crs": grid.crs}), "col", "row", *names)
+
+
+#: Rasters that a worker has open, by scan.
+_OPEN: dict[str, Options] = {}
+
+
+class Scan:
+    """Arrow functions of tile numbers. What is sent to a task are the planned raster's paths and numbers."""
+
+    def __init__(self, o: Options):
+        self.options, self.name = o, uuid.uuid4().hex
+
+    def column(self, what: str, kind: T.DataType, *bands: int):
+        def run(ids: pa.Array) -> pa.Array:
+            if self.name not in _OPEN:
+                if len(_OPEN) > 3:
+                    _OPEN.clear()
+                _OPEN[self.name] = self.options
+            return getattr(self, what)(_OPEN[self.name], ids.to_pylist(), bands)
+
+        return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)
+
+    @staticmethod
+    def _window(o: Options, index: int) -> tuple[int, int, int, int]:
+        return o.grid.window(index % o.grid.tiles_x, index // o.grid.tiles_x)
+
+    def empty(self, o: Options, ids: list, bands: tuple) -> pa.Array:
+        return pa.array([o.raster.empty(*self._window(o, i)) for i in ids], pa.bool_())
+
+    def _read(self, o: Options, band: int, window: tuple) -> np.ndarray | None:
+        try:
+            return np.ascontiguousarray(o.raster.read(band, *window), DTYPES[o.grid.data_type])
+        except RasterError:
+            if o.permissive:
+                return None
+            raise
+
+    def cube(self, o: Options, ids: list, bands: tuple) -> pa.Array:
+        out = []
+        for i in ids:
+            window = self._window(o, i)
+            cells = [self._read(o, b, window) for b in bands]
+            if any(c is None for c in cells):
+                out.append(empty_cube(o.grid.data_type))
+            else:
+                head = Header(o.format_code, o.grid.data_type, len(bands), window[2], window[3], o.grid.nodata)
+                out.append(head.pack() + compress(b"".join(c.tobytes() for c in cells), o.format_code))
+        return pa.array(out, pa.binary())
+
+    def cells(self, o: Options, ids: list, bands: tuple) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(_ELEMENT[TYPES[o.grid.data_type][3]])
+        found = [o.raster.read(bands[0], *self._window(o, i)).astype(DTYPES[o.grid.data_type]) for i in ids]
+        flat = np.concatenate([c.ravel() for c in found]) if found else np.zeros(0, DTYPES[o.grid.data_type])
+        values = pa.array([Decimal(c) for c in flat.tolist()], kind) if pa.types.is_decimal(kind) else pa.array(flat).cast(kind)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(c.size for c in found)]), pa.int32()), values)
 
 
 def register(spark) -> None:
     """Makes the formats `raster` and `raster_cells` known to a session."""
     spark.dataSource.register(RasterSource)
     spark.dataSource.register(CellSource)
-
-

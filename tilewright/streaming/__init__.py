@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.operators.stats import _fold, stats_of
+from tilewright.operators.stats import running
 from tilewright.sources.reader import TILE_FIELDS, Options, TileReader, Tiles
 
 SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("arrived", T.TimestampType()), *[T.StructField(n, t) for n, t in TILE_FIELDS], T.StructField("datacube", T.BinaryType())])
@@ -29,7 +29,7 @@ def stream_tiles(spark: SparkSession, folder: str, pattern: str = "*.tif", files
             for path, arrived in zip(batch.column(0).to_pylist(), batch.column(1)):
                 given = {**{k: str(v) for k, v in options.items()}, "path": path, "datacube": "true"}
                 grid = Options(given).grid
-                for part in TileReader(given, inner).read(Tiles(0, grid.tiles_x * grid.tiles_y - 1)):
+                for part in TileReader(given, inner).read(Tiles((0, grid.tiles_x * grid.tiles_y - 1))):
                     n = part.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([arrived.as_py()] * n, batch.column(1).type), *part.columns], names=schema.names)
 
@@ -37,9 +37,11 @@ def stream_tiles(spark: SparkSession, folder: str, pattern: str = "*.tif", files
 
 
 def running_stats(tiles: DataFrame, by: list[str], cube: Column | str = "datacube", band: int = 0, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Statistics of the tiles that arrive in each time window, per group; windows close when the watermark passes."""
+    """Statistics of the tiles that arrive in each time window, per group; windows close when the watermark passes.
+
+    What a window keeps is a few sums, however many tiles arrive.
+    """
     from tilewright.functions import cube_state
 
     rows = tiles.withWatermark("arrived", late).select("arrived", *by, cube_state(cube, band).alias("s"))
-    grouped = rows.groupBy(F.window("arrived", window).alias("window"), *by).agg(_fold(F.collect_list("s")).alias("s"))
-    return grouped.select("window", *by, stats_of(F.col("s")).alias("stats"))
+    return rows.groupBy(F.window("arrived", window).alias("window"), *by).agg(running(F.col("s")).alias("stats"))

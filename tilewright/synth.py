@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.cube import TYPE_CODES
+from tilewright.cube import TYPE_CODES, RasterError
 from tilewright.functions import rt_array2cube, st_make_envelope
 from tilewright.sources.files import local
 from tilewright.sources.grid import Grid
@@ -36,10 +36,14 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a local one where that is unset."""
+    """A new folder that all executors see: under spark.checkpoint.dir, or a local one where that is unset in a local session."""
     at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not at or local(at) is None:
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RasterError("spark.checkpoint.dir must name a folder that all machines mount")
         return tempfile.mkdtemp(prefix="tilewright-")
+    if local(at) is None:
+        raise RasterError(f"Rasters are written to mounted paths: {at}")
     made = f"{local(at)}/raster-{uuid.uuid4().hex}"
     os.makedirs(made)
     return made
