@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -32,14 +33,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a local one, in a local session only."""
     at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tilewright-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch: what a task holds of its input, in the JVM and in Python, is a small multiple.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside is planned with batches of BATCH; the session's settings are put back after it."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables of one operator call, in the shared folder. They cut lineage and survive a lost executor."""
 
@@ -47,8 +70,9 @@ class Scratch:
         self.spark = spark
         self.at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(path := f"{self.at}/{name}")
+    def write(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path := f"{self.at}/{name}", compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:

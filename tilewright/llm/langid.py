@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import tidy
+from tilewright.llm.common import Scratch, small_batches, tidy
 
 BITS, ORDERS = 16, (1, 2, 3, 4)
 #: Labelled rows to learn from at most, and the most bytes of text that they may bring to the driver.
@@ -164,7 +164,8 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([total, *df[at].tolist()], pa.int64())], ["slot", "n"])
 
-    sums = learning_rows(docs).select("text").mapInArrow(tidy(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    with small_batches(docs.sparkSession):
+        sums = learning_rows(docs).select("text").mapInArrow(tidy(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     total, df = 0, np.zeros(1 << BITS, np.int64)
     for slot, n in sums:
         if slot < 0:
@@ -218,7 +219,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     The model is fitted on the documents themselves; what it predicts rejects nothing but `und`, and fills the
     column lang (if there is one of type string) where that is null. Where no language was learned, the text alone
-    decides and lang stays. Texts alone go to Python; whole rows stay in the JVM.
+    decides and lang stays. Texts alone go to Python; whole rows stay in the JVM. The result is a written table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs))
 
@@ -235,4 +236,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("_tilewright_told", told("text")).where("_tilewright_told is not null")
     fill = "lang" in docs.columns and docs.schema["lang"].dataType == T.StringType()
     known = F.coalesce("lang", F.nullif("_tilewright_told", F.lit(UNKNOWN))) if fill else None
-    return rows.select(*[known.alias(c) if fill and c == "lang" else F.col(c) for c in docs.columns])
+    return Scratch(docs.sparkSession, "language").write(rows.select(*[known.alias(c) if fill and c == "lang" else F.col(c) for c in docs.columns]), "kept")

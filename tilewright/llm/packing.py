@@ -10,7 +10,7 @@ number that could hold them against 0.8 %; the bound costs a full task 0.17 %.
 
 Defined results: a null text is an empty one, whose only id is the end id 0; only documents longer than a
 sequence are cut, into full pieces and a last one; an empty table gives no rows; rows alike in all
-columns are packed each.
+columns are packed each; other columns of the documents do not matter.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tilewright.llm.columns import byte_sizes
-from tilewright.llm.common import chunks, tidy
+from tilewright.llm.common import Scratch, chunks, tidy
 
 LENGTH, END_ID = 2048, 0
 #: Bins that a task holds open. A full task's pieces by falling length would open some 18,000 at once.
@@ -33,6 +33,8 @@ OPEN_BINS = 16_384
 #: Pieces that one packing task gets, and the least number of tasks.
 PIECES_A_TASK, LEAST_TASKS = 100_000, 2
 CACHE_WORDS = 1_000_000
+#: Bytes of text that are cut into stretches at a time.
+CHUNK_BYTES = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -128,7 +130,7 @@ def document_pieces(docs: DataFrame, path: str | None = None, length: int = LENG
         for batch in batches:
             column, names = batch.column("text"), batch.column("doc_id").to_pylist()
             out: list[tuple] = []
-            for a, b in chunks(byte_sizes(column), 4_000_000):
+            for a, b in chunks(byte_sizes(column), CHUNK_BYTES):
                 for name, ids in zip(names[a:b], encoder.ids(column.slice(a, b - a).to_pylist())):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * length)):
@@ -180,7 +182,11 @@ class BestFit:
 
 
 def pack(pieces: DataFrame, tasks: int, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
-    """pieces with sequence_id long and offset long; pieces needs a column length of 1 to `length`."""
+    """pieces with sequence_id long and offset long; pieces needs a column length of 1 to `length`.
+
+    Columns of pieces that are named like these two give way to them.
+    """
+    pieces = pieces.drop("sequence_id", "offset")
     order = ["length", *(c for c in ("doc_id", "piece") if c in pieces.columns)]
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     at = pieces.columns.index("length")
@@ -195,6 +201,9 @@ def pack(pieces: DataFrame, tasks: int, length: int = LENGTH, open_bins: int = O
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, open_bins: int = OPEN_BINS, cache_words: int = CACHE_WORDS, release: bool = False) -> DataFrame:
-    """Every document's pieces with their places. cache_words: stretches (some 150 bytes each) that a worker keeps."""
-    tasks = max(LEAST_TASKS, -(-docs.count() // PIECES_A_TASK))
-    return pack(document_pieces(docs, path, length, cache_words, release), tasks, length, open_bins)
+    """Every document's pieces with their places. cache_words: stretches (some 150 bytes each) that a worker keeps.
+
+    The pieces are a written table before they are packed: five numbers each, so no text is encoded twice.
+    """
+    pieces = Scratch(docs.sparkSession, "packing").write(document_pieces(docs, path, length, cache_words, release), "pieces")
+    return pack(pieces, max(LEAST_TASKS, -(-pieces.count() // PIECES_A_TASK)), length, open_bins)
