@@ -12,8 +12,14 @@ byte + 256, an AC coefficient has the size 128 + (byte mod 128) and the sign of
 blocks go to luma, then to the two chroma planes, the rest is filled with byte 0. Scans: DC first pass, two
 luma bands and one band for each chroma plane with one bit held back, then refinements of all.
 
-Defined results: a null text is empty; an empty payload is padded to one block; media of broken form raise
-MediaError. Batches are worked off in chunks of about CHUNK_BYTES.
+`store_media` writes the files as a binary column, and `media_digests` reads that column back: payloads from the
+coefficients, and the tensors themselves as a column beside what is computed from them. The query's own files are
+plain on purpose (one code a table, a restart after every block), so that thousands of segments run in step; the
+decoder takes run-length codes, prediction across blocks and runs of ended bands as well.
+
+Defined results: a null text is empty; an empty payload is padded to one block; rows alike give rows alike; media
+of broken form raise MediaError; an empty table gives no rows; columns other than doc_id and text do not matter.
+Batches are worked off in chunks of about CHUNK_BYTES.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tilewright.llm.columns import byte_sizes
-from tilewright.llm.common import chunks
+from tilewright.llm.common import Scratch, chunks, tidy
 
 BLOCK, MCU_BLOCKS = 64, 6
 WIDTH_MCUS, HEIGHT_MCUS = 32, 4000
@@ -542,7 +548,12 @@ def encode_texts(docs: DataFrame) -> DataFrame:
                 files = encode(payloads, [struct.pack(">QQ", len(x), len(p)) for x, p in zip(raw, payloads)])
                 yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array(files, pa.binary())], ["doc_id", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, media binary")
+
+
+def store_media(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """`encode_texts` as a table of the shared folder, read back."""
+    return scratch.write(encode_texts(docs), "media", compression="zstd")
 
 
 def decode_media(media: DataFrame) -> DataFrame:
@@ -555,16 +566,16 @@ def decode_media(media: DataFrame) -> DataFrame:
                 found = tensors(*coefficients(files[a:b]))
                 yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array([x.shape[0] for x in found], pa.int32()), pa.array([x.shape[1] for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "height", "width", "rgb"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    return media.select("doc_id", "media").mapInArrow(tidy(run), "doc_id long, height int, width int, rgb binary")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary"
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """DIGEST of media that encode_texts made: payloads read back from coefficients, features from RGB tensors."""
+    """DIGEST of media that encode_texts made: payloads read back from coefficients, RGB tensors and features of these."""
     names = [x.split()[0] for x in DIGEST.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
         for batch in batches:
@@ -577,7 +588,7 @@ def media_digests(media: DataFrame) -> DataFrame:
                     payload = payload_of(image, coefs, size)
                     means = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) / (rgb.shape[0] * rgb.shape[1])
                     feature = f"{rgb.shape[1]}x{rgb.shape[0]} " + " ".join(f"{x:.3f}" for x in means)
-                    rows.append((name, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                    rows.append((name, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature, *rgb.shape[:2], rgb.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
-    return media.mapInArrow(run, DIGEST)
+    return media.select("doc_id", "media").mapInArrow(tidy(run), DIGEST)
