@@ -1,11 +1,15 @@
 """Weighted rendezvous sharding, in DataFrame functions alone.
 
-Every shard bids -ln(u) / weight for a record, u being a uniform value in (0, 1) hashed from the record's
-key and the shard's number; the least bid wins. A bid depends on one key and one shard, so one more shard
-takes records only into itself, and a changed weight moves records only from or to that shard. Places
-inside a shard are counted in 4096 blocks of a hash of the key: the 4096 x shards block counts are the only
-rows that meet in one task, whatever the input, and records of one key are further told apart by size and
-checksum. A null key is a key like any other; a null text has size 1 and the checksum of no bytes.
+Every shard bids -ln(u) / weight for a record, u being a uniform value in (0, 1) taken from the MD5 digest of
+the shard's number and the record's key; the least bid wins, of equal ones the least shard's. A bid depends on
+one key and one shard, so one more shard takes records only into itself, and a changed weight moves records only
+from or to that shard. Places inside a shard are counted in 4096 blocks of a digest of key, checksum and size: the
+4096 x shards block counts are the only rows that meet in one task, whatever the input, and records of one key
+are further told apart by size and checksum.
+
+Defined results: a null key is a key like any other; a null text has size 1 and the checksum of no bytes; rows
+alike in key, size and checksum get consecutive slots; an empty table gives no rows; other columns of the records
+do not matter, as only the key and those that tell records apart are taken along.
 """
 
 from __future__ import annotations
@@ -18,9 +22,13 @@ from pyspark.sql import functions as F
 BLOCKS = 4096
 
 
+def _digits(n: int, *parts: Column) -> Column:
+    """The first n hex digits of the MD5 digest of the parts, as a number."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary")), 1, n), 16, 10).cast("long")
+
+
 def bid(key: Column, shard: int, weight: float = 1.0) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit("shard"), F.lit(shard), F.coalesce(key.cast("string"), F.lit("\x00null"))), 11)
-    return -F.ln((bits.cast("double") + 0.5) / float(2**53)) / float(weight)
+    return -F.ln((_digits(13, F.lit(shard), key).cast("double") + 0.5) / float(2**52)) / float(weight)
 
 
 def rendezvous(key: Column, weights: Mapping[int, float]) -> Column:
@@ -38,7 +46,7 @@ def shard_records(df: DataFrame, key: str, weights: Mapping[int, float], *order:
     shuffle, and get consecutive slots, so that no record repeated however often lands in one task.
     """
     alike = df.groupBy(key, *order).agg(F.count("*").alias("_n"))
-    placed = alike.withColumn("shard", rendezvous(F.col(key), weights)).withColumn("_block", F.pmod(F.xxhash64(key, *order), F.lit(BLOCKS)).cast("int"))
+    placed = alike.withColumn("shard", rendezvous(F.col(key), weights)).withColumn("_block", F.pmod(_digits(8, *[F.col(c) for c in (key, *order)]), F.lit(BLOCKS)).cast("int"))
     counts = placed.groupBy("shard", "_block").agg(F.sum("_n").alias("_n"))
     offsets = counts.select("shard", "_block", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_block")) - F.col("_n")).alias("_offset"))
     inner = F.sum("_n").over(Window.partitionBy("shard", "_block").orderBy(key, *order)) - F.col("_n")
