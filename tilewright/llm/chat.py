@@ -10,7 +10,8 @@ Conversations are streamed: a task holds one turn at a time, however many turns
 results: a null text is empty, a null role is the empty role name, a null turn is before all others, and
 ties in turn are put in order of role and text; a null conv_id is a conversation; roles that the template
 does not name are formatted like the user's, without loss, and break the turn order; conversations that
-break it are formatted, with valid false and the first error.
+break it are formatted, with valid false and the first error; rows alike are turns each; an empty table gives no
+rows; other columns of the conversations do not matter.
 """
 
 from __future__ import annotations

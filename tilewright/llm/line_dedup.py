@@ -7,8 +7,8 @@ component of such links, found by distributed union-find, one line stays: the le
 
 Defined results: a line of white space alone is never removed; a line shorter than a shingle is like its
 equals only; a null text has no lines and stays null; rows alike in doc_id and text are treated alike
-(the line that stays does so in each); a null doc_id counts as the least. Lines are kept whole however
-long they are.
+(the line that stays does so in each); a null doc_id counts as the least; an empty table gives no rows.
+Lines are kept whole however long they are.
 """
 
 from __future__ import annotations

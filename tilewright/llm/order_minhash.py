@@ -12,7 +12,8 @@ Equal texts are one node named by a 160-bit hash. Components of links are classe
 counts as the empty text; documents without words are alike only if their texts are equal; a document of
 under 5 words has one k-mer, all its words. The class id is the least doc_id of the class (null only where
 all are), and the row with that doc_id is the one kept; rows alike in doc_id and text are kept alike by
-`near_duplicates`, while `drop_near_duplicates` leaves one.
+`near_duplicates`, while `drop_near_duplicates` leaves one; an empty table gives no rows; other columns of the
+documents are kept by `drop_near_duplicates`, and may have any names.
 """
 
 from __future__ import annotations
