@@ -10,7 +10,7 @@ from tilewright.llm.common import Scratch, table
 
 
 #: Python workers serve one stage after another, so what the tokenizer keeps is small here.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
