@@ -1,6 +1,7 @@
 """Grids, files, mosaics, warping, the data sources and the sink."""
 
 import json
+import os
 import struct
 import zlib
 
@@ -388,3 +389,48 @@ def test_statements(spark, overlay, tmp_path):
     with pytest.raises(ValueError):
         run(spark, "COPY (SELECT 1) TO 'x' WITH (FORMAT CSV)")
     assert run(spark, "SELECT [1, 2, 3][1] AS x, size(['a[', 'b']) AS n").first() == (2, 2)
+
+
+def test_stream_windows_and_sink(spark, tmp_path):
+    """Session windows, and files written from micro-batches."""
+    from tilewright.streaming import running_stats, stream_tiles, write_stream
+
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    for i, day in enumerate((0, 1, 9)):
+        cells = np.full((1, 4, 4), i + 1, "f4")
+        path = raster(folder / f"r{i}.tif", cells, nodata=-1.0, transform=(0.0, 1.0, 0.0, 4.0, 0.0, -1.0))
+        os.utime(path, (1_600_000_000 + 86_400 * day,) * 2)
+    t = stream_tiles(spark, str(folder), files_per_trigger=1, blocksize_x=4, blocksize_y=4)
+    running_stats(t, ["tile_x"], gap="2 days", late="100 days").writeStream.option("checkpointLocation", str(tmp_path / "s")).outputMode("complete").format("memory").queryName("sessions").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.stats.valid_count, r.stats.sum) for r in spark.table("sessions").collect()) == [(16, 48.0), (32, 48.0)]
+    write_stream(t, str(out), str(tmp_path / "w"), srs="EPSG:25830").trigger(availableNow=True).start().awaitTermination()
+    files = sorted(out.glob("*.tif"))
+    assert len(files) == 3 and sorted(float(open_file(str(f)).read(0, 0, 0, 4, 4).mean()) for f in files) == [1.0, 2.0, 3.0]
+
+
+def test_box_join(spark):
+    from tilewright.operators.spatial import box_join
+
+    rng = np.random.default_rng(8)
+    boxes = lambda n, most: [(i, *(float(v) for v in (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(zip(rng.integers(-40, 40, n), rng.integers(-40, 40, n), rng.integers(0, most, n), rng.integers(0, most, n)))]
+    left, right = boxes(60, 5) + [(100, None, 0.0, 1.0, 1.0), (101, -1000.0, -1000.0, 1000.0, 1000.0)], boxes(50, 30) + [(7, 3.0, 3.0, 3.0, 3.0)]
+    names = lambda s: f"{s} int, {s}0 double, {s}1 double, {s}2 double, {s}3 double"
+    columns = lambda s: [F.col(f"{s}{i}") for i in range(4)]
+    a, b = spark.createDataFrame(left, names("l")), spark.createDataFrame(right, names("r"))
+    want = sorted((p[0], q[0]) for p in left for q in right if p[1] is not None and p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    for rows in (0, 1000):
+        assert sorted(map(tuple, box_join(a, b, columns("l"), columns("r"), rows).select("l", "r").collect())) == want
+
+
+def test_scans_prune_by_themselves(spark, overlay, tmp_path):
+    """Columns that nobody asks for are not read, filters choose tiles before the bands are, broken bands do no harm then."""
+    path, cells = overlay
+    t = read_tiles(spark, path, blocksize_x=32, blocksize_y=32)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan(t.where("tile_x = 3 and bbox.ymax < 4724500").select("id", "cols", "metadata"))
+    cut = plan(t.where("tile_x = 3").select("databand_2"))
+    assert cut.index("ArrowEvalPython") < cut.index("Filter") and cut.count("run(") <= 3
+    assert t.where("tile_x = 3").count() == 6 and t.limit(4).select("databand_1").count() == 4
+    with pytest.raises(RasterError, match="open_options"):
+        read_tiles(spark, path, open_options=["X=Y"])

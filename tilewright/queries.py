@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from tilewright.sources.grid import Grid
 from tilewright.sources.reader import read_tiles
 from tilewright.sources.writer import write_raster
 from tilewright.sql import run
+from tilewright.streaming import mean_changes, running_stats, stream_tiles
 from tilewright.synth import file, folder, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,3 +560,59 @@ def rotated_grid(spark, d):
     world = lambda c, r: (F.lit(g[0] + g[1] * c + g[2] * r), F.lit(g[3] + g[4] * c + g[5] * r))
     at = lambda c, r: rt.rt_coord_value("datacube", F.lit(0), *world(c + 0.5, r + 0.5), text, F.lit(-1.0))
     return _part_tiles(spark, d).select("tile", at(5, 9).alias("one"), at(0, 15).alias("other"))
+
+
+# ---- streams, run until nothing is left ----
+
+
+def _streamed(spark, df: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives in the end: its last whole result, or all that it added."""
+    at = folder(spark)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{at}/out")
+
+    df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/out")
+
+
+def _arriving(spark, d, *files: tuple[str, str, str]) -> str:
+    """A folder of files (name, band, tiles) that came a day after one another."""
+    at = folder(spark)
+    for i, (name, band, where) in enumerate(files):
+        write_raster(tiles(spark, d).where(where).select("geometry", F.col(band).alias("v")), f"{at}/{name}.tif", srs="EPSG:25830", databand_columns=["v"])
+        os.utime(f"{at}/{name}.tif", (1_600_000_000 + 86_400 * i,) * 2)
+    return at
+
+
+@query(CELLS + f"SELECT tile_x, {_STATS.replace('v ', 'a ').replace('(v)', '(a)')} FROM cells GROUP BY tile_x")
+def stream_stats(spark, d):
+    """Files that arrive one by one, and statistics by column of tiles that run along."""
+    at = _arriving(spark, d, ("left", "a", "tile_x < 13"), ("right", "a", "tile_x >= 13"))
+    t = stream_tiles(spark, at, files_per_trigger=1, blocksize_x=8, blocksize_y=8)
+    place = F.round(((F.col("x") - 8) - 1000) / 16).cast("int")
+    return _streamed(spark, running_stats(t.withColumn("column", place), ["column"], window="10000 days"), "complete").select(F.col("column").alias("tile_x"), *_flat())
+
+
+_MEANS = "SELECT vec_id, round(avg(a) FILTER (WHERE a <> -9999), 6) AS first, round(avg(b) FILTER (WHERE b <> -9999), 6) AS second FROM cells WHERE tile_x < 6 GROUP BY vec_id"
+
+
+@query(CELLS + f", m AS ({_MEANS}) SELECT vec_id, 1 AS arrivals, CAST(NULL AS DOUBLE) AS before, first AS mean FROM m UNION ALL SELECT vec_id, 2, first, second FROM m")
+def stream_changes(spark, d):
+    """Stateful: the second file's tiles know the means of the first one's."""
+    at = _arriving(spark, d, ("first", "a", "tile_x < 6"), ("second", "b", "tile_x < 6"))
+    t = stream_tiles(spark, at, files_per_trigger=1, blocksize_x=8, blocksize_y=8)
+    number = F.floor((50000 - F.col("y")) / 16) * 25 + F.floor((F.col("x") - 1000) / 16)
+    c = _streamed(spark, mean_changes(t.withColumn("place", number.cast("string")), "place"), "append")
+    return c.select(F.col("place").cast("long").alias("vec_id"), F.col("arrivals").cast("int").alias("arrivals"), F.round("before", 6).alias("before"), F.round("mean", 6).alias("mean"))
+
+
+@query(CELLS + 'SELECT tile_x, CAST(hop AS INT) AS hop, count(*) FILTER (WHERE a <> -9999) AS n FROM (SELECT *, unnest([tile_x // 2, tile_x // 2 - 1]) AS hop FROM cells) GROUP BY tile_x, hop')
+def stream_windows(spark, d):
+    """Sliding windows over a stream: of four days, one every second day, where a column of tiles arrives each day."""
+    at = folder(spark)
+    tiles(spark, d).withColumn("arrived", F.timestamp_seconds(F.lit(1_600_128_000) + F.col("tile_x") * 86_400)).write.parquet(f"{at}/in")
+    t = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
+    c = _streamed(spark, running_stats(t, ["tile_x"], "a", window="4 days", slide="2 days", late="100 days"), "complete")
+    first = F.unix_timestamp("window.start")
+    return c.select("tile_x", F.floor((first - 1_600_128_000) / (2 * 86_400)).cast("int").alias("hop"), F.col("stats.valid_count").alias("n"))

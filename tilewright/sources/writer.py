@@ -29,7 +29,7 @@ from tilewright.sources.files import local, open_output
 from tilewright.sources.png import world_file, write_png
 from tilewright.sources.tiff import TiffWriter
 
-_KNOWN = {"path", "driver", "creation_options", "resampling", "envelope", "compute_valid_envelope", "srs", "geometry_column", "databand_columns", "mode"}
+_KNOWN = {"path", "driver", "creation_options", "resampling", "envelope", "compute_valid_envelope", "srs", "geometry_column", "databand_columns", "mode", "count_file"}
 
 
 @dataclass
@@ -76,6 +76,7 @@ class RasterWriter(DataSourceWriter):
         if os.path.exists(self.target) and not overwrite:
             raise RasterError(f"The file exists: {self.path}")
         self.spool = f"{self.target}.spool-{uuid.uuid4().hex}"
+        self.count_file = options.get("count_file")
 
     def write(self, iterator) -> Spooled:
         os.makedirs(self.spool, exist_ok=True)
@@ -118,6 +119,9 @@ class RasterWriter(DataSourceWriter):
             parts = [m for m in messages if m is not None and m.tiles]
             if parts:
                 self._assemble(parts)
+            if self.count_file:  # of the tasks whose output counts, however often one was tried
+                with open(self.count_file, "w") as f:
+                    f.write(str(sum(m.rows for m in messages if m is not None)))
         finally:
             shutil.rmtree(self.spool, ignore_errors=True)
 
@@ -153,9 +157,19 @@ class RasterWriter(DataSourceWriter):
                     held.popitem(last=False)
             return held[i]
 
+        block = height if self.driver == "PNG" else int(self.creation.get("BLOCKSIZE", self.creation.get("BLOCKXSIZE", 512 if self.driver == "COG" else 256)))
+        # the tiles that meet each row of blocks, so that a block is held against these alone
+        by_row: dict[int, list[int]] = {}
+        for i, (low, high) in enumerate(zip(np.maximum(places[:, 1], 0) // block, (np.minimum(places[:, 3], height) - 1) // block)):
+            for ty in range(low, high + 1):
+                by_row.setdefault(ty, []).append(i)
+        rows_of = {ty: np.array(found) for ty, found in by_row.items()}
+
         def window(x: int, y: int, w: int, h: int) -> np.ndarray:
+            near = rows_of.get(y // block, np.zeros(0, int))
+            p = places[near]
             out = np.full((bands, h, w), fill).astype(dtype)
-            for i in np.flatnonzero((places[:, 0] < x + w) & (places[:, 2] > x) & (places[:, 1] < y + h) & (places[:, 3] > y)):
+            for i in near[(p[:, 0] < x + w) & (p[:, 2] > x) & (p[:, 1] < y + h) & (p[:, 3] > y)]:
                 px0, py0, px1, py1 = places[i]
                 cx0, cx1, cy0, cy1 = max(x, px0), min(x + w, px1), max(y, py0), min(y + h, py1)
                 tile = cells(int(i))
@@ -176,7 +190,6 @@ class RasterWriter(DataSourceWriter):
                 with open(world_file(self.target), "w") as f:
                     f.write("".join(f"{v!r}\n" for v in (transform[1], 0.0, 0.0, transform[5], transform[0] + transform[1] / 2, transform[3] + transform[5] / 2)))
         else:
-            block = int(self.creation.get("BLOCKSIZE", self.creation.get("BLOCKXSIZE", 512 if self.driver == "COG" else 256)))
             scheme = self.creation.get("COMPRESS", "LZW" if self.driver == "COG" else "NONE")
             with open_output(partial) as f:
                 out = TiffWriter(f, width, height, bands, dtype, nodata, crs, transform, scheme, block)
@@ -197,15 +210,12 @@ def write_raster(df, path: str, **options) -> int:
 
     spark = df.sparkSession
     register(spark)
-    counter = spark.sparkContext.accumulator(0)
     plain = {k: json.dumps(v) if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
-
-    def counted(batches):
-        for batch in batches:
-            counter.add(batch.num_rows)
-            yield batch
-
-    df.mapInArrow(counted, df.schema).write.format("raster").mode("overwrite").options(**plain).save(path)
-    return counter.value
-
-
+    counted = f"{os.path.abspath(local(path) or '')}.count-{uuid.uuid4().hex}"
+    try:
+        df.write.format("raster").mode("overwrite").options(**plain, count_file=counted).save(path)
+        with open(counted) as f:
+            return int(f.read())
+    finally:
+        if os.path.exists(counted):
+            os.remove(counted)
