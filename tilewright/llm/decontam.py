@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import Scratch, ascii_lower, text_key
 
 WINDOW, GRAM = 8, 5
+#: Windows of the benchmark (some 100 bytes each) that are broadcast at most; beyond it, tasks that one window is dealt over.
+BROADCAST_WINDOWS, SALT = 200_000, 32
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -94,17 +96,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         part = items.where(F.size("words") >= window) if n == window else items.where(F.size("words") == n)
         part = _windows(part, n, "item_id").select("item_id", F.lit(n).alias("n"), "window").distinct()
         table = part if table is None else table.unionByName(part)
-    table = scratch.write(table, "windows")
+    # a window once, with the set of all its items: a passage that many items share is no more rows than any other
+    table = table.groupBy("n", "window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    table = scratch.write(table.withColumn("set", F.sha1(F.to_json("items").cast("binary"))), "windows")
+    sets = scratch.write(table.groupBy("set").agg(F.first("items").alias("items")), "sets")
+    size = table.agg(F.count("*").alias("windows"), F.sum(F.size("items")).alias("items")).first()
+    few = size["windows"] <= BROADCAST_WINDOWS and (size["items"] or 0) <= 4 * BROADCAST_WINDOWS
     met = None
     for n in sizes:
-        here = _windows(found, n, "id").join(table.where(F.col("n") == n).select("window").distinct(), "window", "left_semi").withColumn("n", F.lit(n))
+        known_here = table.where(F.col("n") == n).select("window", "set")
+        here = _windows(found, n, "id")
+        if few:
+            here = here.join(F.broadcast(known_here), "window")
+        else:  # a window that a third of all texts hold is dealt over SALT tasks
+            here = here.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT))).join(known_here.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))), ["window", "salt"])
+        here = here.select("id", "at", "set", F.lit(n).alias("n"))
         met = here if met is None else met.unionByName(here)
     met = scratch.write(met, "met")
     covered = met.groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
     covered = covered.select("id", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))).cast("long").alias("n_hit"))
-    named = met.select("id", "n", "window").distinct().join(table, ["n", "window"]).groupBy("id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    named = met.select("id", "set").distinct().join(F.broadcast(sets) if few else sets, "set")
+    named = named.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     results = scratch.write(covered.join(named, "id"), "results")
-    scratch.drop("known", "hits", "found", "met")
+    scratch.drop("known", "hits", "found", "met", "sets")
 
     sized = split.select("doc_id", "id", F.size("words").cast("long").alias("n_words"))
     items_col = F.coalesce("items", F.array().cast("array<string>"))
