@@ -67,16 +67,16 @@ def test_possible_pairs():
                 assert got[i, j] == (not whole or both / whole >= 0.5 - 1e-6)
 
 
-@pytest.mark.parametrize("wide", [0, 15, 1000])
-def test_links_of_large_buckets(spark, monkeypatch, wide):
-    """Buckets beyond GROUP: leaders, finer buckets and blocks find the components that all pairs give."""
+@pytest.mark.parametrize("wide,size", [(0, 1), (150, 1), (1_000_000, 1), (1_000_000, 5_000_000)])
+def test_links_of_large_buckets(spark, monkeypatch, wide, size):
+    """Buckets beyond GROUP or GROUP_BYTES: leaders, finer buckets and blocks find the components that all pairs give."""
     monkeypatch.setattr(links, "GROUP", 10)
     monkeypatch.setattr(links, "SMALL", 3)
     monkeypatch.setattr(links, "WIDE", wide)
     rng = random.Random(5)
     items = [(i, 100 * rng.randrange(12) + rng.randrange(9)) for i in range(150)]
     alike = lambda x, y: abs(x - y) <= 10
-    signed = spark.createDataFrame([(i, [1, v // 100, v // 400]) for i, v in items], "id long, bands array<long>")
+    signed = spark.createDataFrame([(i, [1, v // 100, v // 400], size) for i, v in items], "id long, bands array<long>, size long")
     held = spark.createDataFrame([(i, str(v)) for i, v in items], "id long, text string")
     found = links.verified_links(signed, lambda ids: held.join(ids, "id"), int, alike, Scratch(spark, "t"), ((0,), (1, 2)), lambda x: np.array([7], np.uint64), 0.8).collect()
     want = [(i, j) for (i, v), (j, w) in itertools.combinations(items, 2) if alike(v, w)]
@@ -99,7 +99,7 @@ def test_links_of_pairs_that_share_a_wide_band_alone(spark, monkeypatch, least):
     rng.shuffle(texts)
     sets = [frozenset(t) for t in texts]
     alike = lambda x, y: len(x & y) / len(x | y) >= least
-    signed = spark.createDataFrame([(i, [1, 1000 + i]) for i in range(len(texts))], "id long, bands array<long>")
+    signed = spark.createDataFrame([(i, [1, 1000 + i], 1) for i in range(len(texts))], "id long, bands array<long>, size long")
     held = spark.createDataFrame([(i, " ".join(map(str, t))) for i, t in enumerate(texts)], "id long, text string")
     found = links.verified_links(signed, lambda ids: held.join(ids, "id"), lambda t: frozenset(map(int, t.split())), alike, Scratch(spark, "t"), ((0,), (1,)), lambda x: np.array(sorted(x), np.uint64), least).collect()
     want = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(sets[i], sets[j])]
@@ -339,11 +339,13 @@ def test_license_postings_are_intersected():
     assert len(index.postings[mit]) == 2 and index.postings[mit][0][0] == "mit"
     assert all(len(p) == min(licenses.RARE, len(key)) for p, (_, key) in zip(index.postings, index.keys))
     words = "mit x license mit license y mit".split()
-    assert [o for t, o in index.candidates(words) if t == mit] == [1]
+    assert [o for t, o in index.candidates(words) if t == mit] == [0]
     assert [(t, at) for t, at, _ in index.scan(words) if t == mit] == [(mit, 3)]
 
 
-def test_decontamination_against_brute_force(spark, empty):
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_decontamination_against_brute_force(spark, empty, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", broadcast)
     rng = random.Random(9)
     items = [(i, sentence(rng, rng.randint(8, 30))) for i in range(20)] + [(20, "lone"), (21, "two words"), (22, ""), (23, None), (10, "again the tenth item is here with more words"), (3, "Ünï WORD")]
     texts = []

@@ -3,7 +3,8 @@
 Every line gets a MinHash signature over its 8-character shingles, cut into bands; lines that share a
 band are held together by exact Jaccard similarity of their shingle sets (0.8 or more), and of each
 component of such links, found by distributed union-find, one line stays: the least by
-(doc_id, hash of its text, line number). Equal lines are one node and are never paired.
+(doc_id, hash of its text, line number). Equal lines are one node and are never paired; lines are told apart by 128
+bits of hash, and lines that share the first 64 with another are not linked, so that no hash removes an unlike line.
 
 Defined results: a line of white space alone is never removed; a line shorter than a shingle is like its
 equals only; a null text has no lines and stays null; rows alike in doc_id and text are treated alike
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -72,7 +73,7 @@ def _sign(batches):
     for batch in batches:
         docs, hashes = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
         for a, b in chunks(byte_sizes(batch.column("text")), CHUNK_CHARS):
-            owner, number, k1, k2, fresh, new = [], [], [], [], [], []
+            owner, number, k1, k2, size, fresh, new = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").slice(a, b - a).to_pylist(), a):
                 for n, line in enumerate(text.split("\n")):
                     if not line.strip(BLANK):
@@ -87,11 +88,12 @@ def _sign(batches):
                     number.append(n)
                     k1.append(key)
                     k2.append(xxh64_intdigest(data, 43))
+                    size.append(len(line))
             count = np.zeros(len(owner), np.int32)
             count[fresh] = BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(line_bands(new).view(np.int64).ravel(), pa.int64()))
             whole = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in owner], pa.int64()), pa.array([hashes[i] for i in owner], pa.int64()), pa.array(number, pa.int32()), whole(k1), whole(k2), bands], ["doc_id", "th", "line_no", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in owner], pa.int64()), pa.array([hashes[i] for i in owner], pa.int64()), pa.array(number, pa.int32()), whole(k1), whole(k2), bands, pa.array(size, pa.int64())], ["doc_id", "th", "line_no", "k1", "k2", "bands", "size"])
 
 
 def line_codes(line: str, k: int = SHINGLE) -> tuple[str, np.ndarray]:
@@ -131,17 +133,19 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.select("doc_id", "text")
     lines = docs.where("text is not null").select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.xxhash64("line").alias("k1"), "line")
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    signed = scratch.write(rows.mapInArrow(tidy(_sign), "doc_id long, th long, line_no int, k1 long, k2 long, bands array<long>"), "signed")
+    signed = scratch.write(rows.mapInArrow(tidy(_sign), "doc_id long, th long, line_no int, k1 long, k2 long, bands array<long>, size long"), "signed")
 
     def texts(ids: DataFrame) -> DataFrame:
         ids = scratch.write(ids.withColumnRenamed("id", "k1"), "ids")
         few = ids.count() <= BROADCAST_IDS
         return lines.join(F.broadcast(ids) if few else ids, "k1", "left_semi").groupBy(F.col("k1").alias("id")).agg(F.max("line").alias("text"))
 
-    links = verified_links(signed.where("size(bands) > 0").select(F.col("k1").alias("id"), "bands"), texts, line_codes, similar_lines, scratch, PHASES, lambda x: x[1], SIMILAR)
+    links = verified_links(signed.where("size(bands) > 0").select(F.col("k1").alias("id"), "bands", (8 * F.col("size")).alias("size")), texts, line_codes, similar_lines, scratch, PHASES, lambda x: x[1], SIMILAR)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("n"))
-    classes = classes.join(roots, classes.k1 == roots.node, "left").where("n > 1 or root is not null")
+    # a line is named by 128 bits; links name it by the first 64, and hold for lines that share these with no other
+    alone = F.min("k2").over(Window.partitionBy("k1")) == F.max("k2").over(Window.partitionBy("k1"))
+    classes = classes.join(roots, classes.k1 == roots.node, "left").withColumn("root", F.when(alone, F.col("root"))).where("n > 1 or root is not null")
     classes = classes.select("k1", "k2", "first", F.coalesce("root", "k1").alias("c1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(F.lit(0).cast("long")).alias("c2"), F.col("root").isNotNull().alias("fuzzy"))
     classes = scratch.write(classes, "classes")
     owners = classes.groupBy("c1", "c2", "fuzzy").agg(F.min("first").alias("owner"))

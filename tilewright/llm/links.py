@@ -4,16 +4,16 @@ A bucket is a band value that at least two items share. A bucket of up to SMALL
 each verified once however many bands propose it. A bucket of up to GROUP items is worked off in one task
 that holds an item against the members of components it is not linked with yet, so it finds the bucket's
 exact components. In a larger one every member is held against the bucket's leader (its least id): one pair
-a member, in a join that Spark can split.
+a member, in a join that Spark can split. Buckets whose items are larger than GROUP_BYTES together count as larger.
 
 Bands are taken in phases. After a phase the components of what is linked so far are known, and in the next one
 only items of different components are held against each other: buckets inside one component need no work. At
 last, large buckets that still hold several components are finished: the items outside the leader's component
 (the rest) are cut into blocks, the others too, and each block of the rest is held against every block in a task of
-its own. Items of buckets with a very large rest are dealt anew instead, by a prefix filter: codes are ordered from
-rare to common, and two items that are similar enough share one of the first few of each, so every such code is a
-bucket, worked off like the others. No bucket is capped or dropped, no pair that shares a band is lost, and no task
-gathers more than about GROUP items.
+its own. Items of buckets in which that would be more than WIDE pairs are dealt anew instead, by a prefix filter: codes
+are ordered from rare to common, and two items that are similar enough share one of the first few of each, so every such
+code is a bucket, worked off like the others. No bucket is capped or dropped, no pair that shares a band is lost, and no
+task gathers more than about GROUP items or GROUP_BYTES, or two items if these are larger.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ from tilewright.llm.graph import components
 SMALL, GROUP = 8, 512
 #: Shared buckets up to this number (8 bytes each) are broadcast.
 BROADCAST_BUCKETS = 3_000_000
-#: The items of buckets with more than this outside the leader's component are dealt anew by their rare codes.
-WIDE = 32 * GROUP
+#: What the items of a group may take together.
+GROUP_BYTES = 32_000_000
+#: The items of buckets with more pairs than this between the rest and all are dealt anew by their rare codes.
+WIDE = 64 * GROUP * GROUP
 
 
 def possible_pairs(codes: list[np.ndarray], similar: float, width: int = 8192) -> np.ndarray:
@@ -79,7 +81,7 @@ def group_links(items: list, known: list, similar: Callable) -> list[tuple[int,
 def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable, scratch: Scratch, phases: Sequence[Sequence[int]], codes: Callable, least: float) -> DataFrame:
     """(a, b) links between similar items, written to the shared folder; a < b.
 
-    signed: (id, bands array<long>); rows of the same id are alike. texts: ids -> (id, text), one row an id;
+    signed: (id, bands array<long>, size: bytes that the prepared item takes); rows of the same id are alike. texts: ids -> (id, text), one row an id;
     text may be anything that prepare takes. similar(prepare(text), prepare(text)) tells whether two items are
     alike. phases: the numbers of the bands of each phase. codes(prepared) gives sorted distinct codes, whose
     Jaccard similarity is at least that of the items; where it is below `least`, items of a group aren't compared.
@@ -138,13 +140,13 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         placed = ranked.select("id", "total", (F.col("total") - F.size("held")).alias("alone"), F.posexplode("held").alias("place", "one"))
         room = lambda share: F.col("total") - F.ceil(share * F.col("total") - 1e-6)
         place = F.col("alone") + F.col("place")
-        placed = placed.where(place <= room(least)).select(F.col("one.code").alias("bucket"), "id", (place <= room(2 * least / (1 + least))).alias("first"))
+        placed = placed.where(place <= room(least)).select(F.col("one.code").alias("bucket"), "id", "total", (place <= room(2 * least / (1 + least))).alias("first"))
         placed = scratch.write(placed, "placed")
         useful = placed.groupBy("bucket").agg(F.max("first").alias("some"), F.count("*").alias("n")).where("some and n > 1")
-        return placed.select("bucket", "id").join(useful.select("bucket"), "bucket", "left_semi")
+        return placed.select("bucket", "id", (8 * F.col("total")).cast("long").alias("size")).join(useful.select("bucket"), "bucket", "left_semi")
 
-    exploded = signed.select("id", F.posexplode("bands").alias("band", "value"))
-    rows = exploded.select("band", F.xxhash64("band", "value").alias("bucket"), "id")
+    exploded = signed.select("id", "size", F.posexplode("bands").alias("band", "value"))
+    rows = exploded.select("band", F.xxhash64("band", "value").alias("bucket"), "id", "size")
     half = max(1, GROUP // 2)
     two = rows.groupBy("bucket").agg(F.min("id").alias("c0"), F.max("id").alias("c1")).where("c1 > c0").select("bucket")
     two = scratch.write(two, "two")
@@ -161,13 +163,15 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
         return out
 
     def members_of(rows: DataFrame, name: str, over: int = 1) -> DataFrame:
-        """(bucket, id, comp, lead, n) of the buckets of more than `over` items that hold several components."""
+        """(bucket, id, size, comp, lead, n, wide) of the buckets of more than `over` items that hold several components; wide: too large for a task."""
         named = rows.withColumn("comp", F.col("id")) if roots is None else rows.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-        heads = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("id", "comp")).alias("lead"), F.count("*").alias("n")).where((F.col("c1") > F.col("c0")) & (F.col("n") > over))
-        return scratch.write(named.join(heads.select("bucket", "lead", "n"), "bucket"), name)
+        heads = named.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("id", "comp")).alias("lead"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
+        heads = heads.withColumn("wide", (F.col("n") > SMALL) & ((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES)))
+        heads = heads.where((F.col("c1") > F.col("c0")) & ((F.col("n") > over) | (F.col("wide") & F.lit(over > 1))))
+        return scratch.write(named.join(heads.select("bucket", "lead", "n", "wide"), "bucket"), name)
 
     def grouped(members: DataFrame, name: str) -> DataFrame:
-        some = members.where((F.col("n") > SMALL) & (F.col("n") <= GROUP)).join(held, "id").select("bucket", "id", "comp", "text")
+        some = members.where((F.col("n") > SMALL) & ~F.col("wide")).join(held, "id").select("bucket", "id", "comp", "text")
         return scratch.write(some.groupBy("bucket").applyInArrow(in_group, schema), name)
 
     def pairs_of(members: DataFrame) -> DataFrame:
@@ -180,35 +184,37 @@ def verified_links(signed: DataFrame, texts: Callable[[DataFrame], DataFrame], p
     outside = F.col("comp") != F.col("lead.comp")
     for phase in phases:
         step += 1
-        members = members_of(shared.where(F.col("band").isin(list(phase))).select("bucket", "id"), f"members{step}")
-        star = members.where((F.col("n") > GROUP) & outside).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+        members = members_of(shared.where(F.col("band").isin(list(phase))).select("bucket", "id", "size"), f"members{step}")
+        star = members.where(F.col("wide") & outside).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
         found.append(scratch.write(verified(pairs_of(members).unionByName(star).distinct(), held), f"links{step}"))
         found.append(grouped(members, f"group{step}"))
         scratch.drop(f"members{step}")
         roots = known()
 
     # large buckets have met their leaders only; those of rare codes are new
-    rows, rare = shared.select("bucket", "id"), False
+    rows, rare = shared.select("bucket", "id", "size"), False
     while rows is not None:
         step += 1
         members = members_of(rows, f"members{step}", 1 if rare else GROUP)
         if rare:
             found.append(scratch.write(verified(pairs_of(members).distinct(), held), f"links{step}"))
             found.append(grouped(members, f"group{step}"))
-        large = members.where(F.col("n") > GROUP)
-        sizes = large.groupBy("bucket").agg(F.sum(outside.cast("long")).alias("rest"), F.sum((~outside).cast("long")).alias("main"))
+        large = members.where("wide")
+        part = lambda what, which: F.sum(F.when(which, what).otherwise(0)).cast("long")
+        sizes = large.groupBy("bucket").agg(part(F.lit(1), outside).alias("rest"), part(F.lit(1), ~outside).alias("main"), part(F.col("size"), outside).alias("rest_bytes"), part(F.col("size"), ~outside).alias("main_bytes"))
         sizes = scratch.write(sizes, f"sizes{step}")
-        wide = sizes.where(F.col("rest") > WIDE) if not rare else sizes.limit(0)
-        todo = large.join(sizes.where(F.col("rest") <= WIDE) if not rare else sizes, "bucket")
-        m, o = F.ceil(F.col("main") / half).cast("int"), F.ceil(F.col("rest") / half).cast("int")
+        many = (F.col("rest") * (F.col("rest") + F.col("main")) > WIDE) if not rare else F.lit(False)
+        todo = large.join(sizes.where(~many), "bucket")
+        m, o = (F.greatest(F.ceil(F.col(n) / half), F.ceil(F.col(f"{n}_bytes") / (GROUP_BYTES // 2))).cast("int") for n in ("main", "rest"))
         block = F.when(outside, m + F.pmod(F.xxhash64("id"), o)).otherwise(F.pmod(F.xxhash64("id"), m)).cast("int")
         cut = todo.select("bucket", "id", "comp", block.alias("block"), F.explode(F.sequence(F.when(outside, F.lit(0)).otherwise(m), m + o - 1)).alias("other"))
         cut = cut.select("bucket", "id", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(held, "id")
         found.append(scratch.write(cut.groupBy("bucket", "low", "high").applyInArrow(in_blocks, schema), f"blocks{step}"))
         rows = None
-        if not rare and not wide.isEmpty():
+        anew = sizes.where(many)
+        if not rare and not anew.isEmpty():
             roots, rare = known(), True
-            rows = rare_codes(members.join(wide.select("bucket"), "bucket", "left_semi").select("id").distinct())
+            rows = rare_codes(members.join(anew.select("bucket"), "bucket", "left_semi").select("id").distinct())
     out = scratch.write(linked().distinct(), "links")
     scratch.drop("texts", "shared", "two", "codes", "placed", *(f"{x}{j}" for x in ("links", "group", "blocks", "roots", "members", "sizes") for j in range(step + 1)))
     return out

@@ -18,6 +18,8 @@ documents are kept by `drop_near_duplicates`, and may have any names.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,7 +90,8 @@ def _sign(batches):
             some = np.flatnonzero(np.diff(bounds))
             bands = sketch(kmers, bounds).view(np.int64)[some]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * SKETCHES, pa.int32()), pa.array(bands.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([keys[a + i] for i in some], pa.string()), flat], ["id", "bands"])
+            size = 8 * np.diff(bounds)[some]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[a + i] for i in some], pa.string()), flat, pa.array(size, pa.int64())], ["id", "bands", "size"])
 
 
 def kmer_list(text: str | None) -> list:
@@ -99,7 +102,10 @@ def kmer_list(text: str | None) -> list:
 
 
 def aligned(a: list, b: list, similar: float = SIMILAR) -> float:
-    """Similarity by a banded alignment (longest common subsequence, bit-parallel); below `similar` it may be 0."""
+    """Similarity by a banded alignment (longest common subsequence, bit-parallel); below `similar` it may be 0.
+
+    The time is that of len(b) operations on 2 * band + 1 bits.
+    """
     total = len(a) + len(b)
     if not total:
         return 1.0
@@ -116,18 +122,26 @@ def aligned(a: list, b: list, similar: float = SIMILAR) -> float:
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     if x and y:
         band = int((total - 2 * similar * total / (1 + similar)) + 1)  # diagonals a similar pair can leave
-        masks: dict = {}
+        places: dict = {}
         for j, v in enumerate(x):
-            masks[v] = masks.get(v, 0) | 1 << j
-        full = (1 << len(x)) - 1
-        state, window = full, (1 << (2 * band + 1)) - 1
+            places.setdefault(v, []).append(j)
+        # bit k of the state is place low + k of x: only the 2 * band + 1 places around the diagonal are held
+        low, width, same_here = -band, 2 * band + 1, 0
+        state = full = (1 << width) - 1
         for i, v in enumerate(y):
-            mask = masks.get(v)
-            if mask:
-                mask &= window << (i - band) if i >= band else window >> (band - i)
+            if i:  # the window moves on by a place; what leaves it is settled
+                same_here += not state & 1
+                state, low = state >> 1 | 1 << (width - 1), low + 1
+            found = places.get(v)
+            if found:
+                near = found if len(found) < 8 else found[bisect_left(found, low) : bisect_left(found, low + width)]
+                mask = 0
+                for j in near:
+                    if low <= j < low + width:
+                        mask |= 1 << (j - low)
                 if hit := state & mask:
                     state = ((state + hit) | (state - hit)) & full
-        same += len(x) - state.bit_count()
+        same += same_here + width - state.bit_count()
     value = same / (total - same)
     return value if value >= similar else 0.0
 
@@ -167,7 +181,7 @@ def similar_documents(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.
 def document_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root): id is the 160-bit text name; only texts that are near copies of another text."""
     texts = docs.select(text_key(F.col("text")).alias("id"), "text")
-    signed = scratch.write(texts.mapInArrow(tidy(_sign), "id string, bands array<long>"), "signed")
+    signed = scratch.write(texts.mapInArrow(tidy(_sign), "id string, bands array<long>, size long"), "signed")
 
     def held(ids: DataFrame) -> DataFrame:
         ids = scratch.write(ids, "ids")
