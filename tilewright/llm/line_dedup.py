@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -143,11 +143,11 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     links = verified_links(signed.where("size(bands) > 0").select(F.col("k1").alias("id"), "bands", (8 * F.col("size")).alias("size")), texts, line_codes, similar_lines, scratch, PHASES, lambda x: x[1], SIMILAR)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     classes = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count("*").alias("n"))
+    classes = scratch.write(classes.join(roots, classes.k1 == roots.node, "left").where("n > 1 or root is not null").select("k1", "k2", "first", "root"), "classes")
     # a line is named by 128 bits; links name it by the first 64, and hold for lines that share these with no other
-    alone = F.min("k2").over(Window.partitionBy("k1")) == F.max("k2").over(Window.partitionBy("k1"))
-    classes = classes.join(roots, classes.k1 == roots.node, "left").withColumn("root", F.when(alone, F.col("root"))).where("n > 1 or root is not null")
+    shared = classes.where("root is not null").groupBy("k1").agg(F.count("*").alias("lines")).where("lines > 1").select("k1", F.lit(True).alias("unlike"))
+    classes = classes.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "k1", "left").withColumn("root", F.when(F.col("unlike").isNull(), F.col("root")))
     classes = classes.select("k1", "k2", "first", F.coalesce("root", "k1").alias("c1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(F.lit(0).cast("long")).alias("c2"), F.col("root").isNotNull().alias("fuzzy"))
-    classes = scratch.write(classes, "classes")
     owners = classes.groupBy("c1", "c2", "fuzzy").agg(F.min("first").alias("owner"))
     owned = scratch.write(classes.join(owners, ["c1", "c2", "fuzzy"]).select("k1", "k2", "owner"), "owned")
     gone = signed.select("doc_id", "th", "line_no", "k1", "k2").join(owned, ["k1", "k2"]).where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("owner")))
