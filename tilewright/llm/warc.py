@@ -100,12 +100,18 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + size + 4
 
 
-def _members(data: bytes) -> Iterator[bytes]:
+def _members(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
     """What each gzip member of a file holds, one after another."""
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = z.unused_data
+    view, at = memoryview(data), 0
+    while at < len(data):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(data):
+                raise ArchiveError("a member without its end")
+            parts.append(z.decompress(view[at : at + step]))
+            at += step
+        at = min(at, len(data)) - len(z.unused_data)
+        yield b"".join(parts)
 
 
 def _unzip(data: bytes) -> bytes:
