@@ -434,3 +434,45 @@ def test_scans_prune_by_themselves(spark, overlay, tmp_path):
     assert t.where("tile_x = 3").count() == 6 and t.limit(4).select("databand_1").count() == 4
     with pytest.raises(RasterError, match="open_options"):
         read_tiles(spark, path, open_options=["X=Y"])
+
+
+def test_options_of_the_session(spark, overlay, capfd):
+    path, _ = overlay
+    assert run(spark, "SELECT RT_GdalConfig('GDAL_CACHEMAX', '3') AS a, RT_GdalConfig('OTHER', NULL) AS b").first() == (True, True)
+    try:
+        t = read_tiles(spark, path, blocksize_x=160, blocksize_y=90)
+        assert t.select("databand_1").count() == 4 and spark.conf.get("spark.tilewright.GDAL_CACHEMAX") == "3"
+        rt.rt_gdal_config(spark, "CPL_DEBUG", "ON")
+        assert len(read_tiles(spark, path, blocksize_x=160, blocksize_y=90).where("id = 3").select("databand_2").collect()) == 1
+        assert "tile 3: columns 160 and 160 more, rows 90 and 90 more" in capfd.readouterr().err
+    finally:
+        for key in ("GDAL_CACHEMAX", "CPL_DEBUG"):
+            rt.rt_gdal_config(spark, key, None)
+
+
+def test_remote_files(tmp_path, monkeypatch):
+    """A file system of Arrow's under a scheme of its own: files are written, listed, moved, read and removed there."""
+    import pyarrow.fs
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    from tilewright.geo.geometry import rectangle, to_wkb
+    from tilewright.sources import files
+    from tilewright.sources.writer import RasterWriter
+
+    monkeypatch.setattr(files, "_remote", lambda path: (pyarrow.fs.SubTreeFileSystem(str(tmp_path), pyarrow.fs.LocalFileSystem()), path.split("://")[1]))
+    schema = T.StructType([T.StructField(n, T.BinaryType()) for n in ("geometry", "databand_1")])
+    cells = np.arange(16, dtype="<f4")
+    row = Row("geometry", "databand_1")(to_wkb(rectangle(0.0, 0.0, 8.0, 8.0)), Cube.of(cells, 1, 4, 4, -1.0).dump())
+    writer = RasterWriter({"path": "far://a/b/out.tif", "count_file": "far://a/b/n"}, schema, True)
+    writer.commit([writer.write(iter([row])), writer.write(iter([]))])
+    assert files.read_all("far://a/b/n") == b"1" and files.siblings("far://a/b/n") == ["out.tif"]
+    assert (open_file("far://a/b/out.tif").read(0, 0, 0, 4, 4).ravel() == cells).all()
+    files.move("far://a/b/out.tif", "far://a/b/c.tif")
+    files.make_folder("far://a/d/e")
+    files.move("far://a/b/c.tif", str(tmp_path / "here.tif"))
+    assert not files.exists("far://a/b/c.tif") and files.exists(str(tmp_path / "here.tif")) and (tmp_path / "a" / "d" / "e").is_dir()
+    assert files.siblings(str(tmp_path / "here.tif")) == []
+    files.remove("far://a")
+    files.remove("far://a")
+    assert not (tmp_path / "a").exists()

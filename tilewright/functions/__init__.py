@@ -633,7 +633,12 @@ def st_union_agg(shape) -> Column:
 
 
 def rt_gdal_config(spark: SparkSession, key: str, value: str | None) -> bool:
-    """Keeps a raster option in the session (or removes it if the value is null); always true."""
+    """Keeps a raster option in the session (or removes it if the value is null); always true.
+
+    read_tiles takes from it GDAL_CACHEMAX (megabytes of decoded blocks that a task keeps of a file) and CPL_DEBUG (ON:
+    tasks log each tile that they read, at level INFO of the logger `tilewright`, on their standard error). Other keys
+    are kept and have no effect. In SQL text tilewright.sql.run carries the call out.
+    """
     if value is None:
         spark.conf.unset(f"spark.tilewright.{key}")
     else:

@@ -1,4 +1,4 @@
-"""Byte access to raster files: local paths, and anything else through Arrow's file systems."""
+"""Byte access to raster files, and what else is done with them: local paths, and anything else through Arrow's file systems."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import fnmatch
 import io
 import os
 import re
+import shutil
 
 from tilewright.cube import RasterError
 
@@ -76,6 +77,82 @@ def glob(pattern: str) -> list[str]:
     return found
 
 
+def siblings(path: str) -> list[str]:
+    """The names of the other files in a file's folder."""
+    place = local(path)
+    if place is not None:
+        folder, name = os.path.split(os.path.abspath(place))
+        return sorted(n for n in os.listdir(folder) if n != name and os.path.isfile(os.path.join(folder, n)))
+    import pyarrow.fs
+
+    fs, name = _remote(path)
+    found = fs.get_file_info(pyarrow.fs.FileSelector(name.rsplit("/", 1)[0]))
+    return sorted(i.base_name for i in found if i.is_file and i.path != name)
+
+
+def make_folder(path: str) -> None:
+    """The folder and those above it; one that is there already is left alone."""
+    if (place := local(path)) is not None:
+        os.makedirs(place, exist_ok=True)
+    else:
+        fs, name = _remote(path)
+        fs.create_dir(name, recursive=True)
+
+
+def move(path: str, to: str) -> None:
+    """Renames a file, over one that is there."""
+    place, target = local(path), local(to)
+    if place is not None and target is not None:
+        os.replace(place, target)
+    elif place is None and target is None:
+        (fs, name), (_, new) = _remote(path), _remote(to)
+        fs.move(name, new)
+    else:
+        upload(place, to) if place is not None else _download(path, target)
+        remove(path)
+
+
+def remove(path: str) -> None:
+    """Deletes a file or a folder with all in it; what is not there is no error."""
+    if (place := local(path)) is not None:
+        if os.path.isdir(place):
+            shutil.rmtree(place, ignore_errors=True)
+        elif os.path.exists(place):
+            os.remove(place)
+        return
+    import pyarrow.fs
+
+    fs, name = _remote(path)
+    kind = fs.get_file_info(name).type
+    if kind == pyarrow.fs.FileType.Directory:
+        fs.delete_dir(name)
+    elif kind == pyarrow.fs.FileType.File:
+        fs.delete_file(name)
+
+
+def upload(place: str, to: str) -> None:
+    """Copies a local file to any path."""
+    with open(place, "rb") as f, open_stream(to) as out:
+        shutil.copyfileobj(f, out, 1 << 22)
+
+
+def _download(path: str, place: str) -> None:
+    fs, name = _remote(path)
+    with fs.open_input_stream(name) as f, open(place, "wb") as out:
+        shutil.copyfileobj(f, out, 1 << 22)
+
+
+def open_stream(path: str):
+    """A file to write from its beginning to its end, anywhere; its folder is made."""
+    if (place := local(path)) is not None:
+        os.makedirs(os.path.dirname(os.path.abspath(place)), exist_ok=True)
+        return open(place, "wb")
+    fs, name = _remote(path)
+    if "/" in name:
+        fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    return fs.open_output_stream(name)
+
+
 def open_output(path: str) -> io.IOBase:
     place = local(path)
     if place is None:

@@ -20,6 +20,7 @@ it keeps what one query pushed for later queries on the same DataFrame.
 from __future__ import annotations
 
 import json
+import logging
 import uuid
 from collections.abc import Iterator
 from decimal import Decimal
@@ -35,6 +36,7 @@ from tilewright.cube import DTYPES, TYPES, Header, RasterError, compress, empty_
 from tilewright.sources.create import tile_rows
 from tilewright.sources.dataset import open_raster
 from tilewright.sources.grid import Grid
+from tilewright.sources.tiff import TiffRaster
 
 BBOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin", "xmax", "ymax")])
 TILE_FIELDS = [("id", T.LongType()), ("x", T.DoubleType()), ("y", T.DoubleType()), ("bbox", BBOX), ("geometry", T.BinaryType()), ("level", T.IntegerType()), ("tile_x", T.IntegerType()), ("tile_y", T.IntegerType()), ("cols", T.IntegerType()), ("rows", T.IntegerType()), ("metadata", T.StringType())]
@@ -72,6 +74,8 @@ class Options:
         self.bbox = listed("bbox")
         self.where = listed("where")
         self.permissive = (get("mode") or "").upper() == "PERMISSIVE"
+        self.cache_bytes = int(float(get("GDAL_CACHEMAX")) * 1_000_000) if get("GDAL_CACHEMAX") else TiffRaster.cache_bytes
+        self.debug = (get("CPL_DEBUG") or "").upper() in ("ON", "YES", "TRUE", "1")
 
 
 class Tiles(InputPartition):
@@ -252,7 +256,7 @@ def read_tiles(spark, path, bbox=None, where=(), cells: bool = False, **options)
     """A tile (or cell) table. path: a path, a pattern or a list; other options as above, lists as lists."""
     plain = {k: json.dumps(list(v)) if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
     plain |= {"path": path} if isinstance(path, str) else {"paths": json.dumps(list(path))}
-    o = Options(plain)
+    o = Options({k: v for k in ("GDAL_CACHEMAX", "CPL_DEBUG") if (v := spark.conf.get(f"spark.tilewright.{k}", None))} | plain)
     grid = o.grid
     first, end = _span(grid, bbox) if bbox else (0, grid.tiles_x * grid.tiles_y)
     most = o.per_partition or max(1, 4_000_000 // max(1, grid.block_x * grid.block_y * max(1, len(o.bands))))
@@ -306,6 +310,7 @@ def _cell_rows(rows, o: Options, scan: Scan):
     return flat.select("id", px.alias("x"), py.alias("y"), st_point(px, py).alias("geometry", metadata={"crs": grid.crs}), "col", "row", *names)
 
 
+LOG = logging.getLogger("tilewright")
 #: Rasters that a worker has open, by scan.
 _OPEN: dict[str, Options] = {}
 
@@ -322,13 +327,20 @@ class Scan:
                 if len(_OPEN) > 3:
                     _OPEN.clear()
                 _OPEN[self.name] = self.options
+            TiffRaster.cache_bytes = self.options.cache_bytes
             return getattr(self, what)(_OPEN[self.name], ids.to_pylist(), bands)
 
         return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)
 
     @staticmethod
     def _window(o: Options, index: int) -> tuple[int, int, int, int]:
-        return o.grid.window(index % o.grid.tiles_x, index // o.grid.tiles_x)
+        window = o.grid.window(index % o.grid.tiles_x, index // o.grid.tiles_x)
+        if o.debug:
+            if not LOG.handlers:
+                LOG.addHandler(logging.StreamHandler())
+                LOG.setLevel(logging.INFO)
+            LOG.info("tile %d: columns %d and %d more, rows %d and %d more", index, window[0], window[2], window[1], window[3])
+        return window
 
     def empty(self, o: Options, ids: list, bands: tuple) -> pa.Array:
         return pa.array([o.raster.empty(*self._window(o, i)) for i in ids], pa.bool_())

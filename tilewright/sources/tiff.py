@@ -137,6 +137,8 @@ def pack(data: bytes, scheme: int) -> bytes:
 
 class TiffRaster:
     driver = "GTiff"
+    #: Decoded blocks that a task keeps of a file (the option GDAL_CACHEMAX).
+    cache_bytes = 64_000_000
 
     def __init__(self, path: str):
         self.path = path
@@ -244,7 +246,7 @@ class TiffRaster:
     def _block(self, index: int, rows: int, planes: int) -> np.ndarray | None:
         """A strip or tile as rows x columns x planes; None if it is not in the file."""
         if index not in self._held:
-            if len(self._held) > 64:
+            if sum(b.nbytes for b in self._held.values() if b is not None) > self.cache_bytes:
                 self._held.clear()
             if not self.sizes[index]:
                 self._held[index] = None

@@ -5,14 +5,16 @@
 Options: driver (GTiff, COG, PNG), creation_options (a JSON list of KEY=VALUE: COMPRESS, BLOCKSIZE, WORLDFILE),
 resampling (nearest), envelope (a JSON list xmin, ymin, xmax, ymax; ignored without width or height),
 compute_valid_envelope (beats envelope), srs, geometry_column, databand_columns (a JSON list; default: all
-columns that RasterSource names databand_N or datacube). The target must be a path that all machines mount.
+columns that RasterSource names databand_N or datacube). The target is a path that all machines mount, or one of a file
+system that Arrow knows; then the tiles are spooled beside it too, and the file is assembled on the driver's disk and
+copied.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
+import tempfile
 import uuid
 from collections import OrderedDict
 from dataclasses import dataclass
@@ -25,7 +27,7 @@ from tilewright.cube import DTYPES, NODATA_UNDEFINED, Cube, RasterError, is_noda
 from tilewright.geo.crs import normal
 from tilewright.geo.geometry import envelope, from_wkb
 from tilewright.sources.dataset import DRIVERS
-from tilewright.sources.files import local, open_output
+from tilewright.sources.files import exists, local, move, open_output, open_stream, read_all, read_range, remove
 from tilewright.sources.png import world_file, write_png
 from tilewright.sources.tiff import TiffWriter
 
@@ -46,9 +48,9 @@ class RasterWriter(DataSourceWriter):
         if unknown := set(options) - _KNOWN:
             raise RasterError(f"Unknown option: {', '.join(sorted(unknown))}")
         self.path = options.get("path")
-        if not self.path or local(self.path) is None:
-            raise RasterError("A path that all machines mount is needed")
-        self.target = os.path.abspath(local(self.path))
+        if not self.path:
+            raise RasterError("A path is needed")
+        self.target = self.path if local(self.path) is None else os.path.abspath(local(self.path))
         self.driver = options.get("driver", "GTiff")
         found = {d.lower(): d for d in DRIVERS}.get(self.driver.lower())
         if found is None or not (DRIVERS[found][3] or DRIVERS[found][4]) or found == "Memory":
@@ -73,15 +75,14 @@ class RasterWriter(DataSourceWriter):
                 raise RasterError(f"Column {n} must be of type BINARY")
         if not self.columns:
             raise RasterError("No databand columns were found")
-        if os.path.exists(self.target) and not overwrite:
+        if exists(self.target) and not overwrite:
             raise RasterError(f"The file exists: {self.path}")
         self.spool = f"{self.target}.spool-{uuid.uuid4().hex}"
         self.count_file = options.get("count_file")
 
     def write(self, iterator) -> Spooled:
-        os.makedirs(self.spool, exist_ok=True)
         file, tiles, head, n = f"{self.spool}/{uuid.uuid4().hex}", [], None, 0
-        with open(file, "wb") as out:
+        with open_stream(file) as out:
             for row in iterator:
                 n += 1
                 shape, blobs = row[self.geometry], [row[c] for c in self.columns]
@@ -112,7 +113,7 @@ class RasterWriter(DataSourceWriter):
         return Spooled(file, n, tiles, head)
 
     def abort(self, messages) -> None:
-        shutil.rmtree(self.spool, ignore_errors=True)
+        remove(self.spool)
 
     def commit(self, messages) -> None:
         try:
@@ -120,10 +121,10 @@ class RasterWriter(DataSourceWriter):
             if parts:
                 self._assemble(parts)
             if self.count_file:  # of the tasks whose output counts, however often one was tried
-                with open(self.count_file, "w") as f:
-                    f.write(str(sum(m.rows for m in messages if m is not None)))
+                with open_stream(self.count_file) as f:
+                    f.write(str(sum(m.rows for m in messages if m is not None)).encode())
         finally:
-            shutil.rmtree(self.spool, ignore_errors=True)
+            remove(self.spool)
 
     def _assemble(self, parts: list[Spooled]) -> None:
         heads = {(m.head[0], m.head[2]) for m in parts}
@@ -150,9 +151,7 @@ class RasterWriter(DataSourceWriter):
         def cells(i: int) -> np.ndarray:
             if i not in held:
                 file, at, size, _, cols, rows, _ = tiles[i]
-                with open(file, "rb") as f:
-                    f.seek(at)
-                    held[i] = np.frombuffer(f.read(size), dtype).reshape(bands, rows, cols)
+                held[i] = np.frombuffer(read_range(file, at, size), dtype).reshape(bands, rows, cols)
                 if len(held) > 64:
                     held.popitem(last=False)
             return held[i]
@@ -181,14 +180,14 @@ class RasterWriter(DataSourceWriter):
                 part[keep] = new[keep]
             return out
 
-        partial = f"{self.target}.part-{uuid.uuid4().hex}"
+        partial = f"{tempfile.mkdtemp()}/part" if local(self.target) is None else f"{self.target}.part-{uuid.uuid4().hex}"
         crs = normal(self.srs)
         if self.driver == "PNG":
             with open_output(partial) as f:
                 write_png(f, np.moveaxis(window(0, 0, width, height), 0, 2))
             if self.creation.get("WORLDFILE") == "YES":
-                with open(world_file(self.target), "w") as f:
-                    f.write("".join(f"{v!r}\n" for v in (transform[1], 0.0, 0.0, transform[5], transform[0] + transform[1] / 2, transform[3] + transform[5] / 2)))
+                with open_stream(world_file(self.target)) as f:
+                    f.write("".join(f"{v!r}\n" for v in (transform[1], 0.0, 0.0, transform[5], transform[0] + transform[1] / 2, transform[3] + transform[5] / 2)).encode())
         else:
             scheme = self.creation.get("COMPRESS", "LZW" if self.driver == "COG" else "NONE")
             with open_output(partial) as f:
@@ -201,7 +200,9 @@ class RasterWriter(DataSourceWriter):
                         for b in range(bands):
                             out.write(b, tx, ty, part[b])
                 out.close()
-        os.replace(partial, self.target)
+        move(partial, self.target)
+        if local(self.target) is None:
+            remove(os.path.dirname(partial))
 
 
 def write_raster(df, path: str, **options) -> int:
@@ -211,11 +212,9 @@ def write_raster(df, path: str, **options) -> int:
     spark = df.sparkSession
     register(spark)
     plain = {k: json.dumps(v) if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
-    counted = f"{os.path.abspath(local(path) or '')}.count-{uuid.uuid4().hex}"
+    counted = f"{path if local(path) is None else os.path.abspath(local(path))}.count-{uuid.uuid4().hex}"
     try:
         df.write.format("raster").mode("overwrite").options(**plain, count_file=counted).save(path)
-        with open(counted) as f:
-            return int(f.read())
+        return int(read_all(counted))
     finally:
-        if os.path.exists(counted):
-            os.remove(counted)
+        remove(counted)

@@ -189,7 +189,7 @@ def _scans(spark: SparkSession, text: str) -> str:
             at = found.end()
             continue
         view = f"raster_{uuid.uuid4().hex}"
-        named = {k: v for k, v in given[1].items() if v is not None and k not in ("open_options", "sibling_files")}
+        named = {k: v for k, v in given[1].items() if v is not None}
         read_tiles(spark, given[0][0], cells=bool(found[1]), **named).createOrReplaceTempView(view)
         text = text[: found.start()] + view + text[end + 1 :]
         at = found.start() + len(view)
@@ -223,10 +223,21 @@ def run(spark: SparkSession, text: str) -> DataFrame:
                 options[k] = v[1:-1] if v.startswith("'") else v.lower() == "true" if v.lower() in ("true", "false") else v
         n = write_raster(run(spark, text[start + 1 : end]), target[1][1:-1].replace("''", "'"), **options)
         return spark.createDataFrame([(n,)], "count long")
-    text = _files(text)
+    text = _configured(spark, _files(text))
     return spark.sql(_scans(spark, text))
 
 
+def _configured(spark: SparkSession, text: str) -> str:
+    """Carries out RT_GdalConfig('key', 'value') where both are literals; what it gives is true."""
+    from tilewright.functions import rt_gdal_config
+
+    def put(found: re.Match) -> str:
+        value = None if found[2].upper() == "NULL" else found[2][1:-1].replace("''", "'")
+        return str(rt_gdal_config(spark, found[1][1:-1], value)).lower()
+
+    return re.sub(rf"\bRT_GdalConfig\s*\(\s*({_STRING})\s*,\s*({_STRING}|NULL)\s*\)", put, text, flags=re.IGNORECASE)
+
+
 def _files(text: str) -> str:
     """Raster files that stand where a table does become scans."""
     return re.sub(rf"\b(FROM|JOIN)(\s+)({_STRING})", lambda m: f"{m[1]}{m[2]}RT_Read({m[3]})" if re.search(r"\.(img|tiff?|vrt)'$", m[3], re.IGNORECASE) else m[0], text, flags=re.IGNORECASE)
