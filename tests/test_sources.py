@@ -19,8 +19,9 @@ from tilewright.sources.create import create, drivers
 from tilewright.sources.dataset import Mosaic, Warped, open_file, open_raster, warp_options
 from tilewright.sources.grid import Georef, Grid
 from tilewright.sources.png import PngRaster, write_png
-from tilewright.sources.reader import read_tiles
+from tilewright.sources.reader import Options, Scan, read_tiles
 from tilewright.sources.writer import write_raster
+from tilewright.sql import run
 
 SAMPLE = dict(crs="EPSG:25830", xmin=499980.0, ymin=4789760.0, xmax=510220.0, ymax=4800000.0, width=2048, height=2048, num_bands=1, data_type=3, nodata=-9999.0)
 # Fixed value: the metadata text of the sample raster in blocks of 128.
@@ -363,8 +364,6 @@ def test_streaming(spark, tmp_path):
 
 
 def test_statements(spark, overlay, tmp_path):
-    from tilewright.sql import run
-
     path, cells = overlay
     assert run(spark, f"SELECT count(*) AS n FROM '{path}' AS t").first().n == read_tiles(spark, path).count()
     n = run(spark, f"SELECT count(*) AS n FROM RT_Read(['{path}', '{path}'], separate_bands := true, blocksize_x := 64, blocksize_y := 64) WHERE tile_x IN (1, 2) /* two */ -- columns").first().n
@@ -436,7 +435,7 @@ def test_scans_prune_by_themselves(spark, overlay, tmp_path):
         read_tiles(spark, path, open_options=["X=Y"])
 
 
-def test_options_of_the_session(spark, overlay, capfd):
+def test_options_of_the_session(spark, overlay, caplog):
     path, _ = overlay
     assert run(spark, "SELECT RT_GdalConfig('GDAL_CACHEMAX', '3') AS a, RT_GdalConfig('OTHER', NULL) AS b").first() == (True, True)
     try:
@@ -444,12 +443,27 @@ def test_options_of_the_session(spark, overlay, capfd):
         assert t.select("databand_1").count() == 4 and spark.conf.get("spark.tilewright.GDAL_CACHEMAX") == "3"
         rt.rt_gdal_config(spark, "CPL_DEBUG", "ON")
         assert len(read_tiles(spark, path, blocksize_x=160, blocksize_y=90).where("id = 3").select("databand_2").collect()) == 1
-        assert "tile 3: columns 160 and 160 more, rows 90 and 90 more" in capfd.readouterr().err
+        o = Options({"path": path, "blocksize_x": "160", "blocksize_y": "90", "CPL_DEBUG": "ON", "GDAL_CACHEMAX": "3"})
+        assert len(Scan(o).cube(o, [3], (1,))) == 1 and o.cache_bytes == 3_000_000
+        assert "tile 3: columns 160 and 160 more, rows 90 and 90 more" in caplog.text
     finally:
         for key in ("GDAL_CACHEMAX", "CPL_DEBUG"):
             rt.rt_gdal_config(spark, key, None)
 
 
+def test_statistics_in_statements(spark, overlay):
+    """What run() makes of RT_CubeStats_Agg is what the aggregate gives: groups, zones, empty tables."""
+    path, cells = overlay
+    rt.register_all(spark)
+    read_tiles(spark, path, blocksize_x=64, blocksize_y=64).createOrReplaceTempView("tw_statistics")
+    zone = "ST_MakeEnvelope(545550.0D, 4724430.0D, 545600.0D, 4724500.0D)"
+    for q in ("SELECT tile_x, RT_CubeStats_Agg(databand_1, 0) AS s FROM tw_statistics GROUP BY tile_x", f"SELECT 1 AS tile_x, RT_CubeStats_Agg(databand_2, 0, tile_x, tile_y, metadata, {zone}) AS s FROM tw_statistics"):
+        want, got = ({r.tile_x: r.s for r in df.collect()} for df in (spark.sql(q), run(spark, q)))
+        assert want.keys() == got.keys() and all(got[k].asDict() == pytest.approx(want[k].asDict()) for k in want)
+    none = run(spark, "SELECT RT_CubeStats_Agg(databand_1, 0) AS s FROM tw_statistics WHERE id < 0").collect()
+    assert [set(r.s.asDict().values()) for r in none] == [{0}]
+
+
 def test_remote_files(tmp_path, monkeypatch):
     """A file system of Arrow's under a scheme of its own: files are written, listed, moved, read and removed there."""
     import pyarrow.fs

@@ -311,6 +311,18 @@ def _stats_column(*columns: pa.Array) -> pa.Array:
 _partial_state = _define("RT_CubeState", _state_column, stats.STATE)
 
 
+def _merge_lists(lists: pa.Array) -> pa.Array:
+    """Lists of states -> their statistics; null states are left out, an empty list gives zeros."""
+    n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(lists)
+    states = {name: pc.struct_field(flat, name).fill_null(0).to_numpy(zero_copy_only=False) for name in stats.STATE.names}
+    whole = stats.merged_groups(np.repeat(np.arange(len(lists)), n), len(lists), states)
+    return stats.struct_of(stats.finished_many(whole), _null(lists), stats.STATS)
+
+
+_define("RT_CubeStatsMerge", _merge_lists, stats.STATS)
+
+
 def cube_state(cube, band=0, *zone) -> Column:
     """The partial state that cube_stats_agg merges."""
     return _partial_state(cube, F.lit(band) if isinstance(band, int) else band, *zone)

@@ -223,10 +223,20 @@ def run(spark: SparkSession, text: str) -> DataFrame:
                 options[k] = v[1:-1] if v.startswith("'") else v.lower() == "true" if v.lower() in ("true", "false") else v
         n = write_raster(run(spark, text[start + 1 : end]), target[1][1:-1].replace("''", "'"), **options)
         return spark.createDataFrame([(n,)], "count long")
-    text = _configured(spark, _files(text))
+    text = _states(_configured(spark, _files(text)))
     return spark.sql(_scans(spark, text))
 
 
+def _states(text: str) -> str:
+    """RT_CubeStats_Agg(…) over states: a small one a tile is shuffled, not the tile."""
+    at = 0
+    while found := re.compile(r"\bRT_CubeStats_Agg\s*\(", re.IGNORECASE).search(text, at):
+        end = _close(text, found.end() - 1)
+        head = f"{text[: found.start()]}RT_CubeStatsMerge(collect_list(RT_CubeState("
+        at, text = len(head), f"{head}{text[found.end() : end]}))){text[end + 1 :]}"
+    return text
+
+
 def _configured(spark: SparkSession, text: str) -> str:
     """Carries out RT_GdalConfig('key', 'value') where both are literals; what it gives is true."""
     from tilewright.functions import rt_gdal_config
