@@ -86,6 +86,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Gives memory that this process no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
 def tidy(run: Callable[..., Iterable]) -> Callable[..., Iterator]:
     """A function on batches that gives the memory it no longer uses back to the system when its task ends.
 
@@ -98,10 +106,7 @@ def tidy(run: Callable[..., Iterable]) -> Callable[..., Iterator]:
         try:
             yield from run(*batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
-                trim(0)
+            give_back()
 
     return whole
 

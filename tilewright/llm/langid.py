@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import Scratch, small_batches, tidy
+from tilewright.llm.common import Scratch, give_back, small_batches, tidy
 
 BITS, ORDERS = 16, (1, 2, 3, 4)
 #: Labelled rows to learn from at most, and the most bytes of text that they may bring to the driver.
@@ -108,7 +108,8 @@ def fit(rows: list[tuple[str, str]], epochs: int = EPOCHS, seen: tuple[int, np.n
     spare = rows[::5]
     total, df = seen or occurrences(t for t, _ in learn)
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    vectors = [(*features(t, idf), languages.index(y)) for t, y in learn]
+    compact = lambda at, value: (at.astype(np.uint16), value.astype(np.float32))  # noqa: E731  (they are all held at once)
+    vectors = [(*compact(*features(t, idf)), languages.index(y)) for t, y in learn]
     k = len(languages)
     z, n = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))
     bias, bias_n = np.zeros(k), np.zeros(k)
@@ -197,7 +198,11 @@ def fit_on(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYT
     wanted = docs.sparkSession.createDataFrame(list(names), "doc_id long, lang string, name long")
     got = learning_rows(docs).select("doc_id", "lang", name, "text").join(F.broadcast(wanted), ["doc_id", "lang", "name"], "left_semi")
     got = got.dropDuplicates(["doc_id", "lang", "name"]).orderBy("doc_id", "lang", "text").collect()
-    return fit([(r["text"], r["lang"]) for r in got], seen=document_frequencies(docs))
+    seen = document_frequencies(docs)
+    model = fit([(r["text"], r["lang"]) for r in got], seen=seen)
+    del got
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
