@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,10 +70,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        spark._jvm.java.lang.System.gc()  # shrinks the driver's heap to about what is in use
+        trim_driver(spark)
 
     def write(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         with small_batches(self.spark):
             df.write.mode("overwrite").parquet(path := f"{self.at}/{name}", compression=compression)
+        trim_driver(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:
@@ -94,6 +98,25 @@ def give_back() -> None:
         trim(0)
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """The driver's JVM gives native memory that it freed back to the system, where it can; tells whether it did.
+
+    Hundreds of plans a call, each with threads and compiled code of its own, leave freed memory in the C library's
+    arenas, which that keeps for reuse: it adds up over the calls of a session, beside the heap and not bounded by it.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")  # the server's own class is not open to reflection
+        given = new(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+        invoke.invoke(server, given)
+        return True
+    except Py4JError:  # not a JVM, or not a C library, that has it
+        return False
+
+
 def tidy(run: Callable[..., Iterable]) -> Callable[..., Iterator]:
     """A function on batches that gives the memory it no longer uses back to the system when its task ends.
 
